@@ -14,40 +14,68 @@ CUTS = {"byte": re.compile(r"[ \n]*[^ \n]+|[ \n]+"), "word": re.compile(r"[^ \t\
 OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
+#: Pieces that are encoded in one call, with a special token between them, which ends a piece like a text's end.
+JOINED = 256
+
+
 class Encoder:
     """Ids of the ``tokenizers`` file at ``path``, equal to encoding each whole text without special tokens.
 
-    The memory of pieces is bounded by ``entries`` and ``chars``: it is emptied when full.
+    The memory of pieces is bounded by ``entries`` and ``chars``: when it is full, pieces met only once are forgotten,
+    and all of them if that frees less than half.
     """
 
-    def __init__(self, path: str, kind: str, entries: int = 500_000, chars: int = 16_000_000) -> None:
+    def __init__(self, path: str, kind: str, entries: int = 700_000, chars: int = 16_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind, self.entries, self.chars = kind, entries, chars
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.held, self.used = 0, 0
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.counts = np.zeros(1 << 12, np.int64)
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.mark = special[0] if special else None
+        self._forget(np.zeros(0, np.int64))
+
+    def _forget(self, kept: np.ndarray) -> None:
+        if len(kept):
+            names = list(self.index)
+            n = self.counts[kept]
+            done = np.cumsum(n)
+            flat = self.flat[np.repeat(self.starts[kept] - done + n, n) + np.arange(done[-1])]
+            names = [names[i] for i in kept]
+        else:
+            names, n, flat = [], np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.index: dict[str, int] = dict(zip(names, range(len(names)), strict=True))
+        self.held, self.used = sum(map(len, names)), len(flat)
+        self.flat = np.concatenate([flat, np.zeros(1 << 16, np.uint32)])
+        self.counts = np.concatenate([n, np.zeros(1 << 12, np.int64)])
+        self.starts = np.concatenate([np.cumsum(n) - n, np.zeros(1 << 12, np.int64)])
+        self.met = np.zeros(len(self.counts), np.int64)
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, ids by piece): many pieces a call, parted by a special token that none of them holds."""
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        text, mark = self.mark
+        found = encode([text.join(pieces[i : i + JOINED]) + text for i in range(0, len(pieces), JOINED)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        ends = np.flatnonzero(ids == mark)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
     def _learn(self, pieces: list[str]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = [e.ids for e in encode(pieces, add_special_tokens=False)]
-        n, first = [len(x) for x in found], len(self.index)
-        total, last = sum(n), first + len(pieces)
+        if self.mark and not any("<" in p and self.mark[0] in p for p in pieces):
+            flat, n = self._ids(pieces)
+        else:
+            found = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+            n = np.array([len(x) for x in found], np.int64)
+            flat = np.fromiter((i for x in found for i in x), np.uint32, int(n.sum()))
+        total, first = len(flat), len(self.index)
+        last = first + len(pieces)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while last > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+            self.starts, self.counts, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts, self.met))
+        self.flat[self.used : self.used + total] = flat
         self.counts[first:last] = n
-        self.starts[first:last] = self.used + np.concatenate([[0], np.cumsum(n)[:-1]])
+        self.starts[first:last] = self.used + np.cumsum(n) - n
         self.index.update(zip(pieces, range(first, last), strict=True))
         self.used += total
         self.held += sum(map(len, pieces))
@@ -55,7 +83,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids uint32 of all texts, one after the other; bounds int64, one more than texts)."""
         if len(self.index) > self.entries or self.held > self.chars:
-            self._forget()
+            kept = np.flatnonzero(self.met[: len(self.index)] > 1)
+            few = len(kept) < self.entries // 2 and self.held < 2 * self.chars
+            self._forget(kept if few else np.zeros(0, np.int64))
         find, other = CUTS[self.kind].findall, OTHER_SPACE.search if self.kind == "byte" else lambda _: None
         pieces: list[str] = []
         ends = np.zeros(len(texts) + 1, np.int64)
@@ -63,10 +93,11 @@ class Encoder:
             pieces += [t] if other(t) else find(t)
             ends[i + 1] = len(pieces)
         get = self.index.get
-        at = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        at = np.array([get(p, -1) for p in pieces], np.int64)
         if len(new := np.flatnonzero(at < 0)):
-            self._learn(list(dict.fromkeys(pieces[i] for i in new)))
+            self._learn(list(dict.fromkeys([pieces[i] for i in new])))
             at[new] = [self.index[pieces[i]] for i in new]
+        self.met += np.bincount(at, minlength=len(self.met))
         n = self.counts[at]
         done = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(self.starts[at] - done[:-1], n) + np.arange(done[-1])]

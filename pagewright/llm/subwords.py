@@ -4,12 +4,27 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
 #: How texts are cut. byte: before white space that follows something else, so a piece is white space and what comes
 #: after it; for vocabularies whose tokens may begin with a space. word: at white space, which the vocabulary drops.
 CUTS = {"byte": re.compile(r"[ \n]*[^ \n]+|[ \n]+"), "word": re.compile(r"[^ \t\n\r]+")}
+#: Characters whose class (letter, digit, mark) and lower case are beyond doubt: ASCII and the letters of Latin-1.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_MARK = "!-/:-@\\[-`{-~"
+#: What keeps a text from being cut into words at once: other characters, an apostrophe (which begins contractions),
+#: white space beside white space where it counts, and the beginning of a special token.
+NOT_SIMPLE = {
+    "byte": re.compile(f"[^ \n0-9{_LETTER}{_MARK}]|'|<\\||[ \n][ \n]"),
+    "word": re.compile(f"[^ \n\t\r0-9{_LETTER}{_MARK}]|'|<\\|"),
+}
+#: The words of such a text: what the vocabulary's own pattern finds in it.
+WORDS = {
+    "byte": re.compile(f" ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|[ \n]"),
+    "word": re.compile(f"[{_LETTER}]+|[0-9]|[{_MARK}]+"),
+}
 #: Other white space, beside which a cut of kind byte could split a token: such texts are encoded whole.
 OTHER_SPACE = re.compile(r"[^\S \n]")
 
@@ -18,6 +33,13 @@ OTHER_SPACE = re.compile(r"[^\S \n]")
 JOINED = 256
 
 
+def _byte_names() -> list[str]:
+    """The character by which byte-level vocabularies name each byte: itself if it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(hidden)) for b in range(256)]
+
+
 class Encoder:
     """Ids of the ``tokenizers`` file at ``path``, equal to encoding each whole text without special tokens.
 
@@ -31,6 +53,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind, self.entries, self.chars = kind, entries, chars
+        self.model = self.tokenizer.model
+        self.byte_names = _byte_names()
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark = special[0] if special else None
         self._forget(np.zeros(0, np.int64))
@@ -60,13 +84,18 @@ class Encoder:
         ends = np.flatnonzero(ids == mark)
         return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
-    def _learn(self, pieces: list[str]) -> None:
-        if self.mark and not any("<" in p and self.mark[0] in p for p in pieces):
+    def _learn(self, pieces: list[str], simple: bool) -> None:
+        if simple:  # each is one word to the vocabulary's pattern, so merging alone is left to do
+            merge, names = self.model.tokenize, self.byte_names
+            found = [[t.id for t in merge(p if p.isascii() and p[0] > " " else "".join([names[c] for c in p.encode()]))] for p in pieces]
+        elif self.mark and not any("<" in p and self.mark[0] in p for p in pieces):
+            found = None
             flat, n = self._ids(pieces)
         else:
             found = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        if found is not None:
             n = np.array([len(x) for x in found], np.int64)
-            flat = np.fromiter((i for x in found for i in x), np.uint32, int(n.sum()))
+            flat = np.array([i for x in found for i in x], np.uint32)
         total, first = len(flat), len(self.index)
         last = first + len(pieces)
         while self.used + total > len(self.flat):
@@ -86,16 +115,30 @@ class Encoder:
             kept = np.flatnonzero(self.met[: len(self.index)] > 1)
             few = len(kept) < self.entries // 2 and self.held < 2 * self.chars
             self._forget(kept if few else np.zeros(0, np.int64))
-        find, other = CUTS[self.kind].findall, OTHER_SPACE.search if self.kind == "byte" else lambda _: None
+        find, words, odd = CUTS[self.kind].findall, WORDS[self.kind].findall, NOT_SIMPLE[self.kind].search
+        other, fold = OTHER_SPACE.search if self.kind == "byte" else lambda _: None, self.kind == "word"
         pieces: list[str] = []
         ends = np.zeros(len(texts) + 1, np.int64)
+        hard: list[tuple[int, int]] = []  # where the pieces of texts lie that are not simple
         for i, t in enumerate(texts):
-            pieces += [t] if other(t) else find(t)
+            if not odd(t):
+                pieces += words(t.lower() if fold else t)
+            else:
+                hard.append((len(pieces), 0))
+                pieces += [t] if other(t) else find(t)
+                hard[-1] = (hard[-1][0], len(pieces))
             ends[i + 1] = len(pieces)
         get = self.index.get
-        at = np.array([get(p, -1) for p in pieces], np.int64)
+        at = np.fromiter(map(get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(new := np.flatnonzero(at < 0)):
-            self._learn(list(dict.fromkeys([pieces[i] for i in new])))
+            from_hard = np.zeros(len(pieces) + 1, np.int64)
+            for x, y in hard:
+                from_hard[x] += 1
+                from_hard[y] -= 1
+            is_hard = np.cumsum(from_hard)[new] > 0
+            for simple, which in ((False, new[is_hard]), (True, new[~is_hard])):
+                if wanted := [p for p in dict.fromkeys([pieces[i] for i in which]) if p not in self.index]:
+                    self._learn(wanted, simple)
             at[new] = [self.index[pieces[i]] for i in new]
         self.met += np.bincount(at, minlength=len(self.met))
         n = self.counts[at]

@@ -61,35 +61,50 @@ class Curve:
     def __init__(self, dims: int = DIMS, hashed: int = HASHED, order: int = ORDER, seed: int = SEED) -> None:
         self.hashed, self.order = hashed, order
         self.projection = np.random.default_rng(seed).standard_normal((hashed, dims))
+        self.cells = np.zeros(0, np.int64)  # by id: its cell, then whether it counts for or against
+
+    def _cells(self, top: int) -> np.ndarray:
+        if top >= len(self.cells):
+            mixed = np.arange(1, max(1 << 16, top + 1) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            cell = (mixed >> np.uint64(40)) % np.uint64(self.hashed) * np.uint64(2)
+            self.cells = (cell + ((mixed >> np.uint64(39)) & np.uint64(1))).astype(np.int64)
+        return self.cells
 
     def keys(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         n = len(bounds) - 1
-        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        cell = (mixed >> np.uint64(40)) % np.uint64(self.hashed)
-        sign = np.where((mixed >> np.uint64(39)) & np.uint64(1), 1.0, -1.0)
-        doc = np.repeat(np.arange(n), np.diff(bounds))
-        vectors = np.bincount(doc * self.hashed + cell.astype(np.int64), sign, n * self.hashed).reshape(n, self.hashed)
+        doc = np.repeat(np.arange(n) * (2 * self.hashed), np.diff(bounds))
+        doc += self._cells(int(ids.max(initial=0)))[ids]
+        counts = np.bincount(doc, minlength=n * 2 * self.hashed).reshape(n, self.hashed, 2)
+        vectors = (counts[:, :, 1] - counts[:, :, 0]).astype(float)
         norm = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
         points = vectors / np.maximum(norm, 1e-12) @ self.projection  # about standard normal in each dimension
         level = (1 / (1 + np.exp(-1.702 * points)) * (1 << self.order)).astype(np.int64)
         return hilbert(np.clip(level, 0, (1 << self.order) - 1), self.order)
 
 
+def id_width(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
+
+
 def tokenized(docs: DataFrame, path: str, kind: str = "byte", end: int = END) -> DataFrame:
-    """(doc_id, key, n, ids: little-endian uint32 bytes) a row: the text's ids, then ``end``."""
+    """(doc_id, key, n, ids) a row: the text's ids, then ``end``, as little-endian integers of 2 bytes if all ids of
+    the vocabulary fit, else of 4."""
+    width = id_width(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         curve = Curve()
         for b in batches:
             for first, texts in slices(b.column(1)):
                 ids, bounds = encode_ended(path, kind, texts, end)
-                raw = ids.astype("<u4").tobytes()
+                raw = ids.astype(f"<u{width}").tobytes()
                 yield pa.record_batch(
                     [
                         b.column(0).slice(first, len(texts)),
                         pa.array(curve.keys(ids, bounds)),
                         pa.array(np.diff(bounds)),
-                        pa.array([raw[4 * x : 4 * y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+                        pa.array([raw[width * x : width * y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
                     ],
                     ["doc_id", "key", "n", "ids"],
                 )
@@ -98,8 +113,9 @@ def tokenized(docs: DataFrame, path: str, kind: str = "byte", end: int = END) ->
     return docs.mapInArrow(run, "doc_id bigint, key bigint, n bigint, ids binary")
 
 
-def pieces(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Sequences filled along the curve, one row a piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
+def pieces(tokens: DataFrame, width: int, length: int = LENGTH, digest: bool = False) -> DataFrame:
+    """Sequences filled along the curve, one row a piece: doc_id, start, length, doc_tokens, sequence_id, offset, and
+    ids (little-endian, 4 bytes) or, with ``digest``, ids_crc32 of these.
 
     A partition holds a stretch of the curve and fills sequences of ``length`` from one document's end to the next's
     start. What is left at its end is under ``length``; it is cut into sequences of falling powers of two, which are
@@ -108,24 +124,24 @@ def pieces(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     total = tokens.agg(F.sum("n")).first()[0] or 0
     parts = max(8, -(-total // PARTITION_TOKENS))
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32" if digest else "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence, room, offset = TaskContext.get().partitionId() << SHIFT, length, 0
-        held: list[tuple] = []  # pieces of the sequence being filled
+        held: list[tuple] = []  # pieces of the sequence being filled; their ids as arrays
 
         def close(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
-            names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-            kinds = [pa.int64()] * 6 + [pa.binary()]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+            *cols, ids = zip(*rows, strict=True)
+            last = pa.array([crc(x) for x in ids], pa.int64()) if digest else pa.array([x.tobytes() for x in ids], pa.binary())
+            return pa.record_batch([*(pa.array(c, pa.int64()) for c in cols), last], names)
 
         for b in batches:
             done = []
-            for doc, n, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                ids, start = ids.as_buffer(), 0
+            for doc, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                ids, start = np.frombuffer(raw.as_buffer(), f"<u{width}").astype("<u4"), 0
                 while start < n:
                     take = min(room, n - start)
-                    held.append((doc, start, take, n, sequence, offset, ids[4 * start : 4 * (start + take)].to_pybytes()))
+                    held.append((doc, start, take, n, sequence, offset, ids[start : start + take]))
                     start, offset, room = start + take, offset + take, room - take
                     if not room:
                         done += held
@@ -139,30 +155,24 @@ def pieces(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
                 at = 0
                 while at < n:
                     take = min(room, n - at)
-                    out.append((doc, start + at, take, whole, sequence, offset, ids[4 * at : 4 * (at + take)]))
+                    out.append((doc, start + at, take, whole, sequence, offset, ids[at : at + take]))
                     at, offset, room, size = at + take, offset + take, room - take, size - take
                     if not room and size:
                         sequence, room, offset = sequence + 1, 1 << (size.bit_length() - 1), 0
             yield close(out)
 
     ranged = tokens.repartitionByRange(int(parts), "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
-    return ranged.select("doc_id", "n", "ids").mapInArrow(
-        run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-    )
+    kinds = ", ".join(f"{c} bigint" for c in names[:-1]) + (", ids_crc32 bigint" if digest else ", ids binary")
+    return ranged.select("doc_id", "n", "ids").mapInArrow(run, kinds)
 
 
-def pack(docs: DataFrame, path: str, kind: str = "byte", length: int = LENGTH) -> DataFrame:
-    """Pack ``docs`` (doc_id, text) into sequences of ``length`` ids: the pieces, each with its ids.
+def pack(docs: DataFrame, path: str, kind: str = "byte", length: int = LENGTH, digest: bool = False) -> DataFrame:
+    """Pack ``docs`` (doc_id, text) into sequences of ``length`` ids: the pieces, as of ``pieces``.
 
     Null or empty text: the end id alone. Null ids and repeated rows are packed like any other (repeated rows give
     repeated pieces, in different places); other columns are not looked at; an empty table gives no rows.
     """
-    return pieces(cut(tokenized(docs, path, kind), "tokens"), length)
-
-
-def digest(packed: DataFrame) -> DataFrame:
-    """The pieces with ids_crc32, the CRC of a piece's little-endian ids, in place of the ids."""
-    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pieces(cut(tokenized(docs, path, kind), "tokens"), id_width(path), length, digest)
 
 
 def crc(ids: np.ndarray) -> int:

@@ -17,7 +17,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), digest=True)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,9 @@ MIN_BYTES = 400
 #: Bytes worked on at once; a longer text is worked on alone.
 SLICE = 1 << 18
 #: Suffixes a bucket is meant to have.
-BUCKET = 60_000
+BUCKET = 16_000
+#: Strings to compare with other buckets that a bucket holds before it passes them on.
+SENT = 100_000
 #: Bits of the filter that spares most texts a shuffle: 2**24 bits are 2 MB, whatever the input.
 FILTER_BITS = 24
 M64 = (1 << 64) - 1
@@ -263,6 +265,7 @@ def _bucket(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     a, near, far = (col(x).to_numpy().astype(np.int64) for x in ("a", "near", "far"))
     order, lcp = multikey_sort(ahead)
     ahead, behind, a, near, far = ahead[order], behind[order], a[order], near[order], far[order]
+    del table
     back_order, back_lcp = multikey_sort(behind)
     n = len(a)
     tie = np.cumsum(lcp < k)
@@ -308,6 +311,9 @@ def _bucket(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         one = one[rank[one] >= 0]
         if len(one):
             sent.append((one, np.full(len(one), o), count, *(s[rank[one]].view(np.int64) for s in sums)))
+            if sum(len(x[0]) for x in sent) > SENT:
+                yield _to_compare(sent, tids, order, a)
+                sent = []
     if hit_row:
         row, s, e = _covers(np.concatenate(hit_row), np.concatenate(hit_start), length)
         m = len(row)
@@ -317,22 +323,26 @@ def _bucket(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
             ["tid", "a", "s", "e", "o", "h1", "h2", "n"],
         )
     if sent:
-        one, o, count, h1, h2 = (np.concatenate(x) for x in zip(*sent, strict=True))
-        once = count == 1
-        m = len(one)
-        yield pa.record_batch(
-            [
-                tids.take(pa.array(np.where(once, order[one], 0), mask=~once)),
-                pa.array(np.where(once, a[one], 0).astype(np.int32), mask=~once),
-                pa.nulls(m, pa.int64()),
-                pa.nulls(m, pa.int64()),
-                pa.array(o.astype(np.int32)),
-                pa.array(h1),
-                pa.array(h2),
-                pa.array(np.minimum(count, 2).astype(np.int32)),
-            ],
-            ["tid", "a", "s", "e", "o", "h1", "h2", "n"],
-        )
+        yield _to_compare(sent, tids, order, a)
+
+
+def _to_compare(sent: list[tuple[np.ndarray, ...]], tids: pa.Array, order: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+    one, o, count, h1, h2 = (np.concatenate(x) for x in zip(*sent, strict=True))
+    once = count == 1
+    m = len(one)
+    return pa.record_batch(
+        [
+            tids.take(pa.array(np.where(once, order[one], 0), mask=~once)),
+            pa.array(np.where(once, a[one], 0).astype(np.int32), mask=~once),
+            pa.nulls(m, pa.int64()),
+            pa.nulls(m, pa.int64()),
+            pa.array(o.astype(np.int32)),
+            pa.array(h1),
+            pa.array(h2),
+            pa.array(np.minimum(count, 2).astype(np.int32)),
+        ],
+        ["tid", "a", "s", "e", "o", "h1", "h2", "n"],
+    )
 
 
 def recurring(suffixes: DataFrame, length: int, rows: int) -> DataFrame:

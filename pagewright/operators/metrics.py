@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from pagewright.functions import text as T
 from pagewright.operators.layout import iou
@@ -32,7 +32,7 @@ def edit_distance(a: list, b: list) -> int:
     return int(row[-1])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def wer(reference: pd.Series, found: pd.Series) -> pd.Series:
     """Word error rate: edit distance over words, over the reference's words."""
     pairs = [(str(r or "").split(), str(f or "").split()) for r, f in zip(reference, found, strict=True)]
@@ -122,7 +122,7 @@ def teds_of(a: str, b: str) -> float:
     return 1 - tree_distance(*trees) / max(map(_size, trees))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def teds(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([teds_of(x, y) for x, y in zip(a, b, strict=True)])
 
@@ -181,8 +181,3 @@ def ground_truth_text(items: DataFrame, categories: list[str]) -> DataFrame:
     key = F.struct(F.col("order").isNull().alias("last"), "order", "text")
     return kept.groupBy("page").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(key)), lambda x: x["text"])).alias("text"))
 
-
-def in_batches(frames: Iterator[pd.DataFrame], function) -> Iterator[pd.DataFrame]:
-    """Apply a plug-in to each batch: for parsers, embedders and models that work on frames."""
-    for f in frames:
-        yield function(f)

@@ -186,7 +186,7 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PART_SQL = r"""
 pc AS MATERIALIZED (SELECT p_partkey AS ord, list_distinct([lower(replace(p_brand, '#', '-')), lower(replace(p_brand, '#', ''))]) AS ids FROM part),
-pq AS (SELECT DISTINCT p_size AS qid, lower(replace(p_brand, '#', '')) AS t FROM part WHERE p_partkey <= 40)"""
+pq AS (SELECT DISTINCT p_size AS qid, lower(replace(p_brand, '#', '')) AS t FROM part)"""
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -196,7 +196,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.col("p_partkey").alias("ord"), F.lit("part").alias("doc"), F.lit(1).alias("page"), F.lit("part").alias("prefix"), F.col("p_name").alias("text"),
         F.array(F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), name).alias("identifiers"),
     )
-    q = p.filter("p_partkey <= 40").groupBy(F.col("p_size").alias("qid")).agg(F.array_sort(F.collect_set(name)).alias("identifiers"))
+    q = p.groupBy(F.col("p_size").alias("qid")).agg(F.array_sort(F.collect_set(name)).alias("identifiers"))
     return c, q
 
 
@@ -219,12 +219,12 @@ def keyword_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{ALL_SQL}, hits AS (SELECT DISTINCT qid, ord FROM keyword WHERE qid % 2 = 0 UNION SELECT DISTINCT qid, ord + 1 FROM keyword)
+    f"""{ALL_SQL}, hits AS (SELECT DISTINCT qid, ord FROM keyword UNION SELECT DISTINCT qid, ord + 1 FROM keyword)
 SELECT qid, ord, score FROM fused UNION ALL SELECT qid, ord, round(1.0::DOUBLE / 110, 9) FROM hits WHERE NOT EXISTS (SELECT 1 FROM fused f WHERE f.qid = hits.qid AND f.ord = hits.ord)"""
 )
 def identifier_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, k, _, fused = _fused(spark, sf_dir)
-    hits = k.filter("qid % 2 = 0").select("qid", "ord").unionByName(k.select("qid", (F.col("ord") + 1).alias("ord")))
+    hits = k.select("qid", "ord").unionByName(k.select("qid", (F.col("ord") + 1).alias("ord")))
     return search.identifier_floor(fused, hits)
 
 
@@ -254,7 +254,7 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CHUNKS_SQL} SELECT row_number() OVER () - 1 AS place, 1 AS one FROM range(3) WHERE (SELECT count(*) FROM chunks) > 0")
 def chunks_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = search.line_chunks(read(spark, sf_dir, "documents"))
-    first = c.filter("page < 50").orderBy("ord").limit(3).select("id")
+    first = c.orderBy("ord").limit(3).select("id")
     ids = first.select((F.row_number().over(_by("id")) - 1).cast("bigint").alias("place"), "id").unionByName(values(spark, [(9, "missing")], "place bigint, id string"))
     return store.by_ids(c, ids).select("place", F.lit(1).alias("one"))
 
@@ -266,18 +266,18 @@ def _by(column: str):
 
 
 @query(
-    """SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, max(label + 100) FROM embeddings WHERE vec_id % 3 = 0 GROUP BY vec_id"""
+    """SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 3) UNION ALL SELECT vec_id, max(label + 100) FROM embeddings WHERE label = 3 GROUP BY vec_id"""
 )
 def embedding_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    new = e.filter("vec_id % 3 = 0").select("vec_id", (F.col("label") + 100).alias("label"))
+    new = e.filter("label = 3").select("vec_id", (F.col("label") + 100).alias("label"))
     return store.upsert(e, new.unionByName(new.withColumn("label", F.col("label") - 1)), ["vec_id"])
 
 
-@query("SELECT DISTINCT left(sha256(text), 32) AS hash FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT DISTINCT left(sha256(text), 32) AS hash FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'en')")
 def embedding_cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    cache = d.filter("doc_id % 2 = 0").select(T.content_hash(F.col("text"), 32).alias("hash"))
+    cache = d.filter("lang = 'en'").select(T.content_hash(F.col("text"), 32).alias("hash"))
     return store.cache_misses(d, cache).select("hash")
 
 
@@ -501,3 +501,391 @@ def sql_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
         return True
 
     return values(spark, [(s, allowed(s)) for s, _ in GUARDED], "statement string, allowed boolean")
+
+
+# --- numerals and figures
+
+PATENT = [
+    ("pat.pdf", 1, 1, "text", "body", "FIG. 1 is a perspective view of the gripper. FIG. 2 is a block diagram of the control system."),
+    ("pat.pdf", 1, 2, "text", "body", "The wings 14, 16 and the valves 74 and 76 are driven by an electromagnet 120a."),
+    ("pat.pdf", 2, 1, "text", "body", "A control unit 160 reads 10 Hz signals. The control unit 160 drives claim 12 and 16-bit data of 2019."),
+    ("pat.pdf", 2, 2, "text", "footer", "Page 7 of gears 55"),
+    ("memo.docx", 1, 1, "text", "body", "The motor 7 runs. The pump 9b stops."),
+]
+PATENT_SCHEMA = "doc string, page int, ord bigint, kind string, role string, text string"
+
+
+@query(
+    literal(
+        [("memo.docx", "9b", "pump", [1], 1), ("pat.pdf", "120a", "electromagnet", [1], 1), ("pat.pdf", "14", "wings", [1], 1), ("pat.pdf", "16", "wings", [1], 1),
+         ("pat.pdf", "160", "control unit", [2], 2), ("pat.pdf", "74", "valves", [1], 1), ("pat.pdf", "76", "valves", [1], 1)],
+        ["doc", "numeral", "name", "pages", "count"],
+    )
+)
+def reference_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numerals.numerals(values(spark, PATENT, PATENT_SCHEMA)).select("doc", "numeral", "name", "pages", "count")
+
+
+@query(literal([("pat.pdf", "FIG. 1", 1, "perspective view of the gripper"), ("pat.pdf", "FIG. 2", 1, "block diagram of the control system")], ["doc", "fig_id", "page", "title"]))
+def figure_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numerals.figure_definitions(values(spark, PATENT, PATENT_SCHEMA))
+
+
+@query(literal([("pat.pdf", 1, ["14 = wings", "120a = electromagnet"])], ["doc", "page", "lines"]))
+def figure_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = values(spark, [("pat.pdf", 1, n) for n in ("120a", "14", "999")], "doc string, page int, numeral string")
+    return numerals.glossary(numerals.numerals(values(spark, PATENT, PATENT_SCHEMA)), wanted)
+
+
+LABELS = [(1, ["60", "(14)", "17", "abc"], ["11", "14", "160"]), (2, ["20"], ["120", "220"]), (3, ["0"], ["8", "18"])]
+
+
+@query(literal([(1, ["14"], ["11", "160"], []), (2, [], [], ["20"]), (3, [], ["8"], [])], ["i", "matched", "repaired", "unmatched"]).replace("[]", "[]::VARCHAR[]"))
+def reconcile_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = values(spark, LABELS, "i int, tokens array<string>, defined array<string>")
+    return t.select("i", numerals.reconciled(F.col("tokens"), F.col("defined")).alias("r")).select("i", "r.*")
+
+
+CAPTIONS = [(1, "FIG. 2 — view"), (2, "Figure 3a. Text"), (3, "fig 12"), (4, "Table 1"), (5, "FIGURE 7: x")]
+
+
+@query(literal([(1, "FIG. 2"), (2, "Figure 3A"), (3, "FIG. 12"), (4, None), (5, "Figure 7")], ["i", "fig"]))
+def figure_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values(spark, CAPTIONS, "i int, c string").select("i", T.figure_id(F.col("c")).alias("fig"))
+
+
+def _page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of documents: the first line a heading, other lines texts; doc ``source``, page ``doc_id``."""
+    c = search.line_chunks(read(spark, sf_dir, "documents"))
+    first = F.col("ord") % (1 << 20) == 0
+    none = F.lit(None)
+    return c.select(
+        "doc", F.col("page").cast("int").alias("page"), "ord", F.lit("text").alias("kind"), F.when(first, "heading").otherwise("body").alias("role"), "text",
+        none.cast("array<array<string>>").alias("cells"), none.cast("string").alias("title"), none.cast("string").alias("caption"), none.cast("string").alias("figure_id"),
+    )
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.chunk_documents(_page_blocks(spark, sf_dir))
+
+
+@query(
+    f"""WITH {CHUNKS_SQL}, b AS (SELECT doc, page, ord, CASE WHEN ord % 1048576 = 0 THEN text END AS h FROM chunks)
+SELECT doc, page, ord, last_value(h IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM b"""
+)
+def carried_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.sections(_page_blocks(spark, sf_dir)).select("doc", F.col("page").cast("bigint").alias("page"), "ord", "section")
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT doc, coalesce(arg_min(text, ord) FILTER (page = 1 AND ord % 1048576 = 0 AND length(text) > 3 AND length(text) < 120), doc) AS title FROM chunks GROUP BY doc")
+def doc_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.titles(_page_blocks(spark, sf_dir))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT doc, page, string_agg(CASE WHEN ord % 1048576 = 0 THEN '## ' || text ELSE text END, chr(10) || chr(10) ORDER BY ord) AS markdown FROM chunks GROUP BY ALL")
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.to_markdown(_page_blocks(spark, sf_dir)).withColumn("page", F.col("page").cast("bigint"))
+
+
+# --- routing
+
+ROUTED = [
+    (1, "What is labelled 160 in FIG. 2?", "numeral", "FIG. 2", ["160"], False), (2, "How many test runs failed?", "sql", None, [], False),
+    (3, "What is the maximum discharge current?", "hybrid", None, [], False), (4, "What is component 204a?", "numeral", None, ["204a"], False),
+    (5, "How many wings are shown in the figure?", "hybrid", None, [], True), (6, "What is the highest unit cost in the bill of materials?", "sql", None, [], False),
+]
+
+
+@query(literal([r[:1] + r[2:] for r in ROUTED], ["qid", "route", "fig_id", "numerals", "visual"]).replace("[]", "[]::VARCHAR[]"))
+def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = values(spark, [r[:2] for r in ROUTED], "qid int, question string")
+    known = F.array(*(F.lit(n) for n in ("160", "112", "18", "74")))
+    return routing.parse(q, known).select("qid", "route", "fig_id", "numerals", "visual")
+
+
+ALIAS_CHUNKS = [
+    ("US8485576B2.pdf", 1, 1, ["fig1"]), ("EV-BMS-100_design_document.pdf", 1, 1, ["ev-bms-100", "evbms100"]), ("test_log.csv", 1, 1, ["ev-bms-100"]),
+]
+ALIAS_SCHEMA = "doc string, page int, ord bigint, identifiers array<string>"
+
+
+@query(literal([("EV-BMS-100_design_document.pdf", ["design", "document", "evbms100"]), ("US8485576B2.pdf", ["8485576", "us8485576", "us8485576b2"]), ("test_log.csv", ["evbms100", "test"])], ["doc", "aliases"]))
+def doc_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.doc_aliases(values(spark, ALIAS_CHUNKS, ALIAS_SCHEMA))
+
+
+@query(literal([(1, "US8485576B2.pdf", []), (2, None, ["EV-BMS-100_design_document.pdf"]), (3, None, [])], ["qid", "doc", "doc_boost"]).replace("[]", "[]::VARCHAR[]"))
+def doc_pin_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = values(spark, [(1, ["us8485576"]), (2, ["ev-bms-100", "evbms100"]), (3, ["fig2"])], "qid int, identifiers array<string>")
+    return routing.resolve(q, routing.doc_aliases(values(spark, ALIAS_CHUNKS, ALIAS_SCHEMA)))
+
+
+@query(literal([(1, "160", ["a.pdf", "b.pdf"]), (2, "160", ["b.pdf"]), (3, "12", ["a.pdf"])], ["qid", "numeral", "docs"]))
+def numeral_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = values(spark, [(1, ["999", "160"], None), (2, ["160"], "b.pdf"), (3, ["12", "160"], None), (4, ["5"], None)], "qid int, numerals array<string>, doc string")
+    e = values(spark, [("a.pdf", "160", "unit"), ("b.pdf", "160", "gear"), ("a.pdf", "12", "wing")], "doc string, numeral string, name string")
+    return routing.numeral_lookup(q, e).select("qid", "numeral", "docs")
+
+
+# --- evidence and answers
+
+
+@query("SELECT l_orderkey % 500 AS table_id, list_sort(list(DISTINCT l_linenumber)) AS pages FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) > 1")
+def split_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("table_id"), F.col("l_linenumber").alias("page"))
+    return answers.split_tables(t)
+
+
+@query(
+    "WITH i AS (SELECT c_nationkey AS qid, CASE c_custkey % 10 WHEN 0 THEN 'numeral' WHEN 1 THEN 'sql' ELSE 'chunk' END AS source, c_custkey AS place FROM customer)"
+    " SELECT qid, place, 'e' || row_number() OVER (PARTITION BY qid ORDER BY CASE source WHEN 'numeral' THEN 0 WHEN 'sql' THEN 1 ELSE 2 END, place) AS eid FROM i"
+)
+def build_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("c_custkey") % 10 == 0, "numeral").when(F.col("c_custkey") % 10 == 1, "sql").otherwise("chunk")
+    items = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("qid"), kind.alias("source"), F.col("c_custkey").alias("place"))
+    return answers.build_evidence(items).select("qid", "place", "eid")
+
+
+@query(literal([(1, ["a", "b"], [2, 1]), (2, ["a", "a"], [7, 8])], ["qid", "docs", "pages"]))
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, 1, "a", 2, None), (1, 2, "b", 1, None), (1, 3, "a", 2, None), (2, 1, "a", 7, [8])]
+    c = answers.citations(values(spark, rows, "qid int, place int, doc string, page int, extra_pages array<int>"))
+    return c.select("qid", F.transform("cites", lambda x: x["doc"]).alias("docs"), F.transform("cites", lambda x: x["page"]).alias("pages"))
+
+
+EVIDENCE = [
+    (1, "e1", "a.pdf", "text", "The current is 320 A at l2 V."), (2, "e1", "a.pdf", "text", "Four wings flap."), (3, "e1", "a.pdf", "text", "Nothing."),
+    (4, "e1", "a.pdf", "text", "It weighs 5 kg."), (5, "e1", "a.pdf", "text", "x"), (6, "e1", "b.pdf", "sql_result", "7 rows"),
+]
+DRAFTS = [
+    (1, "current?", "The current is 320 A at 12 V.", None, ["e1", "e9"], False), (2, "wings?", "There are four wings.", None, ["e1"], False),
+    (3, "how much?", "It is 77.", None, ["e1"], False), (4, "weight?", "It weighs 5 kg.", "b.pdf", ["e1"], False), (5, "?", "", None, [], True), (6, "rows?", "7 rows", "a.pdf", ["e1"], False),
+]
+
+
+@query(literal([(1, True, False, []), (2, True, False, []), (3, False, True, ["77"]), (4, False, True, ["5"]), (5, True, True, []), (6, True, False, [])], ["qid", "ok", "not_found", "missing"]).replace("[]", "[]::VARCHAR[]"))
+def verify_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = values(spark, DRAFTS, "qid int, question string, answer string, doc string, cited array<string>, declined boolean")
+    e = values(spark, EVIDENCE, "qid int, eid string, doc string, kind string, text string")
+    return answers.verify(d, e).select("qid", "ok", "not_found", "missing")
+
+
+PAIRS_SQL = "p AS (SELECT a.conv_id, a.turn, a.text AS answer, q.text AS question FROM conversations a JOIN conversations q ON a.conv_id = q.conv_id AND a.turn = q.turn + 1)"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "conversations")
+    q = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    return c.select("conv_id", "turn", F.col("text").alias("answer")).join(q, ["conv_id", "turn"])
+
+
+OVERLAP_STOP = "[" + ", ".join(f"'{w}'" for w in T.OVERLAP_STOP_WORDS) + "]"
+
+
+@query(
+    rf"""WITH {PAIRS_SQL}, w AS (SELECT conv_id, turn, lower(question) AS q, list_filter(regexp_extract_all(lower(answer), '[a-z][a-z\-]{{3,}}'), lambda x: NOT list_contains({OVERLAP_STOP}, x)) AS ws FROM p)
+SELECT conv_id, turn, CASE WHEN len(ws) > 0 THEN round(len(list_filter(ws, lambda x: contains(q, x) OR contains(q, regexp_replace(x, 's+$', ''))))::DOUBLE / len(ws), 6) END AS overlap FROM w"""
+)
+def content_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(T.content_overlap(F.col("answer"), F.col("question")), 6).alias("overlap"))
+
+
+MATCHES = [(1, "320 A", "322 A", True), (2, "320 A", "330 A", False), (3, "15", "fifteen", True), (4, "two in the wings", "none", True), (5, "1,000", "1000 units", True), (6, "3 and 4", "3", False)]
+
+
+@query(literal([(i, ok) for i, _, _, ok in MATCHES], ["i", "ok"]))
+def nums_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = values(spark, [m[:3] for m in MATCHES], "i int, r string, a string")
+    return t.select("i", T.nums_match(F.col("r"), F.col("a")).alias("ok"))
+
+
+SCORED_SQL = r"""t AS (SELECT l.doc_id AS qid, d.lang AS type, d.source AS g, CASE WHEN l.doc_id % 4 = 0 THEN 'none' ELSE d.source END AS c, l.quality = 1 AS graded, l.toxic = 1 AS not_found, l.doc_id % 7 <> 0 AS answerable FROM labels l JOIN documents d USING (doc_id)),
+s AS (SELECT qid, type, not_found, CASE WHEN answerable THEN true END AS retrieved, CASE WHEN answerable THEN g = c END AS page_hit, CASE WHEN answerable THEN NOT not_found END AS nums_ok, not_found = (NOT answerable) AS nf_ok,
+CASE WHEN answerable THEN CASE WHEN g = c THEN 1.0::DOUBLE ELSE 0 END END AS citation_precision, CASE WHEN NOT answerable THEN not_found WHEN not_found THEN false ELSE graded END AS correct FROM t)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    cited = F.when(F.col("doc_id") % 4 == 0, "none").otherwise(F.col("source"))
+    gold = F.when(F.col("doc_id") % 7 != 0, F.array("source")).otherwise(F.array().cast("array<string>"))
+    rows = t.select(
+        F.col("doc_id").alias("qid"), F.col("lang").alias("type"), gold.alias("gold"), F.array("source").alias("retrieved"), F.array(cited).alias("cited"),
+        F.concat(F.lit("value "), "doc_id").alias("reference"), F.concat(F.lit("it is "), "doc_id").alias("answer"), (F.col("toxic") == 1).alias("not_found"), (F.col("quality") == 1).alias("graded"),
+    )
+    return answers.score(rows)
+
+
+@query(f"WITH {SCORED_SQL} SELECT * FROM s")
+def score_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+@query(
+    f"""WITH {SCORED_SQL} SELECT coalesce(type, 'all') AS type, count(*) AS n, round(avg(correct::INTEGER::DOUBLE), 6) AS correct, round(avg(page_hit::INTEGER::DOUBLE), 6) AS page_hit, round(avg(nums_ok::INTEGER::DOUBLE), 6) AS nums_ok, round(avg(nf_ok::INTEGER::DOUBLE), 6) AS nf_ok,
+round(avg(citation_precision), 6) AS citation_precision, sum(CASE WHEN correct THEN 1 WHEN not_found THEN 0 ELSE -2 END)::BIGINT AS penalty FROM s GROUP BY GROUPING SETS ((type), ())"""
+)
+def penalty_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.summary(_scored(spark, sf_dir))
+
+
+@query(
+    f"""WITH {SCORED_SQL} SELECT qid, CASE WHEN retrieved IS NULL THEN CASE WHEN NOT not_found THEN 'abstention' END WHEN correct AND page_hit THEN 'none' WHEN correct THEN 'citation' WHEN qid % 5 = 0 THEN 'extraction' WHEN not_found THEN 'abstention' ELSE 'generation' END AS stage FROM s"""
+)
+def attribute_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scored(spark, sf_dir)
+    stage = answers.failure_stage(F.col("retrieved").isNotNull(), F.col("correct"), F.col("page_hit"), F.col("retrieved"), F.col("qid") % 5 != 0, F.col("not_found"))
+    return s.select("qid", stage.alias("stage"))
+
+
+@query(literal([(1, True), (2, True), (3, False), (4, True)], ["id", "handled"]))
+def adversarial_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, "count", "no such thing", True, False, False, False), (2, "count", "There are zero.", False, False, True, False), (3, "count", "Five.", False, False, True, False), (4, "visual", "It is red", False, True, False, True)]
+    t = values(spark, rows, "id int, category string, answer string, not_found boolean, visual boolean, accept_zero boolean, accept_visual boolean")
+    return answers.adversarial(t).select("id", "handled")
+
+
+# --- layout
+
+BOX_SQL = "b AS (SELECT l_orderkey AS page, l_linenumber AS n, (l_partkey % 500)::DOUBLE AS x0, (l_suppkey % 70 * 10)::DOUBLE AS y0, (l_partkey % 500 + 20 + l_quantity * 3)::DOUBLE AS x1, (l_suppkey % 70 * 10 + 12 + l_linenumber)::DOUBLE AS y1 FROM lineitem)"
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "lineitem")
+    x0, y0 = F.col("l_partkey") % 500, F.col("l_suppkey") % 70 * 10
+    t = t.select(F.lit("d").alias("doc"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), x0.alias("x0"), y0.alias("y0"), (x0 + 20 + F.col("l_quantity") * 3).alias("x1"), (y0 + 12 + F.col("l_linenumber")).alias("y1"))
+    return t.select("doc", "page", "n", layout.box("x0", "y0", "x1", "y1").alias("bbox"))
+
+
+@query(
+    f"""WITH {BOX_SQL}, p AS (SELECT a.page, a.n AS n1, c.n AS n2, greatest(least(a.x1, c.x1) - greatest(a.x0, c.x0), 0) * greatest(least(a.y1, c.y1) - greatest(a.y0, c.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (c.x1 - c.x0) * (c.y1 - c.y0) AS s FROM b a JOIN b c ON a.page = c.page AND a.n < c.n)
+SELECT page, n1, n2, round(i / (s - i), 6) AS iou FROM p WHERE i > 0"""
+)
+def bbox_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _boxes(spark, sf_dir)
+    a, c = b.select("page", F.col("n").alias("n1"), F.col("bbox").alias("a")), b.select("page", F.col("n").alias("n2"), F.col("bbox").alias("c"))
+    t = a.join(c, "page").filter("n1 < n2").select("page", "n1", "n2", F.round(layout.iou(F.col("a"), F.col("c")), 6).alias("iou"))
+    return t.filter("iou > 0")
+
+
+@query(
+    f"""WITH {BOX_SQL}, f AS (SELECT * FROM b WHERE n = 1), c AS (SELECT * FROM b WHERE n > 1),
+k AS (SELECT f.page, c.n, least(f.x1, c.x1) - greatest(f.x0, c.x0) AS h, c.y0 - f.y1 AS below, f.y0 - c.y1 AS above FROM f JOIN c USING (page)),
+s AS (SELECT page, n, CASE WHEN below >= -2 THEN below ELSE above END AS gap, CASE WHEN below >= -2 THEN 0 ELSE 30 END AS pen FROM k WHERE h > 0)
+SELECT page, arg_min('c' || n, struct_pack(s := gap + pen, n := n)) AS caption FROM s WHERE gap >= -2 AND gap <= 90 GROUP BY page"""
+)
+def nearest_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _boxes(spark, sf_dir)
+    fig = b.filter("n = 1").select("doc", "page", F.col("n").alias("fig"), "bbox")
+    text = b.filter("n > 1").select("doc", "page", F.col("n").alias("ord"), F.lit("caption").alias("role"), F.concat(F.lit("c"), "n").alias("text"), "bbox")
+    return layout.captions(fig, text).select("page", "caption")
+
+
+@query(
+    f"""WITH {BOX_SQL} SELECT page, n FROM b x WHERE n > 2 AND NOT EXISTS (SELECT 1 FROM b t WHERE t.n = 1 AND t.page = x.page AND (x.x0 + x.x1) / 2 BETWEEN t.x0 - 2 AND t.x1 + 2 AND (x.y0 + x.y1) / 2 BETWEEN t.y0 - 2 AND t.y1 + 2)"""
+)
+def text_inside_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _boxes(spark, sf_dir)
+    return layout.outside_tables(b.filter("n > 2"), b.filter("n = 1")).select("page", "n")
+
+
+@query(
+    f"""WITH {BOX_SQL}, t AS (SELECT *, max(x1) OVER (PARTITION BY page) - min(x0) OVER (PARTITION BY page) AS w FROM b), m AS (SELECT *, max(x1) OVER (PARTITION BY page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t WHERE x1 - x0 < 0.62 * w),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR x0 > before + 12 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM m),
+f AS (SELECT page, min(x0) AS x0, max(x1) AS x1 FROM g GROUP BY page, g HAVING max(x1) - min(x0) > 0.15 * any_value(w)),
+e AS (SELECT page, min(x0) AS x0, max(x1) AS x1 FROM b WHERE page NOT IN (SELECT page FROM f) GROUP BY page), u AS (SELECT * FROM f UNION ALL SELECT * FROM e)
+SELECT page, (row_number() OVER (PARTITION BY page ORDER BY x0, x1) - 1)::INTEGER AS col, x0, x1 FROM u"""
+)
+def detect_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.columns(_boxes(spark, sf_dir)).select("page", "col", "x0", "x1")
+
+
+TWO_COLUMNS = [("TITLE", 50.0, 40.0, 550.0, 60.0), ("L1", 50.0, 80.0, 290.0, 100.0), ("L2", 50.0, 110.0, 290.0, 130.0), ("L3", 50.0, 140.0, 290.0, 160.0), ("R1", 310.0, 80.0, 550.0, 100.0), ("R2", 310.0, 110.0, 550.0, 130.0), ("R3", 310.0, 140.0, 550.0, 160.0)]
+
+
+@query(literal([("TITLE", 1), ("L1", 2), ("L2", 3), ("L3", 4), ("R1", 5), ("R2", 6), ("R3", 7)], ["id", "place"]))
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = values(spark, TWO_COLUMNS[::-1], "id string, x0 double, y0 double, x1 double, y1 double")
+    t = t.select(F.lit("d").alias("doc"), F.lit(1).alias("page"), "id", layout.box("x0", "y0", "x1", "y1").alias("bbox"))
+    return layout.reading_order(t).select("id", "place")
+
+
+@query(literal([("t", 0, ["A", "B"]), ("t", 1, ["one", "two more words"]), ("t", 3, ["three", ""])], ["tbl", "n", "cells"]))
+def merge_continuation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("t", 0, ["A", "B"]), ("t", 1, ["one", "two"]), ("t", 2, ["", "more words"]), ("t", 3, ["three", ""])]
+    return layout.continuation_rows(values(spark, rows, "tbl string, n int, cells array<string>"))
+
+
+ROLES = [("FIG. 2 — view", 10.0, False, 20.0, 30.0), ("running head", 10.0, False, 20.0, 30.0), ("3.2 Thermal", 10.0, True, 300.0, 310.0), ("A LARGE TITLE", 16.0, False, 300.0, 320.0), ("plain text", 10.0, False, 300.0, 310.0), ("page 3", 9.0, False, 780.0, 790.0)]
+
+
+@query(literal([("FIG. 2 — view", "caption"), ("running head", "header"), ("3.2 Thermal", "heading"), ("A LARGE TITLE", "heading"), ("plain text", "body"), ("page 3", "footer")], ["text", "role"]))
+def block_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = values(spark, ROLES, "text string, size double, bold boolean, y0 double, y1 double").withColumns({"x0": F.lit(0.0), "x1": F.lit(100.0)})
+    return t.select("text", layout.role(F.col("text"), F.col("size"), F.col("bold"), layout.box("x0", "y0", "x1", "y1"), F.lit(10.0), F.lit(800.0)).alias("role"))
+
+
+@query(
+    "SELECT l_orderkey AS page, quantile_disc(l_quantity, 0.5) >= 0 AS sound FROM lineitem GROUP BY 1"
+)
+def body_font(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "lineitem").select(F.lit("d").alias("doc"), F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("size"), F.repeat(F.lit("x"), (F.col("l_linenumber") * 30).cast("int")).alias("text"))
+    return layout.body_size(t).select("page", (F.col("body") >= 0).alias("sound"))
+
+
+# --- metrics
+
+
+@query(f"WITH {PAIRS_SQL} SELECT conv_id, turn, round(levenshtein(regexp_replace(question, '[^ -~]', '?', 'g'), regexp_replace(answer, '[^ -~]', '?', 'g'))::DOUBLE / greatest(length(question), 1), 6) AS cer FROM p")
+def cer_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.cer(_plain("question"), _plain("answer")), 6).alias("cer"))
+
+
+def _plain(column: str):
+    """Other characters than ASCII as question marks: the SQL's edit distance counts bytes."""
+    return F.regexp_replace(column, "[^ -~]", "?")
+
+
+@query("SELECT a.p_partkey AS i, round(1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)), 6) AS s FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    return p.join(q, "p_partkey").select(F.col("p_partkey").alias("i"), F.round(T.similarity(F.col("p_name"), F.col("other")), 6).alias("s"))
+
+
+@query(
+    "WITH a AS (SELECT l_orderkey AS doc, l_linenumber AS n, l_suppkey AS pos, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS nx FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_suppkey))"
+    " SELECT doc, count(*) FILTER (nx > pos) AS right_, count(*) AS pairs FROM a WHERE nx IS NOT NULL GROUP BY doc"
+)
+def pair_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n")).agg(F.min("l_suppkey").alias("pos"))
+    return metrics.order_accuracy(t).withColumnRenamed("right", "right_")
+
+
+@query(literal([("same", 1.0), ("one cell", 0.928571), ("words", 0.5)], ["name", "value"]))
+def tree_and_word_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = "<table><tr><td>aaaa</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>"
+    rows = [("same", a, a), ("one cell", a, a.replace("aaaa", "aabb").replace("<td>d</td>", "<td>d</td>").replace("aabb", "aa")), ("words", "one two three four", "one three five")]
+    t = values(spark, rows, "name string, a string, b string")
+    value = F.when(F.col("name") == "words", metrics.wer("a", "b")).otherwise(metrics.teds("a", "b"))
+    return t.select("name", F.round(value, 6).alias("value"))
+
+
+@query(literal([("d", 3, 4)], ["doc", "right_", "cells"]))
+def table_cell_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = values(spark, [("d", 1, ["Current", "320 A"]), ("d", 2, ["Voltage", "12 V"])], "doc string, row int, cells array<string>")
+    f = values(spark, [("d", 1, ["current", "320  a"]), ("d", 2, ["Voltages", "12 V"])], "doc string, frow int, cells array<string>")
+    return metrics.cell_accuracy(g, f).select("doc", F.col("right").cast("int").alias("right_"), F.col("cells").cast("int").alias("cells"))
+
+
+@query("SELECT 0.583333::DOUBLE AS label_recall, 2 AS n")
+def figure_label_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = values(spark, [(["1", "2", "3"], ["1", "2"]), (["4", "5"], ["5"]), ([], ["9"])], "gold array<string>, found array<string>")
+    return metrics.label_recall(t).withColumn("n", F.col("n").cast("int"))
+
+
+@query(f"WITH {BOX_SQL}, g AS (SELECT * FROM b WHERE n = 1), f AS (SELECT page, x0 + 5 AS x0, y0 + 3 AS y0, x1, y1 FROM b WHERE n = 1) SELECT (SELECT count(*) FROM g) AS n, (SELECT count(*) FROM g WHERE EXISTS (SELECT 1 FROM f WHERE f.page = g.page AND greatest(least(g.x1, f.x1) - greatest(g.x0, f.x0), 0) * greatest(least(g.y1, f.y1) - greatest(g.y0, f.y0), 0) / ((g.x1 - g.x0) * (g.y1 - g.y0) + (f.x1 - f.x0) * (f.y1 - f.y0) - greatest(least(g.x1, f.x1) - greatest(g.x0, f.x0), 0) * greatest(least(g.y1, f.y1) - greatest(g.y0, f.y0), 0)) >= 0.5)) AS hit")
+def figure_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _boxes(spark, sf_dir).filter("n = 1")
+    moved = b.select("doc", "page", F.struct((F.col("bbox.x0") + 5).alias("x0"), (F.col("bbox.y0") + 3).alias("y0"), F.col("bbox.x1").alias("x1"), F.col("bbox.y1").alias("y1")).alias("bbox"))
+    return metrics.figure_recall(b.withColumnRenamed("n", "fig"), moved)

@@ -889,3 +889,37 @@ def figure_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _boxes(spark, sf_dir).filter("n = 1")
     moved = b.select("doc", "page", F.struct((F.col("bbox.x0") + 5).alias("x0"), (F.col("bbox.y0") + 3).alias("y0"), F.col("bbox.x1").alias("x1"), F.col("bbox.y1").alias("y1")).alias("bbox"))
     return metrics.figure_recall(b.withColumnRenamed("n", "fig"), moved)
+
+
+# --- sources, engine, streams
+
+
+@query()
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.sources import files
+
+    return files.read_html(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), "html"))
+
+
+@query()
+def ask_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.plans import engine
+
+    c = search.line_chunks(read(spark, sf_dir, "documents")).withColumn("identifiers", T.extract_identifiers(F.col("text")))
+    return engine.ask(_questions(spark, sf_dir), c)
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.streaming import ingest
+
+    e = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    t = ingest.windowed_counts(e)
+    return t.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT left(sha256(text), 32) AS hash FROM documents GROUP BY text")
+def stream_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.streaming import ingest
+
+    return ingest.new_texts(read(spark, sf_dir, "documents"), None).select("hash")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Applications that have been given the package.
 _given: set[str] = set()
@@ -44,3 +45,13 @@ def give_package(spark: SparkSession) -> None:
                     z.write(os.path.join(folder, n), os.path.join("pagewright", os.path.relpath(os.path.join(folder, n), top)))
     context.addPyFile(target)
     _given.add(context.applicationId)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the folder that spark.checkpoint.dir names, and read again: what uses it more than
+    once does not compute it again, and executors may be lost. Without such a folder (tests), one of our own."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "pagewright-scratch")
+    path = f"{root}/pagewright-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -38,7 +38,7 @@ RULES = (
 UNWANTED = (
     "casino win bet bets betting jackpot poker slots lottery roulette gamble pills pharma viagra cheap discount replica "
     "adult xxx porn sex cam escort nude loan payday credit cash forex crypto miner ads track tracker click popup banner "
-    "torrent warez crack keygen free prize spam phish"
+    "torrent warez crack keygen free prize spam phish farm scam"
 )
 ORDINARY = (
     "news blog daily times journal library school university college science history museum archive garden kitchen recipe "

@@ -368,12 +368,13 @@ def _bit(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)) + 1
 
 
-def maybe(docs: DataFrame, keys: DataFrame, inside: bool = True) -> DataFrame:
-    """The rows of ``docs`` whose tid may be among ``keys`` (or surely is not): a filter of fixed size, broadcast."""
-    bits = keys.select(F.bitmap_bucket_number(_bit(F.col("tid"))).alias("pw_bucket"), F.bitmap_bit_position(_bit(F.col("tid"))).alias("pos"))
-    bits = bits.groupBy("pw_bucket").agg(F.bitmap_construct_agg("pos").alias("pw_bits"))
-    place = F.bitmap_bit_position(_bit(F.col("tid")))
-    joined = docs.withColumn("pw_bucket", F.bitmap_bucket_number(_bit(F.col("tid")))).join(F.broadcast(bits), "pw_bucket", "left")
+def maybe(docs: DataFrame, keys: DataFrame, inside: bool = True, key: str = "tid") -> DataFrame:
+    """The rows of ``docs`` whose ``key`` may be among those of ``keys`` (or surely is not): a filter of fixed size,
+    broadcast."""
+    bits = keys.select(F.bitmap_bucket_number(_bit(F.col(key))).alias("pw_bucket"), F.bitmap_bit_position(_bit(F.col(key))).alias("pw_pos"))
+    bits = bits.groupBy("pw_bucket").agg(F.bitmap_construct_agg("pw_pos").alias("pw_bits"))
+    place = F.bitmap_bit_position(_bit(F.col(key)))
+    joined = docs.withColumn("pw_bucket", F.bitmap_bucket_number(_bit(F.col(key)))).join(F.broadcast(bits), "pw_bucket", "left")
     byte = F.conv(F.hex(F.substring(F.col("pw_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     there = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
     return joined.filter(there if inside else ~there).select(*docs.columns)
@@ -482,10 +483,10 @@ def stripped(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
     new = new.unionByName(copied.select(F.col("tid").alias("pw_tid"), F.lit("").alias("pw_left")))
     hit = F.col("pw_left").isNotNull() & (F.octet_length("text") >= length)
     out = docs.withColumn("pw_tid", tid)
-    changed = maybe(out.withColumnRenamed("pw_tid", "tid"), new.select(F.col("pw_tid").alias("tid"))).withColumnRenamed("tid", "pw_tid")
-    same = maybe(out.withColumnRenamed("pw_tid", "tid"), new.select(F.col("pw_tid").alias("tid")), inside=False).drop("tid")
-    changed = changed.join(new, "pw_tid", "left").withColumn("text", F.when(hit, F.col("pw_left")).otherwise(F.col("text")))
+    changed, same = (maybe(out, new, inside, "pw_tid") for inside in (True, False))
+    new_text = {"text": F.when(hit, F.col("pw_left")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed = changed.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        new_text["n_chars"] = F.when(hit, F.length("pw_left").cast(kind)).otherwise(F.col("n_chars"))
+    changed = changed.join(new, "pw_tid", "left").withColumns(new_text)
     return same.select(*docs.columns).unionByName(changed.select(*docs.columns))

@@ -84,7 +84,7 @@ fused AS MATERIALIZED (SELECT qid, ord, round(sum(1.0::DOUBLE / (60 + rank)), 9)
 firsts AS (SELECT page, min(ord) AS o, any_value(doc) AS doc FROM chunks GROUP BY page)"""
 PAGES_SQL = r"""
 ranked AS (SELECT qid, doc, page, f.ord, score, row_number() OVER (PARTITION BY qid, doc, page ORDER BY score DESC, f.ord) AS n FROM fused f JOIN chunks c USING (ord)),
-pages AS MATERIALIZED (SELECT qid, doc, page, round(max(score) + 0.1 * coalesce(sum(score) FILTER (n BETWEEN 2 AND 4), 0), 9) AS score, list(ord ORDER BY n) FILTER (n <= 10) AS hits FROM ranked GROUP BY ALL),
+pages AS MATERIALIZED (SELECT qid, doc, page, round(max(score) + 0.1 * coalesce(sum(score) FILTER (n BETWEEN 2 AND 4), 0), 10) AS score, list(ord ORDER BY n) FILTER (n <= 10) AS hits FROM ranked GROUP BY ALL),
 tops AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, hits[1]) AS page_rank FROM pages) WHERE page_rank <= 8)"""
 ALL_SQL = f"WITH {CHUNKS_SQL}, {DENSE_SQL}, {FUSED_SQL}, {PAGES_SQL}"
 

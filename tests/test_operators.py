@@ -200,3 +200,16 @@ def test_rest_works_without_the_training_data_operators():
     top = pathlib.Path(__file__).parent.parent / "pagewright"
     outside = [p for p in top.rglob("*.py") if "llm" not in p.parts]
     assert outside and not [p for p in outside if re.search(r"pagewright\.llm|from \.+llm", p.read_text())]
+
+
+def test_entry_imports_without_the_training_data_operators(tmp_path):
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    top = pathlib.Path(__file__).parent.parent
+    shutil.copytree(top / "pagewright", tmp_path / "pagewright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_search_pages' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})

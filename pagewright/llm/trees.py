@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
     known = known.select(F.col("doc_id"), F.col("quality").cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "y").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = _measured(found, "y").orderBy("x", "y").collect()  # in a fixed order, so that a fit can be repeated
+    got = sorted(_measured(found, "y").collect(), key=lambda r: (r["x"], r["y"]))  # so that a fit can be repeated
     return fit(np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["y"] for r in got]))
 
 

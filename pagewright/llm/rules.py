@@ -172,12 +172,12 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def sift(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns as they are.
 
-    The verdict is computed beside the row, so no join is needed and repeated or null ids do not matter.
+    Rows are written once with their votes, so that texts are looked at once; the verdict stands beside its row, so no
+    join is needed and repeated or null ids do not matter.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("pw_row"), F.col("doc_id"), F.col("text"))
-    base = base_columns(whole.select(F.col("pw_row").alias("doc_id"), "text"))
-    voted = votes(base)
-    model = fit(votes(base_columns(docs)))
+    whole = docs.select(F.struct(*docs.columns).alias("doc_id"), F.col("text"))
+    voted = cut(votes(base_columns(whole)), "voted")
+    model = fit(voted)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return voted.filter(~failed & (posterior(model) >= threshold)).select("doc_id.*")
 

@@ -14,13 +14,12 @@ CUTS = {"byte": re.compile(r"[ \n]*[^ \n]+|[ \n]+"), "word": re.compile(r"[^ \t\
 #: Characters whose class (letter, digit, mark) and lower case are beyond doubt: ASCII and the letters of Latin-1.
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _MARK = "!-/:-@\\[-`{-~"
-#: What keeps a text from being cut into words at once: other characters, an apostrophe (which begins contractions),
-#: white space beside white space where it counts, and the beginning of a special token.
-NOT_SIMPLE = {
-    "byte": re.compile(f"[^ \n0-9{_LETTER}{_MARK}]|'|<\\||[ \n][ \n]"),
-    "word": re.compile(f"[^ \n\t\r0-9{_LETTER}{_MARK}]|'|<\\|"),
-}
-#: The words of such a text: what the vocabulary's own pattern finds in it.
+#: What keeps a text from being cut into words at once, besides other characters: an apostrophe (which begins
+#: contractions), the beginning of a special token, and white space beside white space where it counts.
+NOT_SIMPLE = {"byte": ("'", "<|", "  ", "\n\n", " \n", "\n "), "word": ("'", "<|")}
+#: White space that the words of a simple text leave out.
+LEFT_OUT = {"byte": "", "word": " \n\t\r"}
+#: The words of a simple text: what the vocabulary's own pattern finds in it.
 WORDS = {
     "byte": re.compile(f" ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|[ \n]"),
     "word": re.compile(f"[{_LETTER}]+|[0-9]|[{_MARK}]+"),
@@ -47,7 +46,7 @@ class Encoder:
     and all of them if that frees less than half.
     """
 
-    def __init__(self, path: str, kind: str, entries: int = 700_000, chars: int = 16_000_000) -> None:
+    def __init__(self, path: str, kind: str, entries: int = 500_000, chars: int = 10_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -115,14 +114,17 @@ class Encoder:
             kept = np.flatnonzero(self.met[: len(self.index)] > 1)
             few = len(kept) < self.entries // 2 and self.held < 2 * self.chars
             self._forget(kept if few else np.zeros(0, np.int64))
-        find, words, odd = CUTS[self.kind].findall, WORDS[self.kind].findall, NOT_SIMPLE[self.kind].search
+        find, words = CUTS[self.kind].findall, WORDS[self.kind].findall
+        odd, blanks = NOT_SIMPLE[self.kind], LEFT_OUT[self.kind]
         other, fold = OTHER_SPACE.search if self.kind == "byte" else lambda _: None, self.kind == "word"
         pieces: list[str] = []
         ends = np.zeros(len(texts) + 1, np.int64)
         hard: list[tuple[int, int]] = []  # where the pieces of texts lie that are not simple
         for i, t in enumerate(texts):
-            if not odd(t):
-                pieces += words(t.lower() if fold else t)
+            found = words(t.lower() if fold else t)
+            whole = sum(map(len, found)) + sum(map(t.count, blanks)) == len(t)  # no other character is in it
+            if whole and not any(x in t for x in odd):
+                pieces += found
             else:
                 hard.append((len(pieces), 0))
                 pieces += [t] if other(t) else find(t)
@@ -140,7 +142,7 @@ class Encoder:
                 if wanted := [p for p in dict.fromkeys([pieces[i] for i in which]) if p not in self.index]:
                     self._learn(wanted, simple)
             at[new] = [self.index[pieces[i]] for i in new]
-        self.met += np.bincount(at, minlength=len(self.met))
+        self.met[: len(self.index)] += np.bincount(at, minlength=len(self.index))
         n = self.counts[at]
         done = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(self.starts[at] - done[:-1], n) + np.arange(done[-1])]
@@ -166,7 +168,7 @@ def encode_ended(path: str, kind: str, texts: list[str], end: int) -> tuple[np.n
     return out, bounds + np.arange(len(bounds))
 
 
-def slices(column, limit: int = 1 << 21):
+def slices(column, limit: int = 1 << 19):
     """(first row, texts) of an Arrow string column by pieces of about ``limit`` characters; null reads empty."""
     texts, first, size = [], 0, 0
     for i, t in enumerate(column.to_pylist()):

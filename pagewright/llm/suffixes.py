@@ -253,9 +253,9 @@ def _bucket(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     and tid, a if it occurs once here).
 
     A string that starts o bytes before its anchor recurs if another suffix shares length - o bytes ahead and o bytes
-    behind. In sorted order, rows that share t bytes are a run between common prefixes under t, ahead as behind; so
-    for each o a pair of run numbers names the string. Only rows of the first and the last run of tied anchors can
-    have equals in other buckets.
+    behind. In sorted order, rows that share t bytes are a run between common prefixes under t, ahead as behind; so for
+    each o a pair of run numbers names the string. Only rows of a run that the bucket's first or last row is in can have
+    equals in other buckets.
     """
     k = length // 2
     table = table.combine_chunks()
@@ -297,7 +297,8 @@ def _bucket(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         if not len(rows):
             continue
         back[back_order] = np.cumsum(back_lcp < o)
-        name = np.cumsum(lcp < t)[rows] * (n + 1) + back[rows]
+        run = np.cumsum(lcp < t)
+        name = run[rows] * (n + 1) + back[rows]
         by = np.argsort(name, kind="stable")
         name = name[by]
         new = np.concatenate([[True], name[1:] != name[:-1]])
@@ -307,8 +308,8 @@ def _bucket(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         hit_row.append(rows[by][again])
         hit_start.append(a[rows[by][again]] - o)
         one = rows[by][new]
-        count = count[rank[one] >= 0]
-        one = one[rank[one] >= 0]
+        edge = (rank[one] >= 0) & ((run[one] == run[0]) | (run[one] == run[-1]))
+        one, count = one[edge], count[edge]
         if len(one):
             sent.append((one, np.full(len(one), o), count, *(s[rank[one]].view(np.int64) for s in sums)))
             if sum(len(x[0]) for x in sent) > SENT:

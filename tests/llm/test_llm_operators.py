@@ -376,6 +376,19 @@ def test_each_token_is_scored_once_and_chances_sum_to_one():
     assert parts == pytest.approx([base, base], rel=1e-5)
 
 
+def test_a_token_sees_sixteen_tokens_back():
+    rng = np.random.default_rng(0)
+    c = attention.classes(rng.integers(1, 50, 200).astype(float))
+    w = attention.initial(c.log_mass)
+    w["u"] *= 20
+    ids = rng.integers(0, 199, 25)
+    last = lambda ids: np.subtract(*(attention.log_chances(w, c, ids[:n], np.array([0, n]), 199)[0] for n in (25, 24)))
+    other = ids.copy()
+    other[4] = (other[4] + 1) % 199
+    assert abs(last(ids) - last(other)) > 1e-6
+    assert len(c.log_mass) == 64 and attention.ROUNDS == 2
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     classes = attention.OWN + attention.SHARED

@@ -389,6 +389,15 @@ def test_a_token_sees_sixteen_tokens_back():
     assert len(c.log_mass) == 64 and attention.ROUNDS == 2
 
 
+def test_the_network_learns_from_every_text(spark):
+    c = attention.classes(np.ones(49408))
+    start = attention.initial(c.log_mass)
+    for k in range(3):
+        texts = spark.createDataFrame([(k, f"some words of text number {k}")], "doc_id long, text string")
+        learned = attention.train(texts, WORD, c, 49407)
+        assert any((learned[x] != start[x]).any() for x in start), k
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     classes = attention.OWN + attention.SHARED

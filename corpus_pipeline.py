@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import mixing, packing, rules, simhash, suffixes
+from pagewright.llm import mixing, packing, rules, shingles, suffixes
 from pagewright.llm.common import cut, read_table
 from pagewright.llm.queries import tokenizer_file
 from pagewright.session import give_package
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the least doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group whose five-word shingles overlap by 0.8 or more, that with the least doc_id."""
+    return shingles.one_of_each(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
+from .shingles import one_of_each as one_of_each
 
 SEED = 42
 BITS = 64
@@ -105,15 +106,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     return fps.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def one_of_each(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id; all columns kept as they are.
-
-    Of rows that repeat a doc_id, one stays. Rows with a null doc_id stay: nothing tells them apart.
-    """
-    gone = near_duplicates(docs.select("doc_id", "text"), words, distance).filter("doc_id > component_id")
-    gone = gone.select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    named, unnamed = kept.filter("doc_id is not null"), kept.filter("doc_id is null")
-    return named.dropDuplicates(["doc_id"]).unionByName(unnamed)

@@ -159,6 +159,37 @@ def test_one_of_each_keeps_the_first(messy):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == [(False, i) for i in (1, 3, 6, 7, 8, 9, 10)] + [(True, 0)]
 
 
+def brute_near(rows):
+    """Groups of rows (doc_id, text) by five-word Jaccard similarity of 0.8 or more; the place of each row's first."""
+    sets = []
+    for _, t in rows:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_one_of_each_finds_edited_copies(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 3000, rng.integers(3, 200))]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(words)))
+            for at in rng.integers(0, len(words), max(1, len(words) // 60)):
+                words[at] = f"v{rng.integers(0, 3000)}"
+    group = brute_near(rows)
+    want = [i for i, _ in rows if group[i] == i]
+    assert 60 < len(want) < 200
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r["doc_id"] for r in out.collect()) == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 999), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}

@@ -348,6 +348,13 @@ def test_mixing_meets_target_weights(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("every", [100, 5000])
+def test_mixing_meets_target_weights_of_rare_sources(spark, every):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % every == 0, "rare").otherwise("common").alias("source"))
+    n = {r["source"]: r["count"] for r in mixing.mix(docs, weights={"rare": 1, "common": 1}).groupBy("source").count().collect()}
+    assert abs(n["rare"] - 10_000) < 500 and abs(n["common"] - 10_000) < 500
+
+
 # --- 9 rules
 
 

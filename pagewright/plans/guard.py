@@ -7,7 +7,7 @@ import threading
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 #: Words that no read-only statement holds outside its strings.
 WRITE_WORDS = "insert update delete drop alter create attach pragma replace".split()
@@ -85,6 +85,23 @@ def query_sql(spark: SparkSession, sql: str, limit: int = LIMIT, seconds: float
     return Result(found.columns, rows[:limit], len(rows) > limit)
 
 
+def whole(spark: SparkSession, sql: str) -> DataFrame:
+    """One read-only statement with all its rows, run when they are asked for. SQLError if it is refused."""
+    statement = check_text(sql)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.ansi.enabled", "spark.sql.ansi.doubleQuotedIdentifiers")}
+    try:
+        for k in old:
+            spark.conf.set(k, "true")
+        check_plan(spark, statement)
+        return spark.sql(statement)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def source_tables(sql: str, tables: list[str]) -> list[str]:
     """Tables whose name occurs in the statement."""
     return [t for t in tables if t.lower() in sql.lower()]

@@ -44,3 +44,8 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("name", ["sql_window", "sql_cte"])
+def test_sql_returns_all_rows(spark, name):
+    assert QUERIES[name](spark, "/root/testdata/sf0.1").count() == 1000

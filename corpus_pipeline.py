@@ -14,8 +14,9 @@ from pagewright.llm.common import cut, read_table
 from pagewright.llm.queries import tokenizer_file
 from pagewright.session import give_package
 
-#: Repeated passages of this many bytes are removed: 50 words of the tables are about 310 bytes.
+#: Repeated passages of this many bytes are removed, and shorter ones of so many words: all of over 50.
 PASSAGE_BYTES = 300
+PASSAGE_WORDS = 51
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that recur."""
-    return suffixes.stripped(docs, PASSAGE_BYTES)
+    return suffixes.stripped(docs, PASSAGE_BYTES, PASSAGE_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -402,6 +403,69 @@ def spans(docs: DataFrame, length: int = MIN_BYTES) -> tuple[DataFrame, DataFram
     return copied, texts, cut(found.unionByName(own), "covered")
 
 
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def word_windows(data: np.ndarray, words: int, length: int) -> tuple[np.ndarray, ...]:
+    """start, end, anchor's hash and anchor's place of all strings of ``words`` words under ``length`` bytes of a text.
+
+    Equal strings have anchors of equal hash: the least hash of strings of half the words within.
+    """
+    edges = np.diff(np.concatenate([[0], (~_SPACE[data]).astype(np.int8), [0]]))
+    first, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if len(first) < words:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64))
+    s, e = first[: len(first) - words + 1], end[words - 1 :]
+    short = e - s < length
+    k = max(1, words // 2)
+    i, j = first[: len(first) - k + 1], end[k - 1 :]
+    sums = Rolling(data).sums
+    h = (sums[j] - sums[i]) * _powers(BASES[0], len(data) + 1, True)[i]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    low = np.uint64(0xFFFFFFFF)
+    m = _window_min((h & ~low) | (low - np.arange(len(h), dtype=np.uint64)), words - k + 1)
+    at = (low - (m & low)).astype(np.int64)
+    return s[short], e[short], h[at][short], at[short]
+
+
+def short_passages(texts: DataFrame, words: int, length: int) -> DataFrame:
+    """(tid, s, e): bytes covered by strings of ``words`` words that recur and have fewer than ``length`` bytes.
+
+    texts: tid, text, one row a distinct text. Strings run from a word's first byte to a word's last and are compared as
+    bytes (by 128-bit hash); only those whose anchor recurs are.
+    """
+
+    def scan_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, marks = [], []
+            for row, text in enumerate(b.column(1).to_pylist()):
+                _, _, h, at = word_windows(np.frombuffer(text.encode(), np.uint8), words, length)
+                one = h[np.unique(at, return_index=True)[1]]
+                marks.append(one)
+                owner += [row] * len(one)
+            h = np.concatenate(marks) if marks else np.zeros(0, np.uint64)
+            yield pa.record_batch([b.column(0).take(pa.array(owner, pa.int64())), pa.array(h.view(np.int64))], ["tid", "h"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for tid, text, marks in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                raw = text.encode()
+                s, e, h, _ = word_windows(np.frombuffer(raw, np.uint8), words, length)
+                hit = np.isin(h.view(np.int64), np.array(marks, np.int64))
+                s, e = s[hit], e[hit]
+                keys = [xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(s.tolist(), e.tolist(), strict=True)]
+                yield pa.record_batch([pa.array([tid] * len(s), pa.binary()), pa.array(s), pa.array(e), pa.array(keys, pa.binary())], ["tid", "s", "e", "key"])
+
+    marked = cut(texts.select("tid", "text").mapInArrow(scan_words, "tid binary, h bigint"), "word-anchors")
+    twice = marked.groupBy("h").count().filter("count > 1").select("h")
+    near = cut(marked.join(twice, "h").groupBy("tid").agg(F.collect_set("h").alias("marks")), "word-candidates")
+    found = maybe(texts, near).join(near, "tid").select("tid", "text", "marks")
+    found = cut(found.mapInArrow(windows, "tid binary, s bigint, e bigint, key binary"), "word-windows")
+    again = found.groupBy("key").count().filter("count > 1").select("key")
+    return found.join(again, "key").select("tid", "s", "e")
+
+
 def _strip(raw: bytes, covered: list[tuple[int, int]]) -> tuple[bytes, int]:
     """(what is left, maximal removed runs)."""
     kept, at, runs, end = [], 0, 0, -1
@@ -465,14 +529,17 @@ def report(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
     )
 
 
-def stripped(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
+def stripped(docs: DataFrame, length: int = MIN_BYTES, words: int | None = None) -> DataFrame:
     """``docs`` with what recurs taken out of text, and n_chars, if there, counted anew; all rows and columns stay.
 
     Bytes of a character that is only in part covered are dropped with it. Texts that several rows have become empty
-    (if of ``length`` bytes or more), as in ``report``; drop copies first to keep one.
+    (if of ``length`` bytes or more), as in ``report``; drop copies first to keep one. With ``words``, passages of so
+    many words recur too, however few bytes they have.
     """
     tid = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     copied, texts, covered = spans(_with_digest(docs), length)
+    if words is not None:
+        covered = cut(covered.select("tid", "s", "e").unionByName(short_passages(texts, words, length)), "covered-words")
     left = _left(texts, covered.join(copied.select("tid"), "tid", "left_anti"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,9 +547,12 @@ def stripped(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
             texts = pa.array([x.decode(errors="ignore") for x in b.column(1).to_pylist()], pa.string())
             yield pa.record_batch([b.column(0), texts], ["pw_tid", "pw_left"])
 
-    new = left.select("tid", "kept").mapInArrow(decode, "pw_tid binary, pw_left string")
-    new = new.unionByName(copied.select(F.col("tid").alias("pw_tid"), F.lit("").alias("pw_left")))
-    hit = F.col("pw_left").isNotNull() & (F.octet_length("text") >= length)
+    new = left.select("tid", "kept").mapInArrow(decode, "pw_tid binary, pw_left string").withColumn("pw_part", F.lit(True))
+    new = new.unionByName(copied.select(F.col("tid").alias("pw_tid"), F.lit("").alias("pw_left"), F.lit(False).alias("pw_part")))
+    long = F.col("pw_part") | (F.octet_length("text") >= length)
+    if words is not None:
+        long = long | (F.size(F.regexp_extract_all("text", F.lit(r"[^ \t-\r]+"), F.lit(0))) >= words)
+    hit = F.col("pw_left").isNotNull() & long
     out = docs.withColumn("pw_tid", tid)
     changed, same = (maybe(out, new, inside, "pw_tid") for inside in (True, False))
     new_text = {"text": F.when(hit, F.col("pw_left")).otherwise(F.col("text"))}

@@ -114,6 +114,19 @@ def test_stripping_keeps_columns_and_characters(messy):
     assert not wrong
 
 
+def test_passages_of_over_50_short_words_are_stripped(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(0)
+    some = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 4))) for _ in range(n))
+    long, short, copy = some(51), some(50), some(55)
+    own = [some(20) for _ in range(8)]
+    texts = [f"{own[0]} {long} {own[1]}", f"{own[2]}\n{long} {own[3]}", f"{own[4]} {short} {own[5]}", f"{own[6]} {short} {own[7]}", copy, copy]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_dedup(spark, docs, SF).collect()}
+    assert out == {0: f"{own[0]}  {own[1]}", 1: f"{own[2]}\n {own[3]}", 2: texts[2], 3: texts[3], 4: "", 5: ""}
+
+
 # --- 3 SimHash
 
 

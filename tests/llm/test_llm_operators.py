@@ -203,6 +203,12 @@ def test_one_of_each_finds_edited_copies(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == want
 
 
+def test_one_of_each_goes_by_row(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "clean words of another text"), (None, "same words of no id here"), (None, "same words of no id here")]
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 999), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}

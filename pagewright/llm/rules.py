@@ -17,23 +17,25 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
 #: Rules by name: condition for a vote against a document, then for a vote for it, over the base columns (SQL that
-#: Spark and DuckDB read alike). Neither: the rule abstains.
+#: Spark and DuckDB read alike). Neither: the rule abstains. Each defect is looked at by two rules that differ in what
+#: they measure or how strict they are: where both speak, their agreement shows how far each can be trusted.
 RULES = {
     "length": ("n_words < 50", "n_words >= 100 AND n_words <= 100000"),
     "word_length": ("word_chars < 3 * n_words OR word_chars > 15 * n_words", "word_chars >= 4 * n_words AND word_chars <= 10 * n_words"),
     "symbols": ("10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
-    "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 10 * n_words"),
-    "lines": ("5 * n_dup_lines > n_lines", "n_dup_lines = 0"),
+    "symbol_chars": ("100 * n_symbols > word_chars", "500 * n_symbols <= word_chars"),
+    "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 20 * n_words"),
+    "windows": ("100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 10 * n_words"),
+    "lines": ("5 * n_dup_lines > n_lines", "10 * n_dup_lines <= n_lines"),
 }
 ROUNDS = 20
 THRESHOLD = 0.5
-#: Where EM starts: the chance that a document is good if a rule votes against it, and if none does.
-START = (0.02, 0.995)
-#: Rules are known to be better than chance: one votes against a bad document at least as often as LEAST_HIT, and
-#: against a good one at most as often as MOST_MISS. Estimates are held within these bounds (constrained EM), else the
-#: classes turn into other groupings of documents, such as repetitive against symbol-ridden ones.
-LEAST_HIT = 0.3
-MOST_MISS = 0.003
+#: Where EM starts: the chance that a document is good if two rules or more vote against it, and if fewer do.
+START = (0.05, 0.95)
+#: Mild prior on how rules vote (against, abstain, for) on bad and on good documents, the same for all rules. It counts
+#: as much as WEIGHT of the documents; within it EM is free, and no chance is held within bounds.
+PRIOR = ((0.4, 0.2, 0.4), (0.1, 0.2, 0.7))
+WEIGHT = 0.05
 
 
 @dataclass(frozen=True)
@@ -106,12 +108,13 @@ def votes(base: DataFrame) -> DataFrame:
 def fit(voted: DataFrame, rounds: int = ROUNDS) -> Model:
     """Expectation-maximisation over the counts of vote patterns of all rows.
 
-    An empty table gives the smoothed uniform model. Counts are smoothed by 1 and chances held within LEAST_HIT and MOST_MISS.
+    The estimates are those of the largest posterior under PRIOR, with WEIGHT. An empty table gives the prior itself.
     """
     names = [f"vote_{k}" for k in RULES]
     patterns = [(r[:-1], r[-1]) for r in voted.groupBy(*names).count().orderBy(*names).collect()]
-    good = [START[0] if -1 in p else START[1] for p, _ in patterns]
+    good = [START[0] if p.count(-1) > 1 else START[1] for p, _ in patterns]
     total = sum(n for _, n in patterns)
+    weight = WEIGHT * total or 1.0
     for _ in range(rounds):
         mass = [sum(n * (1 - g) for (_, n), g in zip(patterns, good, strict=True)), sum(n * g for (_, n), g in zip(patterns, good, strict=True))]
         prior = (mass[1] + 1) / (total + 2)
@@ -119,13 +122,10 @@ def fit(voted: DataFrame, rounds: int = ROUNDS) -> Model:
         for c in (0, 1):
             rows = []
             for j in range(len(names)):
-                by = [1.0, 1.0, 1.0]
+                by = [weight * x for x in PRIOR[c]]
                 for (p, n), g in zip(patterns, good, strict=True):
                     by[p[j] + 1] += n * (g if c else 1 - g)
-                against = by[0] / (mass[c] + 3)
-                against = min(against, MOST_MISS) if c else max(against, LEAST_HIT)
-                rest = (1 - against) / (by[1] + by[2])
-                rows.append((against, by[1] * rest, by[2] * rest))
+                rows.append(tuple(x / (mass[c] + weight) for x in by))
             given.append(tuple(rows))
         model = Model(prior, tuple(given))
         good = [_posterior(model, p) for p, _ in patterns]
@@ -199,17 +199,15 @@ def oracle() -> str:
         " (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM s LEFT JOIN r USING (rid))",
         f"v AS MATERIALIZED (SELECT *, {cases} FROM b)",
         f"p AS MATERIALIZED (SELECT {', '.join(names)}, count(*)::DOUBLE AS n FROM v GROUP BY ALL)",
-        f"good0 AS MATERIALIZED (SELECT *, CASE WHEN least({', '.join(names)}) = -1 THEN {START[0]}::DOUBLE ELSE {START[1]}::DOUBLE END AS g FROM p)",
+        f"good0 AS MATERIALIZED (SELECT *, CASE WHEN {' + '.join(f'({n} = -1)::INT' for n in names)} > 1 THEN {START[0]}::DOUBLE ELSE {START[1]}::DOUBLE END AS g FROM p)",
     ]
     for k in range(ROUNDS):
         terms = ["(sum(n * g) + 1) / (sum(n) + 2) AS prior"]
         for j, name in enumerate(names):
-            for c, share, hold in (("bad", "(1 - g)", f"greatest({LEAST_HIT}::DOUBLE, "), ("good", "g", f"least({MOST_MISS}::DOUBLE, ")):
-                by = [f"(1 + coalesce(sum(n * {share}) FILTER ({name} = {v}), 0))" for v in (-1, 0, 1)]
-                against = f"{hold}{by[0]} / (sum(n * {share}) + 3))"
-                terms.append(f"{against} AS {c}_{j}_0")
-                for v in (1, 2):
-                    terms.append(f"{by[v]} * (1 - {against}) / ({by[1]} + {by[2]}) AS {c}_{j}_{v}")
+            for c, share, prior in (("bad", "(1 - g)", PRIOR[0]), ("good", "g", PRIOR[1])):
+                for v in range(3):
+                    by = f"{WEIGHT}::DOUBLE * sum(n) * {prior[v]}::DOUBLE + coalesce(sum(n * {share}) FILTER ({name} = {v - 1}), 0)"
+                    terms.append(f"({by}) / (sum(n * {share}) + {WEIGHT}::DOUBLE * sum(n)) AS {c}_{j}_{v}")
         ctes.append(f"m{k} AS MATERIALIZED (SELECT {', '.join(terms)} FROM good{k})")
 
         def side(c: str, prior: str) -> str:

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lookup
 from .subwords import encode_ended, slices
 
 MAGIC = b"PWEF0001"
@@ -28,6 +28,10 @@ BLOCK_IDS = 1 << 20
 #: Characters a partition is meant to have.
 PARTITION_CHARS = 24_000_000
 SAMPLE = 256
+#: Bytes of the upper part looked at in one step: a sampled stretch has about two bits a value.
+STRETCH = SAMPLE // 4
+#: Parts whose ids are summed together first: starts are two sums, of groups of parts and within a group.
+GROUP = 4096
 
 
 def _pack_low(values: np.ndarray, bits: int) -> bytes:
@@ -65,29 +69,29 @@ class Monotone:
         self.lower, self.upper, self.samples, self.end = parts[0], parts[1], parts[2].view("<u4"), at
 
     def select(self, i: int) -> int:
-        """The i-th value: from the sampled one bit before it, count on to the i-th in the upper part."""
-        at = int(self.samples[i // SAMPLE])
-        left = i % SAMPLE
-        byte, first = at // 8, at % 8
-        while True:
-            bits = np.flatnonzero(np.unpackbits(self.upper[byte : byte + 64], bitorder="little")[first:])
-            if left < len(bits):
-                one = byte * 8 + first + int(bits[left])
-                break
-            left -= len(bits)
-            byte, first = byte + 64, 0
-        low = 0
-        for k in range(self.low):
-            bit = i * self.low + k
-            low |= int(self.lower[bit // 8] >> (bit % 8) & 1) << k
-        return (one - i << self.low) | low
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
+        """The i-th value."""
+        return int(self.some(i, i + 1)[0])
+
+    def some(self, i: int, j: int) -> np.ndarray:
+        """Values i up to j: from the sampled one bit at or before the i-th on, bits of the upper part are counted in
+        steps of about a sample's stretch until the j-th is found. Nothing else of the sequence is read."""
+        j = min(j, self.n)
+        if i >= j:
+            return np.zeros(0, np.uint64)
+        at, skip = int(self.samples[i // SAMPLE]), i % SAMPLE
+        byte, first, ones = at // 8, at % 8, []
+        wanted = skip + j - i
+        while wanted > 0:
+            bits = np.flatnonzero(np.unpackbits(self.upper[byte : byte + STRETCH], bitorder="little")[first:]) + (byte * 8 + first)
+            ones.append(bits[:wanted])
+            wanted -= len(ones[-1])
+            byte, first = byte + STRETCH, 0
+        high = (np.concatenate(ones)[skip:] - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low)
         if not self.low:
             return high
-        bits = np.unpackbits(self.lower, bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
+        start = i * self.low
+        bits = np.unpackbits(self.lower[start // 8 : (j * self.low + 7) // 8], bitorder="little")[start % 8 :]
+        bits = bits[: (j - i) * self.low].reshape(j - i, self.low)
         return high | (bits.astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
@@ -118,15 +122,21 @@ class Block:
         self.starts = Monotone(view, at + width * self.n_ids)
         self.keys = Monotone(view, self.starts.end)
 
-    def bounds(self) -> np.ndarray:
-        return np.append(self.starts.all(), np.uint64(self.n_ids)).astype(np.int64)
-
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.keys.all().astype(np.int64) + self.base).tolist()
+    def stretches(self) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+        """(doc_ids, starts, ends) of SAMPLE documents at a time, each stretch selected where it lies."""
+        for i in range(0, self.n_docs, SAMPLE):
+            j = min(i + SAMPLE, self.n_docs)
+            bounds = self.starts.some(i, j + 1).astype(np.int64)
+            if j == self.n_docs:
+                bounds = np.append(bounds, self.n_ids)
+            nulls = max(0, min(j, self.nulls) - i)
+            keys = self.keys.some(max(0, i - self.nulls), max(0, j - self.nulls)).astype(np.int64) + self.base
+            yield [None] * nulls + keys.tolist(), bounds[:-1], bounds[1:]
 
     def document(self, i: int) -> np.ndarray:
-        end = self.starts.select(i + 1) if i + 1 < self.n_docs else self.n_ids
-        return self.ids[self.starts.select(i) : end]
+        """The ids of the i-th document."""
+        start, *end = self.starts.some(i, i + 2)
+        return self.ids[int(start) : int(end[0]) if end else self.n_ids]
 
 
 def blocks(docs: DataFrame, path: str, kind: str = "word", end: int = END) -> DataFrame:
@@ -173,28 +183,28 @@ def blocks(docs: DataFrame, path: str, kind: str = "word", end: int = END) -> Da
 def read_back(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in a table of ``blocks``.
 
-    start is global: the ids of all parts before (one number a part, so the driver holds no more than that), those of
-    the part's blocks before (stored with the block), and the document's place in its block.
+    Documents are read by select, a sampled stretch at a time: no table of 64-bit offsets is made. start is global: the
+    ids of all parts before, those of the part's blocks before (stored with the block), and the document's place in
+    its block. The parts' sums are added up in groups, then over groups.
     """
-    spark = files.sparkSession
-    sums = files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
-    starts, before = [], 0
-    for r in sums:
-        starts.append((r["part"], before))
-        before += r["n"]
-    based = files.join(F.broadcast(spark.createDataFrame(starts, "part bigint, base bigint")), "part") if starts else files.withColumn("base", F.lit(0).cast("bigint"))
+    sums = files.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("g", F.floor(F.col("part") / GROUP))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy("g").agg(F.sum("n").alias("n")).select("g", before(Window.orderBy("g")).alias("earlier"))
+    within = sums.select("part", "g", before(Window.partitionBy("g").orderBy("part")).alias("here"))
+    bases = cut(within.join(groups, "g").select("part", (F.col("earlier") + F.col("here")).alias("base")), "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for base, first, image in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 block = Block(image.as_py())
-                bounds, ids = block.bounds(), block.ids.astype("<u4").tobytes()
-                crc = [zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.record_batch(
-                    [pa.array(block.doc_ids(), pa.int64()), pa.array(bounds[:-1] + base + first), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
+                for keys, starts, ends in block.stretches():
+                    crc = [zlib.crc32(block.ids[x:y].astype("<u4").tobytes()) for x, y in zip(starts, ends, strict=True)]
+                    yield pa.record_batch(
+                        [pa.array(keys, pa.int64()), pa.array(starts + base + first), pa.array(ends - starts), pa.array(crc, pa.int64())],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
+
+    based = lookup(files, bases, ["part"], "inner")
     return based.select("base", "first", "image").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

@@ -156,7 +156,7 @@ def _codes(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
 
 class Frame:
     """A baseline JPEG frame: ``coefficients`` of the first component (blocks x 64, zigzag, before dequantising), in
-    raster order of its blocks, and its size. Frames must carry their Huffman tables."""
+    raster order of its blocks, ``used``: the last AC coefficient a block sets, and its size. Frames must carry their Huffman tables."""
 
     def __init__(self, raw: bytes) -> None:
         at, quant, huff, restart = 2, {}, {}, 0
@@ -192,7 +192,7 @@ class Frame:
         self.coefficients = self._plain(scan) if own else self._coded(scan, parts, order, huff, restart)
 
     def _plain(self, scan: bytes) -> np.ndarray:
-        """Our own frames: full blocks at once, then the last one's bits. ``self.used``: bytes in each block."""
+        """Our own frames: full blocks at once, then the last one's bits."""
         data = np.frombuffer(scan.replace(b"\xff\x00", b"\xff"), np.uint8)
         rows = data[: len(data) // FULL * FULL].reshape(-1, FULL)[:BLOCKS]
         bits = np.unpackbits(rows, axis=1)
@@ -223,6 +223,7 @@ class Frame:
             parts = {order[0][0]: (1, 1, q)}
         h0, v0, _ = parts[order[0][0]]
         out = np.zeros((down * v0, across * h0, 64), np.int64)
+        used = np.zeros(out.shape[:2], np.int64)
         pieces, at = [], 0
         for k in range(len(scan) - 1):
             if scan[k] == 0xFF and 0xD0 <= scan[k + 1] <= 0xD7:
@@ -260,17 +261,19 @@ class Frame:
                 for b in range(h * v):
                     block = np.zeros(64, np.int64)
                     before[part] = before.get(part, 0) + number(symbol(huff[tables >> 4]))
-                    block[0], i = before[part], 1
+                    block[0], i, last = before[part], 1, 0
                     while i < 64:
                         s = symbol(huff[16 | (tables & 15)])
                         if s == 0:
                             break
                         i += s >> 4
                         if s & 15:
-                            block[i] = number(s & 15)
+                            block[i], last = number(s & 15), i
                         i += 1
                     if k == 0:
-                        out[unit // across * v + b // h, unit % across * h + b % h] = block
+                        place = unit // across * v + b // h, unit % across * h + b % h
+                        out[place], used[place] = block, last
+        self.used = used.ravel()
         return out.reshape(-1, 64)
 
     def samples(self) -> np.ndarray:
@@ -363,9 +366,10 @@ def clips(stored: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Store each text as media, read it back, and report it: one row for each row of ``docs`` (doc_id, text).
+    """Store each text as media, read it back, and report it: one row for each row of ``docs`` (doc_id, text), with its
+    timed clips as a list; ``clips`` gives them as rows.
 
     Null text: empty, stored as 64 zero bytes. Null ids and repeated rows each give a row; equal texts give equal
     values; other columns are not looked at; an empty table gives no rows.
     """
-    return read(store(docs)).drop("clips")
+    return read(store(docs))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup
+from .common import cut, lookup
 
 SEED = "mix-1"
 #: Share of a source: its document count to this power, over all sources.
@@ -29,9 +29,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float
     weights), and the cumulative Poisson probabilities of 0, 1, ..., null for means beyond MOST.
 
     weights: target weights by source, those not named weigh 0; without them a source weighs its count to ``power``.
-    Counts are over all rows, summed on the map side first, so a source with a third of the rows is no hot group.
+    Counts are over all rows, summed on the map side first, so a source with a third of the rows is no hot group; they
+    are written once, a row a source, so that the documents are not counted again by whatever uses the rates.
     """
     counts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts, "sources")
     if weights is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(float(power)))
     else:

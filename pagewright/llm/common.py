@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows below which a lookup table may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Bits of the filter that spares most rows a shuffle: 2**24 bits are 2 MB, whatever the input.
+FILTER_BITS = 24
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,3 +55,19 @@ def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", ro
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for use in ``body``, where repeating it would evaluate it again."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)) + 1
+
+
+def maybe(docs: DataFrame, keys: DataFrame, inside: bool = True, key: str = "tid") -> DataFrame:
+    """The rows of ``docs`` whose ``key`` may be among those of ``keys`` (or surely is not): a filter of fixed size,
+    broadcast."""
+    bits = keys.select(F.bitmap_bucket_number(_bit(F.col(key))).alias("pw_bucket"), F.bitmap_bit_position(_bit(F.col(key))).alias("pw_pos"))
+    bits = bits.groupBy("pw_bucket").agg(F.bitmap_construct_agg("pw_pos").alias("pw_bits"))
+    place = F.bitmap_bit_position(_bit(F.col(key)))
+    joined = docs.withColumn("pw_bucket", F.bitmap_bucket_number(_bit(F.col(key)))).join(F.broadcast(bits), "pw_bucket", "left")
+    byte = F.conv(F.hex(F.substring(F.col("pw_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return joined.filter(there if inside else ~there).select(*docs.columns)

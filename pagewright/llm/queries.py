@@ -21,7 +21,7 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.report(read_table(spark, sf_dir, "documents"), length=400)
+    return suffixes.report(read_table(spark, sf_dir, "documents"), length=400, words=51)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

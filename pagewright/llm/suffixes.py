@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, maybe
 
 MIN_BYTES = 400
 #: Bytes worked on at once; a longer text is worked on alone.
@@ -27,8 +27,6 @@ SLICE = 1 << 18
 BUCKET = 16_000
 #: Strings to compare with other buckets that a bucket holds before it passes them on.
 SENT = 100_000
-#: Bits of the filter that spares most texts a shuffle: 2**24 bits are 2 MB, whatever the input.
-FILTER_BITS = 24
 M64 = (1 << 64) - 1
 
 
@@ -57,15 +55,15 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 class Rolling:
     """Hashes of all strings of any one length of ``data``: polynomials over Z/2**64 in hashed bytes."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        self.n = len(data)
+    def __init__(self, data: np.ndarray, which: int = 0) -> None:
+        self.n, self.base = len(data), BASES[which]
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_bytes_table(1)[data] * _powers(BASES[0], self.n), out=self.sums[1:])
+        np.cumsum(_bytes_table(which + 1)[data] * _powers(self.base, self.n), out=self.sums[1:])
 
     def of(self, k: int) -> np.ndarray:
         if self.n < k:
             return np.zeros(0, np.uint64)
-        h = (self.sums[k:] - self.sums[:-k]) * _powers(BASES[0], self.n - k + 1, True)
+        h = (self.sums[k:] - self.sums[:-k]) * _powers(self.base, self.n - k + 1, True)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
@@ -116,16 +114,18 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarr
     own_text, own_start = [], []
     if same.any():
         redo = np.unique(text[order][1:][same])
-        whole = rolling.of(length)
+        whole, other = rolling.of(length), Rolling(data, 1).of(length)
         keep = ~np.isin(text, redo)
         parts = [(a[keep], first[keep], last[keep])]
         for t in redo:
             q = np.arange(bounds[t], bounds[t + 1] - length + 1)
-            _, one, inverse, n = np.unique(whole[q], return_index=True, return_inverse=True, return_counts=True)
-            again = q[(n > 1)[inverse]]
+            by = q[np.lexsort((other[q], whole[q]))]  # strings named by 128 bits; equal ones in order of place
+            new = np.concatenate([[True], (whole[by[1:]] != whole[by[:-1]]) | (other[by[1:]] != other[by[:-1]])])
+            lone = new & np.append(new[1:], True)
+            again = np.sort(by[~lone])
             own_text.append(np.full(len(again), t))
             own_start.append(again)
-            kept = q[np.sort(one)]
+            kept = np.sort(by[new])
             parts.append(runs(kept, (low - (m[kept] & low)).astype(np.int64)))
         a, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
         text = np.searchsorted(bounds, a, "right") - 1
@@ -366,22 +366,6 @@ def recurring(suffixes: DataFrame, length: int, rows: int) -> DataFrame:
     return here.unionByName(across.select(F.col("w.tid").alias("tid"), start.alias("s"), (start + length).alias("e")))
 
 
-def _bit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)) + 1
-
-
-def maybe(docs: DataFrame, keys: DataFrame, inside: bool = True, key: str = "tid") -> DataFrame:
-    """The rows of ``docs`` whose ``key`` may be among those of ``keys`` (or surely is not): a filter of fixed size,
-    broadcast."""
-    bits = keys.select(F.bitmap_bucket_number(_bit(F.col(key))).alias("pw_bucket"), F.bitmap_bit_position(_bit(F.col(key))).alias("pw_pos"))
-    bits = bits.groupBy("pw_bucket").agg(F.bitmap_construct_agg("pw_pos").alias("pw_bits"))
-    place = F.bitmap_bit_position(_bit(F.col(key)))
-    joined = docs.withColumn("pw_bucket", F.bitmap_bucket_number(_bit(F.col(key)))).join(F.broadcast(bits), "pw_bucket", "left")
-    byte = F.conv(F.hex(F.substring(F.col("pw_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    there = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
-    return joined.filter(there if inside else ~there).select(*docs.columns)
-
-
 def spans(docs: DataFrame, length: int = MIN_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(copied: tid and n of texts that several rows have; one row a distinct text: tid, text; tid, s, e covered).
 
@@ -502,31 +486,60 @@ def _left(texts: DataFrame, covered: DataFrame) -> DataFrame:
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def report(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs`` (doc_id, text).
+def _decoded(left: DataFrame) -> DataFrame:
+    """(pw_tid, pw_left: text of the bytes kept, without those of a character that is only in part there)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.array([x.decode(errors="ignore") for x in b.column(1).to_pylist()], pa.string())
+            yield pa.record_batch([b.column(0), texts], ["pw_tid", "pw_left"])
+
+    return left.select("tid", "kept").mapInArrow(run, "pw_tid binary, pw_left string")
+
+
+def _word_count() -> Column:
+    return F.size(F.regexp_extract_all("text", F.lit(r"[^ \t-\r]+"), F.lit(0)))
+
+
+def report(docs: DataFrame, length: int = MIN_BYTES, words: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, and text if ``words`` is given) for each row of ``docs``.
 
     A byte is removed if a string of ``length`` bytes that covers it also starts anywhere else, in the same text or
     another; strings are judged on the input. So a text of at least ``length`` bytes that several rows have is
     removed whole from each. Null text: empty. Texts under ``length`` bytes lose nothing. Null ids and repeated rows
     each give a row (repeats are copies); other columns are not looked at; an empty table gives no rows.
+
+    text is what ``stripped`` would leave: besides those bytes, passages of ``words`` words that recur are taken out of it,
+    however few bytes they have. The other columns do not count these.
     """
     plain = _with_digest(docs)
     copied, texts, covered = spans(plain, length)
-    left = _left(texts, covered.join(copied.select("tid"), "tid", "left_anti")).select(
+    single = lambda found: found.join(copied.select("tid"), "tid", "left_anti")
+    left = _left(texts, single(covered)).select(
         "tid", F.octet_length("kept").cast("bigint").alias("left"), "n_spans", F.sha2("kept", 256).alias("sha")
     )
     gone = copied.select("tid", F.lit(0).cast("bigint").alias("left"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(EMPTY_SHA).alias("sha"))
     known = left.unionByName(gone)
-    size = F.octet_length("text").cast("bigint")
-    thin = plain.select("doc_id", "tid", size.alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     hit = F.col("sha").isNotNull() & (F.col("n_bytes") >= length)
-    return thin.join(known, "tid", "left").select(
+    digest = [
         "doc_id",
         "n_bytes",
         F.when(hit, F.col("n_bytes") - F.col("left")).otherwise(0).cast("bigint").alias("n_removed"),
         F.when(hit, F.col("n_spans")).otherwise(0).cast("bigint").alias("n_spans"),
         F.when(hit, F.col("sha")).otherwise(F.col("whole")).alias("kept_sha256"),
-    )
+    ]
+    columns = ["doc_id", "tid", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("whole")]
+    if words is None:
+        return plain.select(*columns).join(known, "tid", "left").select(*digest)
+    wide = cut(covered.select("tid", "s", "e").unionByName(short_passages(texts, words, length)), "covered-words")
+    new = _decoded(_left(texts, single(wide))).withColumnRenamed("pw_tid", "tid")
+    known = cut(known.join(new, "tid", "full"), "left")
+    changed, same = (maybe(plain, known, inside) for inside in (True, False))
+    copy = F.col("sha").isNotNull() & (F.col("left") == 0) & F.col("pw_left").isNull() & (hit | (_word_count() >= words))
+    text = F.when(copy, F.lit("")).otherwise(F.coalesce("pw_left", "text")).alias("text")
+    nothing = [F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.col("whole").alias("kept_sha256"), "text"]
+    changed = changed.select(*columns, "text").join(known, "tid", "left").select(*digest, text)
+    return same.select(*columns, "text").select("doc_id", "n_bytes", *nothing).unionByName(changed)
 
 
 def stripped(docs: DataFrame, length: int = MIN_BYTES, words: int | None = None) -> DataFrame:
@@ -542,16 +555,11 @@ def stripped(docs: DataFrame, length: int = MIN_BYTES, words: int | None = None)
         covered = cut(covered.select("tid", "s", "e").unionByName(short_passages(texts, words, length)), "covered-words")
     left = _left(texts, covered.join(copied.select("tid"), "tid", "left_anti"))
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = pa.array([x.decode(errors="ignore") for x in b.column(1).to_pylist()], pa.string())
-            yield pa.record_batch([b.column(0), texts], ["pw_tid", "pw_left"])
-
-    new = left.select("tid", "kept").mapInArrow(decode, "pw_tid binary, pw_left string").withColumn("pw_part", F.lit(True))
+    new = _decoded(left).withColumn("pw_part", F.lit(True))
     new = new.unionByName(copied.select(F.col("tid").alias("pw_tid"), F.lit("").alias("pw_left"), F.lit(False).alias("pw_part")))
     long = F.col("pw_part") | (F.octet_length("text") >= length)
     if words is not None:
-        long = long | (F.size(F.regexp_extract_all("text", F.lit(r"[^ \t-\r]+"), F.lit(0))) >= words)
+        long = long | (_word_count() >= words)
     hit = F.col("pw_left").isNotNull() & long
     out = docs.withColumn("pw_tid", tid)
     changed, same = (maybe(out, new, inside, "pw_tid") for inside in (True, False))

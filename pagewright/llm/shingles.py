@@ -1,4 +1,4 @@
-"""Near-duplicate rows by the overlap of their word shingles, exact: prefix filtering, then the sets compared.
+"""Links between texts whose sets of word shingles overlap by 0.8 or more, exact: prefix filtering, then the sets compared.
 
 Two sets with Jaccard similarity of at least 0.8 share one of the first fifth of their members, whatever the order, as long
 as it is one for all. Members are ordered by how often their cell of a sketch was hit, rare ones first, so that common
@@ -12,10 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lookup
+from .common import cut, lookup, maybe
 from .components import components
 from .subwords import slices
 
@@ -24,17 +24,35 @@ WORDS = 5
 OVER, UNDER = 4, 5
 CELLS = 1 << 20
 PARTS = 16
+#: Bits of a set's bitmap, in words of 64.
+BITMAP = 1 << 10
+CHUNK = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes ``h``."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), CHUNK):
+        part = h[at : at + CHUNK]
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
+        while len(bits) > 255:  # sums of up to 255 rows fit in a byte
+            cutoff = len(bits) // 255 * 255
+            folded = bits[:cutoff].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8)
+            ones += folded.sum(axis=0, dtype=np.int64)
+            bits = bits[cutoff:]
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * MIX
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``words``-word shingles of the text with A-Z lower-cased.
+def hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """64-bit hashes of the ``words``-word shingles of the text with A-Z lower-cased, repeats included.
 
     Fewer words than a shingle: the whole sequence is the one shingle; no word or null: as one empty shingle.
     """
@@ -45,26 +63,54 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     out = np.full(n, k, np.uint64)
     for i in range(k):
         out = out * BASE + h[i : i + n]
-    return np.unique(_mixed(out))
+    return _mixed(out)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("tid", F.unhex(F.md5("text")))
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct ``hashes``."""
+    return np.unique(hashes(text, words))
+
 
+def bitmap(s: np.ndarray) -> bytes:
+    """One bit for each member, by its leading bits."""
+    bits = np.zeros(BITMAP, np.uint8)
+    bits[(s >> np.uint64(64 - BITMAP.bit_length() + 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
 
-def levels(texts: DataFrame, words: int = WORDS) -> np.ndarray:
-    """By cell, the logarithm of how many texts have a shingle there. Tasks send counts of a fixed size, added up first."""
+
+def sketches(texts: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
+    """Of texts (doc_id, text, tid), in one reading: a row each of (doc_id, tid, sid: a digest of the set of shingles, n: its
+    size, fp: its SimHash, bits: its bitmap), and by cell the logarithm of how many texts have a shingle there.
+
+    Tasks count cells in tables of a fixed size, which are added up by part of the table.
+    """
     size = CELLS // PARTS
+    longs = BITMAP // 64
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.uint32)
+        names = ["doc_id", "tid", "sid", "n", "fp", "bits", "part", "counts"]
         for b in batches:
-            for _, part in slices(b.column(0), 1 << 18):
-                cells = np.concatenate([shingles(t, words) for t in part]) & np.uint64(CELLS - 1)
-                total += np.bincount(cells.astype(np.int64), minlength=CELLS).astype(np.uint32)
+            for first, part in slices(b.column(2), 1 << 18):
+                sid, n, fp, bits, sets = [], [], [], [], []
+                for t in part:
+                    h = hashes(t, words)
+                    s = np.unique(h)
+                    sets.append(s)
+                    sid.append(xxhash.xxh64_intdigest(s.tobytes()))
+                    n.append(len(s))
+                    fp.append(majority(h))
+                    bits.append(bitmap(s))
+                cells = (np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64)
+                total += np.bincount(cells, minlength=CELLS).astype(np.uint32)
+                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                flat = pa.array(np.frombuffer(b"".join(bits), np.int64))
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * longs), flat)
+                none = [pa.nulls(len(part), k) for k in (pa.int32(), pa.binary())]
+                yield pa.record_batch([b.column(0).slice(first, len(part)), b.column(1).slice(first, len(part)), signed(sid), pa.array(n, pa.int64()), signed(fp), maps, *none], names)
         raw = [total[i * size : (i + 1) * size].tobytes() for i in range(PARTS)]
-        yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array(raw, pa.binary())], ["i", "v"])
+        none = [pa.nulls(PARTS, k) for k in (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+        yield pa.record_batch([*none, pa.array(range(PARTS), pa.int32()), pa.array(raw, pa.binary())], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -72,39 +118,32 @@ def levels(texts: DataFrame, words: int = WORDS) -> np.ndarray:
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 sums[i] = sums.get(i, 0) + np.frombuffer(v, np.uint32).astype(np.int64)
         level = [np.log2(v + 1).astype(np.uint8).tobytes() for v in sums.values()]
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], ["i", "v"])
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], ["part", "counts"])
 
-    out = np.zeros(CELLS, np.uint8)
-    for r in texts.select("text").mapInArrow(count, "i int, v binary").repartition(PARTS, "i").mapInArrow(add, "i int, v binary").collect():
-        out[r["i"] * size : (r["i"] + 1) * size] = np.frombuffer(r["v"], np.uint8)
-    return out
+    kinds = "doc_id bigint, tid binary, sid bigint, n bigint, fp bigint, bits array<bigint>, part int, counts binary"
+    both = cut(texts.select("doc_id", "tid", "text").mapInArrow(run, kinds), "sketches")
+    level = np.zeros(CELLS, np.uint8)
+    counts = both.filter("part is not null").select("part", "counts")
+    for r in counts.repartition(PARTS, "part").mapInArrow(add, "part int, counts binary").collect():
+        level[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["counts"], np.uint8)
+    return both.filter("part is null").drop("part", "counts"), level
 
 
-def prefixes(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, tid, sid: a digest of the set of shingles, n: its size, keys: the members to meet under) of each row."""
-    level = texts.sparkSession.sparkContext.broadcast(levels(texts, words))
+def near(x: Column, y: Column) -> Column:
+    """Whether the sizes of two sets allow the similarity."""
+    return F.least(x, y) * UNDER >= F.greatest(x, y) * OVER
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = level.value
-        for b in batches:
-            for first, part in slices(b.column(2), 1 << 18):
-                sid, n, keys = [], [], []
-                for t in part:
-                    s = shingles(t, words)
-                    order = np.argsort(of[(s & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")
-                    keys.append(s[order[: len(s) - -(-len(s) * OVER // UNDER) + 1]].view(np.int64))
-                    sid.append(xxhash.xxh64_intdigest(s.tobytes()))
-                    n.append(len(s))
-                at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys)))
-                cols = [b.column(0).slice(first, len(part)), b.column(1).slice(first, len(part))]
-                yield pa.record_batch([*cols, pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int64()), found], ["doc_id", "tid", "sid", "n", "keys"])
 
-    return texts.select("doc_id", "tid", "text").mapInArrow(run, "doc_id bigint, tid binary, sid bigint, n bigint, keys array<bigint>")
+def possible(n_a: Column, n_b: Column, bits_a: Column, bits_b: Column) -> Column:
+    """Whether two sets may be as similar: each cell of the bitmap that one has and the other lacks is a member fewer in
+    common. No pair that is as similar is lost."""
+    lack = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+    common = F.least(n_a - lack(bits_a, bits_b), n_b - lack(bits_b, bits_a))
+    return (UNDER + OVER) * common >= OVER * (n_a + n_b)
 
 
-def verified(pairs: DataFrame, kinds: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets overlap by 0.8 or more. kinds: sid, and tid of a text that has the set."""
+def compared(pairs: DataFrame, kinds: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets overlap by 0.8 or more. kinds: sid, n, bits, and tid of a text that has the set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,51 +159,72 @@ def verified(pairs: DataFrame, kinds: DataFrame, texts: DataFrame, words: int =
                 yes.append(UNDER * common >= OVER * (len(x) + len(y) - common))
             yield b.select([0, 1]).filter(pa.array(yes, pa.bool_()))
 
+    pairs = pairs.distinct()
+    for c in "ab":
+        pairs = lookup(pairs, kinds.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), [c], "inner")
+    may = near(F.col("n_a"), F.col("n_b")) & possible(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"))
+    pairs = cut(pairs.filter(may).select("a", "b"), "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = cut(kinds.select("sid", "tid").join(named, "sid"), "sets-wanted")
-    found = lookup(texts.select("tid", "text"), wanted, ["tid"], "inner").dropDuplicates(["sid"])
+    found = maybe(texts, wanted).select("tid", "text").join(wanted, "tid").dropDuplicates(["sid"])
     held = cut(found.select("sid", "text").mapInArrow(sets, "sid bigint, s binary"), "sets")
     both = pairs.join(held.toDF("b", "y"), "b").join(held.toDF("a", "x"), "a")
     return both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
 
 
-def links(rows: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """(a, b) between digests that connect all pairs of sets with an overlap of 0.8 or more.
+def filed(texts: DataFrame, level: np.ndarray, words: int = WORDS) -> DataFrame:
+    """(entry, sid): each set under the first fifth of its members."""
+    levels = texts.sparkSession.sparkContext.broadcast(level)
 
-    An entry's members are first compared with its least one. Then, of members that are not yet connected, all pairs:
-    so a large group of near copies, which the first step connects, isn't paired off with itself.
-    """
-    near = lambda x, y: (F.least(x, y) * UNDER >= F.greatest(x, y) * OVER)
-    kinds = cut(rows.groupBy("sid").agg(F.min("n").alias("n"), F.min("tid").alias("tid"), F.first("keys").alias("keys")), "sets-keys")
-    filed = kinds.select("sid", "n", F.explode("keys").alias("entry"))
-    shared = filed.groupBy("entry").agg(F.min(F.struct("sid", "n")).alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    met = cut(filed.join(shared.select("entry", "least"), "entry"), "entries")
-    star = met.filter(F.col("sid") != F.col("least.sid")).filter(near(F.col("n"), F.col("least.n")))
-    first = cut(verified(cut(star.select(F.col("least.sid").alias("a"), F.col("sid").alias("b")).distinct(), "star-pairs"), kinds, texts, words), "star-links")
-    roots = components(first).withColumnRenamed("node", "sid")
-    held = met.select("entry", "sid", "n").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = held.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("entry")
-    held = cut(held.join(mixed, "entry", "left_semi"), "unconnected")
-    other = held.select("entry", *(F.col(c).alias(f"{c}_b") for c in ("sid", "n", "root")))
-    pairs = held.join(other, "entry").filter(F.col("sid") < F.col("sid_b")).filter(F.col("root") != F.col("root_b")).filter(near(F.col("n"), F.col("n_b")))
-    pairs = cut(pairs.select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).distinct(), "more-pairs")
-    return first.unionByName(verified(pairs, kinds, texts, words))
-
-
-def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row of each group of near-duplicate rows of ``docs``, that with the least doc_id; columns kept as they are.
-
-    Near-duplicates: texts whose sets of five-word shingles overlap by 0.8 or more, and what chains of these
-    connect. Rows are told apart by doc_id and text, so an id that different texts have loses only those that are
-    copies; a null id comes after all others. Texts without words are one group. Rows that repeat both are one.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = levels.value
+        for b in batches:
+            for _, part in slices(b.column(0), 1 << 18):
+                sid, n, keys = [], [], []
+                for t in part:
+                    s = shingles(t, words)
+                    order = np.argsort(of[(s & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")
+                    keys.append(s[order[: len(s) - -(-len(s) * OVER // UNDER) + 1]])
+                    sid.append(xxhash.xxh64_intdigest(s.tobytes()))
+                    n.append(len(keys[-1]))
+                owner = np.repeat(np.array(sid, np.uint64), n)
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner.view(np.int64))], ["entry", "sid"])
+
+    return texts.select("text").mapInArrow(run, "entry bigint, sid bigint")
+
+
+def connected(first: DataFrame, rows: DataFrame, kinds: DataFrame, texts: DataFrame, level: np.ndarray, words: int = WORDS) -> DataFrame:
+    """(node, root) of sets that chains of overlaps of 0.8 or more connect. first: links (a, b) that are known.
+
+    Of the rows that have one set, one text is filed. An entry's members are first compared with its least one, unless
+    they are connected already. Then, of members that are still not connected, all pairs that their sizes and bitmaps
+    allow: so a large group of near copies, which the steps before connect, isn't paired off with itself.
     """
-    texts = _texts(docs)
-    rows = cut(prefixes(texts, words), "prefixes")
-    roots = components(cut(links(rows, texts, words), "near-links")).withColumnRenamed("node", "sid")
-    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid")
-    kinds = rows.groupBy("sid").agg(F.min(name).alias("first")).join(roots, "sid", "left")
-    kept = cut(kinds.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first")), "kept")
-    kept = kept.select(F.col("first.doc_id").alias("pw_id"), F.col("first.tid").alias("pw_tid"))
-    tid = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    found = docs.withColumn("pw_own", tid).join(kept, (F.col("doc_id").cast("bigint").eqNullSafe(F.col("pw_id"))) & (F.col("pw_own") == F.col("pw_tid")), "left_semi")
-    return found.dropDuplicates(["doc_id", "pw_own"]).select(*docs.columns)
+    many = cut(rows.join(kinds.filter("rows > 1").select("sid", F.col("tid").alias("first_tid")), "sid").select("tid", "first_tid").distinct(), "several")
+    one = maybe(texts, many).select("tid", "text").join(many.withColumnRenamed("tid", "own"), F.col("tid") == F.col("own"), "left")
+    one = one.filter("own is null or tid = first_tid").dropDuplicates(["tid"])
+    lone = maybe(texts, many, inside=False).select("text").unionByName(one.select("text"))
+    window = Window.partitionBy("entry")
+    met = filed(lone, level, words).withColumn("m", F.count(F.lit(1)).over(window)).withColumn("least", F.min("sid").over(window))
+    met = cut(met.filter("m > 1").select("entry", "sid", "least"), "entries")
+
+    def rooted(df: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            df = df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+            df = df.withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+        return df
+
+    roots = components(first)
+    star = met.filter("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b")).distinct()
+    star = rooted(star, roots, "a", "b").filter("root_a <> root_b").select("a", "b")
+    first = cut(first.unionByName(compared(star, kinds, texts, words)), "star-links")
+    roots = components(first)
+    held = rooted(met, roots, "sid")
+    mixed = held.groupBy("entry").agg(F.min("root_sid").alias("low"), F.max("root_sid").alias("high")).filter("low <> high").select("entry")
+    held = held.join(mixed, "entry", "left_semi").filter("sid <> least")
+    held = cut(held.join(kinds.select("sid", "n", "bits"), "sid").select("entry", "sid", F.col("root_sid").alias("root"), "n", "bits"), "unconnected")
+    other = held.select("entry", *(F.col(c).alias(f"{c}_b") for c in ("sid", "root", "n", "bits")))
+    apart = (F.col("sid") < F.col("sid_b")) & (F.col("root") != F.col("root_b")) & near(F.col("n"), F.col("n_b"))
+    pairs = held.join(other, "entry").filter(apart & possible(F.col("n"), F.col("n_b"), F.col("bits"), F.col("bits_b")))
+    more = compared(pairs.select(F.col("sid").alias("a"), F.col("sid_b").alias("b")), kinds, texts, words)
+    return components(cut(first.unionByName(more), "near-links"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import duckdb
 import numpy as np
@@ -166,6 +167,39 @@ def test_simhash_components(request, table):
     assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == want
 
 
+@pytest.mark.parametrize("hot", [2, 128])
+def test_simhash_links_of_crowded_segments(spark, hot):
+    """Fingerprints that share segments by the dozen, found whole or split: the same components as by brute force."""
+    rng = np.random.default_rng(3)
+    fps = set()
+    for _ in range(6):
+        middle = int(rng.integers(0, 1 << 62))
+        for _ in range(60):
+            x = middle
+            for b in rng.integers(0, 64, rng.integers(0, 5)):
+                x ^= 1 << int(b)
+            fps.add(x)
+    fps = sorted(fps)
+    group = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    signed = [x - (1 << 64) if x >= 1 << 63 else x for x in fps]
+    table = spark.createDataFrame([(x,) for x in signed], "fp long")
+    found = simhash.links(table, 2, hot).collect()
+    assert all(0 < ((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 2 for r in found)
+    roots = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(found, "a long, b long")).collect()}
+    got = defaultdict(set)
+    for x in signed:
+        got[roots.get(x, x)].add(x)
+    want = defaultdict(set)
+    for k, x in enumerate(signed):
+        want[group[k]].add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_one_of_each_keeps_the_first(messy):
     out = simhash.one_of_each(messy)
     assert out.columns == messy.columns
@@ -237,9 +271,32 @@ def test_elias_fano_selects():
     for top in (0, 1, 700, 10**6, 10**12):
         v = np.sort(rng.integers(0, top + 1, 2000).astype(np.uint64))
         m = tokenfile.Monotone(memoryview(tokenfile.encode_monotone(v)))
-        assert (m.all() == v).all()
+        assert (m.some(0, len(v)) == v).all()
+        for i, j in ((0, 1), (255, 257), (256, 512), (300, 301), (1700, 2500), (2000, 2001)):
+            assert (m.some(i, j) == v[i:j]).all()
         assert [m.select(i) for i in range(0, 2000, 37)] == v[::37].tolist()
-    assert len(tokenfile.Monotone(memoryview(tokenfile.encode_monotone(np.zeros(0)))).all()) == 0
+    assert len(tokenfile.Monotone(memoryview(tokenfile.encode_monotone(np.zeros(0)))).some(0, 5)) == 0
+
+
+def test_token_files_of_many_blocks_and_groups(spark, documents, monkeypatch):
+    """Parts of several blocks, groups of several parts, and a bound that is found far into a block."""
+    rows = documents.select("doc_id", "text").unionByName(spark.range(3000, 4200).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")))
+    want = {}
+    start = 0
+    for i, t in sorted(texts_of(rows)):
+        want[i] = start, len(e := encoded(WORD, t) if i < 3000 else np.array([320, 321, 1])), zlib.crc32(e.astype("<u4").tobytes()) if i < 3000 else None
+        start += len(e)
+    monkeypatch.setattr(tokenfile, "BLOCK_IDS", 3000)
+    monkeypatch.setattr(tokenfile, "slices", partial(tokenfile.slices, limit=5000))
+    monkeypatch.setattr(tokenfile, "GROUP", 3)
+    files = tokenfile.store(rows, WORD)
+    assert files.groupBy("part").count().agg(F.max("count")).first()[0] > 1 and files.agg(F.max("part")).first()[0] > 5
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenfile.read_back(files).collect()}
+    assert {i: x[:2] for i, x in got.items()} == {i: x[:2] for i, x in want.items()}
+    assert all(got[i][2] == x[2] for i, x in want.items() if x[2] is not None)
+    block = tokenfile.Block(bytes(files.orderBy("n_ids", ascending=False).first()["image"]))
+    flat = np.concatenate([block.ids[x:y] for _, s, e in block.stretches() for x, y in zip(s, e)])
+    assert (flat == block.ids).all() and (np.concatenate([block.document(i) for i in range(block.n_docs)]) == block.ids).all()
 
 
 @pytest.mark.parametrize(("path", "kind"), [(BYTE, "byte"), (WORD, "word")])
@@ -306,6 +363,7 @@ def test_any_baseline_frame_is_decoded():
     ours = media.Frame(frame)
     other = media.Frame(frame.replace(b"\xff\xdb", b"\xff\xe0\x00\x04ab\xff\xdb", 1))
     assert (ours.coefficients == other.coefficients).all()
+    assert media.payload([other]) == media.payload([ours]) == bytes(range(256)) * 5
     flat = np.zeros((64, 64), np.int64)
     flat[:, 0] = 80
     ours.coefficients = flat
@@ -318,6 +376,25 @@ def test_shots_follow_changes():
     assert media.shots(np.stack([a] * 10)) == [0] and media.shots(np.zeros((0, media.BINS))) == []
 
 
+def test_clips_are_timed_rows_that_tile_their_media(spark):
+    rng = np.random.default_rng(0)
+    still = lambda low, n: bytes(rng.integers(low, low + 20, n).astype(np.uint8)).decode("latin-1")
+    texts = [(1, still(32, 60_000) + still(100, 60_000)), (2, "short"), (3, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in media.digest(docs).collect()}
+    by_doc = defaultdict(list)
+    for r in media.clips(media.store(docs)).orderBy("doc_id", "clip").collect():
+        by_doc[r["doc_id"]].append(r)
+    for i, _ in texts:
+        frames = int(rows[i]["feature"].split(";")[0].split("=")[1])
+        clips = by_doc[i]
+        assert [c["clip"] for c in clips] == list(range(len(clips))) and len(rows[i]["clips"]) == len(clips)
+        assert clips[0]["first_frame"] == 0 and sum(c["frames"] for c in clips) == frames
+        assert all(a["end_ms"] == b["start_ms"] and a["end_ms"] > a["start_ms"] for a, b in zip(clips, clips[1:]))
+        assert clips[-1]["end_ms"] == pytest.approx(frames * 40.0)
+    assert len(by_doc[1]) == 2 and by_doc[1][1]["first_frame"] in (14, 15)
+
+
 # --- 7 trees
 
 
@@ -388,6 +465,23 @@ def test_rules_match_sql(request, table):
     assert Counter(tuple(r[c] for c in names) for r in rules.judge(docs).collect()) == want
 
 
+def test_votes_are_weighed_not_all_needed(spark):
+    """Rules disagree: some document that is kept has a vote against it, and estimated accuracies differ by rule."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judged = rules.judge(docs).collect()
+    against = [any(r[f"vote_{k}"] == -1 for k in rules.RULES) for r in judged]
+    assert any(r["kept"] and a for r, a in zip(judged, against, strict=True))
+    assert any(r["posterior"] >= 0.5 and a for r, a in zip(judged, against, strict=True))
+    model = rules.fit(spark.createDataFrame(judged))
+    hits = [model.given[0][j][0] for j in range(len(rules.RULES))]
+    misses = [model.given[1][j][0] for j in range(len(rules.RULES))]
+    assert len({round(x, 3) for x in hits}) > 3 and len({round(x, 3) for x in misses}) > 3
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    good = [r["posterior"] >= 0.5 for r in judged if labels.get(r["doc_id"]) == 1]
+    bad = [r["posterior"] >= 0.5 for r in judged if labels.get(r["doc_id"]) == 0]
+    assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
+
+
 def test_sift_keeps_columns(messy, empty):
     kept = rules.sift(messy)
     assert kept.columns == messy.columns

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, maybe
+from .common import cut, maybe
 from .components import components
 from .subwords import slices
 
@@ -161,7 +161,7 @@ def compared(pairs: DataFrame, kinds: DataFrame, texts: DataFrame, words: int =
 
     pairs = pairs.distinct()
     for c in "ab":
-        pairs = lookup(pairs, kinds.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), [c], "inner")
+        pairs = pairs.join(kinds.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
     may = near(F.col("n_a"), F.col("n_b")) & possible(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"))
     pairs = cut(pairs.filter(may).select("a", "b"), "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Lists of the tables that ``cut`` has written, of those who asked for one.
+_recorded: list[list[str]] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named (tests)."""
+    """The shared folder that the cluster names. Where none is named, a folder of our own, but only in local mode: on a
+    cluster other executors could not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return named or os.path.join(tempfile.gettempdir(), "pagewright-scratch")
 
 
@@ -33,10 +42,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/pagewright-{name}-{uuid.uuid4().hex}"
+    for made in _recorded:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The tables that ``cut`` writes meanwhile."""
+    made: list[str] = []
+    _recorded.append(made)
+    try:
+        yield made
+    finally:
+        _recorded.remove(made)
+
+
+def release(spark: SparkSession, tables: list[str]) -> None:
+    """Delete tables of ``cut``, once whatever reads them has been written."""
+    for table in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every table that ``cut`` has left. Call it when no result is waiting to be read."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))

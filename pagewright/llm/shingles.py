@@ -173,30 +173,32 @@ def compared(pairs: DataFrame, kinds: DataFrame, texts: DataFrame, words: int =
 
 
 def filed(texts: DataFrame, level: np.ndarray, words: int = WORDS) -> DataFrame:
-    """(entry, sid): each set under the first fifth of its members."""
+    """(entry, sid, n: the set's size): each set under the first fifth of its members."""
     levels = texts.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = levels.value
         for b in batches:
             for _, part in slices(b.column(0), 1 << 18):
-                sid, n, keys = [], [], []
+                sid, n, size, keys = [], [], [], []
                 for t in part:
                     s = shingles(t, words)
+                    size.append(len(s))
                     order = np.argsort(of[(s & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")
                     keys.append(s[order[: len(s) - -(-len(s) * OVER // UNDER) + 1]])
                     sid.append(xxhash.xxh64_intdigest(s.tobytes()))
                     n.append(len(keys[-1]))
-                owner = np.repeat(np.array(sid, np.uint64), n)
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner.view(np.int64))], ["entry", "sid"])
+                owner, size = (np.repeat(np.array(x, k), n) for x, k in ((sid, np.uint64), (size, np.int32)))
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner.view(np.int64)), pa.array(size)], ["entry", "sid", "n"])
 
-    return texts.select("text").mapInArrow(run, "entry bigint, sid bigint")
+    return texts.select("text").mapInArrow(run, "entry bigint, sid bigint, n int")
 
 
 def connected(first: DataFrame, rows: DataFrame, kinds: DataFrame, texts: DataFrame, level: np.ndarray, words: int = WORDS) -> DataFrame:
     """(node, root) of sets that chains of overlaps of 0.8 or more connect. first: links (a, b) that are known.
 
-    Of the rows that have one set, one text is filed. An entry's members are first compared with its least one, unless
+    Of the rows that have one set, one text is filed. Of entries with the same members, such as those of one passage, one
+    is looked at. An entry's members are first compared with its least one, unless
     they are connected already. Then, of members that are still not connected, all pairs that their sizes and bitmaps
     allow: so a large group of near copies, which the steps before connect, isn't paired off with itself.
     """
@@ -205,8 +207,12 @@ def connected(first: DataFrame, rows: DataFrame, kinds: DataFrame, texts: DataFr
     one = one.filter("own is null or tid = first_tid").dropDuplicates(["tid"])
     lone = maybe(texts, many, inside=False).select("text").unionByName(one.select("text"))
     window = Window.partitionBy("entry")
-    met = filed(lone, level, words).withColumn("m", F.count(F.lit(1)).over(window)).withColumn("least", F.min("sid").over(window))
-    met = cut(met.filter("m > 1").select("entry", "sid", "least"), "entries")
+    signed = lambda k: F.bit_xor(F.xxhash64("sid", F.lit(k))).over(window)
+    met = filed(lone, level, words).withColumn("m", F.count(F.lit(1)).over(window)).filter("m > 1")
+    met = met.withColumns({"least": F.min(F.struct("sid", "n")).over(window), "x": signed(1), "y": signed(2)})
+    met = cut(met.select("entry", "sid", "n", "m", "least", "x", "y"), "entries")
+    one_of_all = met.groupBy("m", "x", "y").agg(F.min("entry").alias("entry"))  # of entries with the same members
+    met = cut(met.join(one_of_all.select("entry"), "entry", "left_semi").select("entry", "sid", "n", "least"), "own-entries")
 
     def rooted(df: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
@@ -215,16 +221,17 @@ def connected(first: DataFrame, rows: DataFrame, kinds: DataFrame, texts: DataFr
         return df
 
     roots = components(first)
-    star = met.filter("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b")).distinct()
+    star = met.filter("sid <> least.sid").filter(near(F.col("n"), F.col("least.n")))
+    star = star.select(F.col("least.sid").alias("a"), F.col("sid").alias("b")).distinct()
     star = rooted(star, roots, "a", "b").filter("root_a <> root_b").select("a", "b")
     first = cut(first.unionByName(compared(star, kinds, texts, words)), "star-links")
     roots = components(first)
     held = rooted(met, roots, "sid")
     mixed = held.groupBy("entry").agg(F.min("root_sid").alias("low"), F.max("root_sid").alias("high")).filter("low <> high").select("entry")
-    held = held.join(mixed, "entry", "left_semi").filter("sid <> least")
-    held = cut(held.join(kinds.select("sid", "n", "bits"), "sid").select("entry", "sid", F.col("root_sid").alias("root"), "n", "bits"), "unconnected")
-    other = held.select("entry", *(F.col(c).alias(f"{c}_b") for c in ("sid", "root", "n", "bits")))
+    held = held.join(mixed, "entry", "left_semi").filter("sid <> least.sid")
+    held = cut(held.select("entry", "sid", F.col("root_sid").alias("root"), "n"), "unconnected")
+    other = held.select("entry", *(F.col(c).alias(f"{c}_b") for c in ("sid", "root", "n")))
     apart = (F.col("sid") < F.col("sid_b")) & (F.col("root") != F.col("root_b")) & near(F.col("n"), F.col("n_b"))
-    pairs = held.join(other, "entry").filter(apart & possible(F.col("n"), F.col("n_b"), F.col("bits"), F.col("bits_b")))
-    more = compared(pairs.select(F.col("sid").alias("a"), F.col("sid_b").alias("b")), kinds, texts, words)
+    pairs = held.join(other, "entry").filter(apart).select(F.col("sid").alias("a"), F.col("sid_b").alias("b"))
+    more = compared(pairs, kinds, texts, words)
     return components(cut(first.unionByName(more), "near-links"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 from functools import partial
@@ -133,7 +134,7 @@ def test_passages_of_over_50_short_words_are_stripped(spark):
 
 def brute_fingerprint(text, words=3):
     t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-    w = [x for x in __import__("re").split("[\x20\x09-\x0d]+", t) if x]
+    w = [x for x in re.split("[\x20\x09-\x0d]+", t) if x]
     if not w:
         return 0
     shingles = [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))]
@@ -642,20 +643,26 @@ def test_pipeline_run_matches_brute_force(spark):
 
     kept = {r["doc_id"] for r in rules.judge(spark.read.parquet(f"{SF}/documents.parquet")).filter("kept").collect()}
     rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["doc_id"] in kept]
-    fps = [brute_fingerprint(t) for _, t, _ in rows]
-    group = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2 and group[i] != group[j]:
-                old, new = max(group[i], group[j]), min(group[i], group[j])
-                group = [new if g == old else g for g in group]
+    rows.sort()
+    group = brute_near([r[:2] for r in rows])
     rows = [r for k, r in enumerate(rows) if group[k] == k]
     raw = [t.encode() for _, t, _ in rows]
     length = corpus_pipeline.PASSAGE_BYTES
     seen = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
+
+    def windows(t):
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)]
+        both = zip(words, words[corpus_pipeline.PASSAGE_WORDS - 1 :], strict=False)
+        return [(a, b) for (a, _), (_, b) in both if b - a < length]
+
+    said = Counter(t[a:b] for t in raw for a, b in windows(t))
     docs = []
     for (i, _, s), t in zip(rows, raw, strict=True):
         mark = np.zeros(len(t) + 1, np.int64)
+        for a, b in windows(t):
+            if said[t[a:b]] > 1:
+                mark[a] += 1
+                mark[b] -= 1
         for k in range(len(t) - length + 1):
             if seen[t[k : k + length]] > 1:
                 mark[k] += 1

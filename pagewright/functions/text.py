@@ -156,35 +156,43 @@ def content_overlap(answer: Column, cited: Column) -> Column:
 
 
 #: Marks stripped off a token's ends; what numbers with a short unit and words look like.
-_PUNCTUATION = "[" + "".join("\\" + c for c in ".,;:!?()[]{}\"'“”‘’«»…-–—/\\|*#&@^~`<>=+") + "]"
+_PUNCTUATION = ".,;:!?()[]{}\"'“”‘’«»…-–—/\\|*#&@^~`<>=+"
 _NUMERIC = r"[\d.,:/%+\-−°×]+[A-Za-zµΩ°]{0,4}"
 _WORD = r"[A-Za-z][A-Za-z'\-]*"
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for use in ``body``, where repeating it would evaluate it again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_quality(text: Column, code_chars: int = 12, acronym_chars: int = 6) -> Column:
-    """Share of tokens that look like words with a vowel, numbers, codes or acronyms; 0 without tokens."""
-    strip = lambda t: F.regexp_replace(F.regexp_replace(t, f"^{_PUNCTUATION}+", ""), f"{_PUNCTUATION}+$", "")
-    tokens = F.filter(words(text), lambda t: strip(t) != "")
+    """Share of tokens that look like words with a vowel, numbers, codes or acronyms; 0 without tokens.
+
+    Each token is stripped once, and the tokens are made once for their number and for those that are good.
+    """
+    pairs = F.transform(words(text), lambda w: F.struct(w.alias("raw"), F.btrim(w, F.lit(_PUNCTUATION)).alias("t")))
 
-    def good(raw: Column) -> Column:
-        t = strip(raw)
-        word = t.rlike(f"^{_WORD}$")
+    def good(x: Column) -> Column:
+        raw, t = x["raw"], x["t"]
         as_word = F.when(F.length(t) == 1, t.isin("a", "A", "I")).otherwise(
             t.rlike("[aeiouyAEIOUY]") | (~t.rlike("[a-z]") & (F.length(t) <= acronym_chars))
         )
         code = t.rlike("[A-Za-z]") & t.rlike("[0-9]") & (F.length(t) <= code_chars)
         sound = ~F.contains(raw, F.lit("(cid:")) & ~F.contains(t, F.lit("�"))
-        return sound & F.when(t.rlike(f"^{_NUMERIC}$"), F.lit(True)).when(word, as_word).otherwise(code)
+        return sound & F.when(t.rlike(f"^{_WORD}$"), as_word).when(t.rlike(f"^{_NUMERIC}$"), F.lit(True)).otherwise(code)
 
-    return F.when(F.size(tokens) > 0, F.size(F.filter(tokens, good)) / F.size(tokens)).otherwise(F.lit(0.0))
+    share = lambda ts: F.when(F.size(ts) > 0, F.size(F.filter(ts, good)) / F.size(ts)).otherwise(F.lit(0.0))
+    return let(F.filter(pairs, lambda x: x["t"] != ""), share)
 
 
-def needs_ocr(text: Column, image_cover: Column, least_chars: int = 30, least_quality: float = 0.6) -> Column:
-    """Why a page must be read by OCR: no_text_layer, low_text_quality, or null. image_cover: largest image's share."""
+def needs_ocr(text: Column, image_cover: Column, quality: Column | None = None, least_chars: int = 30, least_quality: float = 0.6) -> Column:
+    """Why a page must be read by OCR: no_text_layer, low_text_quality, or null. image_cover: largest image's share;
+    quality: the text's, where it is known already."""
     chars = F.length(F.trim(F.coalesce(text, F.lit(""))))
     scanned = (F.coalesce(image_cover, F.lit(0.0)) >= 0.5) | (chars == 0)
     return F.when(chars < least_chars, F.when(scanned, F.lit("no_text_layer"))).when(
-        text_quality(text) < least_quality, F.lit("low_text_quality")
+        (text_quality(text) if quality is None else quality) < least_quality, F.lit("low_text_quality")
     )
 
 

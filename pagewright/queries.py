@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions import stem as S
 from pagewright.functions import text as T
 from pagewright.operators import answers, chunks, layout, metrics, numerals, routing, search, store, tables
 from pagewright.plans import guard
@@ -34,6 +35,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if it has fewer files than there are cores: a small file is one task, however much work
+    its rows make."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table of fixed rows, as a local relation."""
     return spark.createDataFrame(rows, schema)
@@ -65,15 +73,19 @@ chunks AS MATERIALIZED (SELECT doc_id * 1048576 + line AS ord, source AS doc, do
 toks AS MATERIALIZED (SELECT ord, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM chunks),
 terms AS MATERIALIZED (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9.''/-]*')) AS t FROM benchmark),
 kept AS (SELECT qid, t, list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ps FROM terms WHERE length(t) > 1 AND NOT list_contains(STOPS, t)),
-pieces AS MATERIALIZED (SELECT qid, t, len(ps) AS n, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pos FROM kept),
-placed AS (SELECT ord, unnest(ws) AS piece, generate_subscripts(ws, 1) AS place FROM toks),
+asked AS MATERIALIZED (SELECT qid, t, len(ps) AS n, unnest(ps) AS w, generate_subscripts(ps, 1) AS pos FROM kept),
+said AS MATERIALIZED (SELECT ord, unnest(ws) AS w, generate_subscripts(ws, 1) AS place FROM toks),
+words AS (SELECT w FROM said UNION SELECT w FROM asked),
+STEMS,
+pieces AS MATERIALIZED (SELECT qid, t, n, s AS piece, pos FROM asked JOIN stemmed USING (w)),
+placed AS (SELECT ord, s AS piece, place FROM said JOIN stemmed USING (w)),
 occ AS (SELECT qid, t, n, ord, place - pos AS st FROM placed JOIN pieces USING (piece) GROUP BY ALL HAVING count(DISTINCT pos) = n),
 tf AS MATERIALIZED (SELECT qid, t, ord, count(*)::DOUBLE AS tf FROM occ GROUP BY ALL),
 df AS (SELECT qid, t, count(*) AS df FROM tf GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(len(ws)) AS ml FROM toks),
 bm AS (SELECT qid, ord, round(sum((CASE WHEN ln((st.n - df + 0.5) / (df + 0.5)) > 0 THEN ln((st.n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / ml))), 6) AS score
   FROM tf JOIN df USING (qid, t) JOIN toks USING (ord), st GROUP BY ALL),
-keyword AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS rank FROM bm) WHERE rank <= 50)""".replace("STOPS", STOP_SQL)
+keyword AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS rank FROM bm) WHERE rank <= 50)""".replace("STOPS", STOP_SQL).replace("STEMS", ",\n".join(S.sql("words")))
 DENSE_SQL = r"""
 vq AS (SELECT item_id AS qid, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
 vs AS (SELECT vec_id * 1048576 AS ord, embedding::DOUBLE[] AS v FROM embeddings),
@@ -94,7 +106,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyword(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = search.line_chunks(read(spark, sf_dir, "documents"))
+    c = search.line_chunks(spread(read(spark, sf_dir, "documents")))
     return c, search.bm25(c, _questions(spark, sf_dir), T.content_terms(F.col("question")), {"text": 1.0}, 50)
 
 
@@ -369,9 +381,10 @@ a AS (SELECT doc_id, round(avg(good::INTEGER::DOUBLE), 6) AS quality FROM q GROU
 SELECT d.doc_id, coalesce(quality, 0) AS quality, CASE WHEN length(trim(text, ' ')) < 30 THEN CASE WHEN doc_id % 2 = 0 OR length(trim(text, ' ')) = 0 THEN 'no_text_layer' END WHEN coalesce(quality, 0) < 0.6 THEN 'low_text_quality' END AS reason FROM documents d LEFT JOIN a USING (doc_id)"""
 )
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents"))
     cover = F.when(F.col("doc_id") % 2 == 0, 0.9).otherwise(0.1)
-    return d.select("doc_id", F.round(T.text_quality(F.col("text")), 6).alias("quality"), T.needs_ocr(F.col("text"), cover).alias("reason"))
+    scored = d.select("doc_id", "text", T.text_quality(F.col("text")).alias("q"))
+    return scored.select("doc_id", F.round("q", 6).alias("quality"), T.needs_ocr(F.col("text"), cover, F.col("q")).alias("reason"))
 
 
 @query("SELECT p_partkey, 'Table: Parts | name: ' || p_name || ' | col2: ' || p_brand AS text FROM part")

@@ -269,3 +269,35 @@ def similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance over the longer length; 1 for two empty texts."""
     longer = F.greatest(F.length(a), F.length(b))
     return F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longer)
+
+
+#: Connections and words of visible text that a figure's description keeps.
+DESCRIBED = (12, 40)
+
+
+def description_text(reply: Column) -> Column:
+    """A figure's description from a model's reply, a JSON object: summary, labelled parts, counts, connections and
+    visible text, as far as they are there, with a bar between; null if the reply holds no object."""
+
+    def body(v: Column) -> Column:
+        rows = lambda name, kind: F.coalesce(F.try_variant_get(v, f"$.{name}", kind), F.array().cast(kind))
+        listed = lambda head, xs, by="; ": F.when(F.size(xs) > 0, F.concat(F.lit(head), F.array_join(xs, by)))
+        named = F.filter(rows("labelled_parts", "array<struct<label string, name string>>"), lambda x: F.coalesce(x["label"], F.lit("")) != "")
+        counted = rows("counts", "array<struct<count string, item string>>")
+        parts = [
+            F.nullif(F.try_variant_get(v, "$.summary", "string"), F.lit("")),
+            listed("Parts: ", F.transform(named, lambda x: F.concat_ws(" = ", x["label"], x["name"]))),
+            listed("Counts: ", F.transform(counted, lambda x: F.concat_ws(" ", x["count"], x["item"]))),
+            listed("Connections: ", F.slice(rows("connections", "array<string>"), 1, DESCRIBED[0])),
+            listed("Visible text: ", F.slice(rows("visible_text", "array<string>"), 1, DESCRIBED[1]), " "),
+        ]
+        return F.when(v.isNotNull(), F.concat_ws(" | ", *parts))
+
+    return body(first_json(reply))
+
+
+def graded(reply: Column, word: Column) -> Column:
+    """Whether a grader calls an answer correct: by the field of the JSON object in its reply, else by its one-word
+    verdict; without either it is not."""
+    told = F.try_variant_get(first_json(reply), "$.correct", "boolean")
+    return F.coalesce(told, F.upper(F.trim(word)).startswith("CORRECT"), F.lit(False))

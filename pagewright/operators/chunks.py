@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.operators.numerals import reconciled
 
 #: Fixed values of chunking.
 TARGET, MOST, LEAST, BIG_TABLE = 300, 450, 60, 400
@@ -73,11 +74,11 @@ def titles(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc").agg(F.min_by(F.when(fit, F.col("text")), F.when(fit, F.col("ord"))).alias("h")).select("doc", F.coalesce("h", stem).alias("title"))
 
 
-def _document(pdf: pd.DataFrame) -> Iterator[dict]:
-    """Chunks of one document's blocks in order: headings open sections, claims stand alone, texts are packed, and a
-    table or figure closes what is held."""
+def _page(pdf: pd.DataFrame, section: str | None) -> Iterator[dict]:
+    """Chunks of one page's blocks in order, under the heading that the pages before leave open: headings open
+    sections, claims stand alone, texts are packed, and a table or figure closes what is held."""
     counts: dict[tuple, int] = {}
-    section, held, page = None, [], None
+    held, page = [], None
 
     def emit(kind: str, text: str, number: int) -> dict:
         key = (number, kind)
@@ -89,9 +90,7 @@ def _document(pdf: pd.DataFrame) -> Iterator[dict]:
             yield emit("text", "\n".join(group), page)
         held.clear()
 
-    for b in pdf.sort_values(["page", "ord"]).itertuples():
-        if page is not None and b.page != page:
-            yield from flush()
+    for b in pdf.sort_values("ord").itertuples():
         page = int(b.page)
         if b.kind == "text":
             if b.role in ("header", "footer") or b.running:
@@ -143,22 +142,28 @@ def chunk_documents(blocks: DataFrame) -> DataFrame:
     """(id, doc, page, kind, text, section, prefix, identifiers, place) from blocks (doc, page, ord, kind, role, text,
     cells, title, caption, figure_id).
 
-    Packing carries state from block to block, so a document's blocks go to one task, which holds one document.
+    What is held is closed at a page's end, so pages are packed apart: a group is one page's blocks, and the heading that
+    is open when it begins is carried to it by a window over the document's pages, of a row each.
     """
     keyed = blocks.withColumn("key", F.when(F.col("kind") == "text", T.running_key(F.col("text"))))
     drop = running_lines(blocks).select("doc", "key").withColumn("running", F.lit(True))
     marked = keyed.join(drop, ["doc", "key"], "left").fillna({"running": False})
-    cols = ["doc", "page", "ord", "kind", "role", "text", "cells", "title", "caption", "figure_id", "running"]
+    marked = marked.join(open_headings(marked), ["doc", "page"], "left")
+    cols = ["doc", "page", "ord", "kind", "role", "text", "cells", "title", "caption", "figure_id", "running", "open"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = merged(list(_document(pdf.astype(object).where(pdf.notna(), None))))
+        pdf = pdf.astype(object).where(pdf.notna(), None)
+        rows = merged(list(_page(pdf, pdf["open"].iloc[0] if len(pdf) else None)))
         out = pd.DataFrame(rows, columns=["page", "kind", "n", "text", "section"])
         out.insert(0, "doc", pdf["doc"].iloc[0] if len(pdf) else None)
-        out["place"] = range(len(out))
+        out["at"] = range(len(out))
         return out
 
-    made = marked.select(*cols).groupBy("doc").applyInPandas(one, "doc string, page int, kind string, n int, text string, section string, place int")
-    made = made.join(titles(blocks), "doc")
+    made = marked.select(*cols).groupBy("doc", "page").applyInPandas(one, "doc string, page int, kind string, n int, text string, section string, at int")
+    sizes = made.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("doc", "page", F.coalesce(before, F.lit(0)).alias("before"))
+    made = made.join(sizes, ["doc", "page"]).withColumn("place", (F.col("before") + F.col("at")).cast("int")).join(titles(blocks), "doc")
     page = F.concat(F.lit("p."), F.col("page"))
     return made.select(
         F.concat(F.col("doc"), F.lit("#p"), F.col("page"), F.lit("#"), F.col("kind"), F.col("n")).alias("id"),
@@ -181,7 +186,62 @@ def packed_lines(chunks: DataFrame) -> DataFrame:
     return lists.mapInPandas(run, "doc string, page bigint, n int, text string").withColumn("n_tokens", T.n_tokens(F.col("text")))
 
 
+def open_headings(blocks: DataFrame) -> DataFrame:
+    """(doc, page, open): the heading that is open when a page begins, from the last one of each page before. Running
+    heads and feet, where they are marked (running, role), open none."""
+    heading = (F.col("role") == "heading") & (F.col("kind") == "text" if "kind" in blocks.columns else F.lit(True))
+    heading = heading & ~F.col("running") if "running" in blocks.columns else heading
+    last = blocks.groupBy("doc", "page").agg(F.max_by(F.when(heading, F.col("text")), F.when(heading, F.col("ord"))).alias("last"))
+    before = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    return last.select("doc", "page", F.last("last", ignorenulls=True).over(before).alias("open"))
+
+
 def sections(blocks: DataFrame) -> DataFrame:
-    """Blocks with the heading they stand under, carried over pages."""
-    order = Window.partitionBy("doc").orderBy("page", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("section", F.last(F.when(F.col("role") == "heading", F.col("text")), ignorenulls=True).over(order))
+    """Blocks with the heading they stand under, carried over pages: within a page by a window over its blocks, from page to
+    page by one over a row a page."""
+    order = Window.partitionBy("doc", "page").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.last(F.when(F.col("role") == "heading", F.col("text")), ignorenulls=True).over(order)
+    found = blocks.withColumn("pw_own", own).join(open_headings(blocks.select("doc", "page", "ord", "role", "text")), ["doc", "page"], "left")
+    return found.withColumn("section", F.coalesce("pw_own", "open")).select(*blocks.columns, "section")
+
+
+def figure_text(caption: Column, fig_id: Column, definition: Column, labels: Column, named: Column, same_page: Column, read: Column, description: Column) -> Column:
+    """A figure's chunk, its parts with a bar between: caption, behind the figure's id unless it begins with that; the
+    definition, unless the caption holds it; labels, with the names of those that are defined; other numerals defined on
+    the page, as weaker evidence; words read in the figure; a description. labels, named, same_page and read are arrays."""
+    cap = F.coalesce(caption, F.lit(""))
+    begins = fig_id.isNull() | F.lower(cap).startswith(F.rtrim(F.lower(fig_id), F.lit(".")))
+    head = F.when(begins, cap).otherwise(F.btrim(F.concat(fig_id, F.lit(": "), cap), F.lit(": ")))
+    words = F.array_distinct(F.filter(read, lambda t: t.rlike("[A-Za-z]{3,}")))
+    listed = lambda start, xs, by: F.when(F.size(xs) > 0, F.concat(F.lit(start), F.array_join(xs, by)))
+    parts = [
+        F.coalesce(F.nullif(head, F.lit("")), F.lit("Figure")),
+        F.when(~F.contains(F.lower(cap), F.lower(definition)), F.concat(F.lit("Description: "), definition)),
+        listed("Labels: ", labels, ", "),
+        listed("", named, "; "),
+        listed("Also defined on this page: ", same_page, "; "),
+        listed("Text in figure: ", words, " "),
+        F.concat(F.lit("VLM description: "), F.nullif(description, F.lit(""))),
+    ]
+    return F.concat_ws(" | ", *parts)
+
+
+def figure_chunks(blocks: DataFrame, figures: DataFrame, entries: DataFrame) -> DataFrame:
+    """Figure blocks (doc, page, ord, caption, figure_id, labels, description) with matched, repaired, unmatched and text.
+
+    Labels are reconciled with the numerals that the document defines (entries: doc, numeral, name, pages); figures: doc,
+    fig_id, title. Numerals meet figures by document, then by equality: no figure meets all numerals of the corpus.
+    """
+    defined = entries.groupBy("doc").agg(F.array_sort(F.collect_set("numeral")).alias("defined"))
+    none = F.array().cast("array<string>")
+    t = blocks.join(defined, "doc", "left").withColumn("r", reconciled(F.coalesce("labels", none), F.coalesce("defined", none)))
+    t = t.select(*blocks.columns, "r.*").withColumn("present", F.array_distinct(F.concat("matched", "repaired")))
+    line = F.struct(F.length(F.rtrim("numeral", F.lit("abc'"))).alias("l"), "numeral", F.concat_ws(" = ", "numeral", "name").alias("t"))
+    lines = lambda df, name: df.groupBy("doc", "ord").agg(F.transform(F.array_sort(F.collect_set(line)), lambda x: x["t"]).alias(name))
+    own = t.select("doc", "ord", F.explode("present").alias("numeral")).join(entries.select("doc", "numeral", "name"), ["doc", "numeral"])
+    here = t.select("doc", "page", "ord", "present").join(entries.select("doc", "numeral", "name", F.explode("pages").alias("page")), ["doc", "page"])
+    here = here.filter(~F.array_contains("present", F.col("numeral")))
+    titled = figures.select("doc", F.col("fig_id").alias("figure_id"), F.col("title").alias("definition"))
+    t = t.join(titled, ["doc", "figure_id"], "left").join(lines(own, "named"), ["doc", "ord"], "left").join(lines(here, "same_page"), ["doc", "ord"], "left")
+    text = figure_text(F.col("caption"), F.col("figure_id"), F.col("definition"), F.col("present"), F.coalesce("named", none), F.coalesce("same_page", none), F.coalesce("labels", none), F.col("description"))
+    return t.withColumn("text", text).drop("definition", "named", "same_page", "present")

@@ -181,3 +181,47 @@ def ground_truth_text(items: DataFrame, categories: list[str]) -> DataFrame:
     key = F.struct(F.col("order").isNull().alias("last"), "order", "text")
     return kept.groupBy("page").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(key)), lambda x: x["text"])).alias("text"))
 
+
+def match_figures(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """gold figures (doc, page, gid, figure_id, caption) with the ord of the found figure (doc, page, ord, figure_id, caption)
+    of their page: the first whose caption begins like the gold one's or whose id is the same, else the page's first."""
+    key = lambda c: F.lower(T.typographic(F.coalesce(c, F.lit(""))))
+    f = found.select("doc", "page", "ord", F.col("figure_id").alias("fid"), F.col("caption").alias("fcap"))
+    pairs = gold.join(f, ["doc", "page"], "left")
+    alike = key(F.col("fcap")).startswith(key(F.col("caption"))) | (F.col("fid") == F.col("figure_id"))
+    rank = F.struct(F.when(alike, 0).otherwise(1).alias("r"), "ord")
+    best = pairs.groupBy("doc", "page", "gid").agg(F.min(F.when(F.col("ord").isNotNull(), rank)).alias("b"))
+    return best.select("doc", "page", "gid", F.col("b.ord").alias("ord"))
+
+
+def quick_rates(scored: DataFrame, names: tuple[str, ...] = ("retrieved", "page_hit", "nums_ok", "nf_ok")) -> DataFrame:
+    """By type and for all: n, and for each of ``names`` passed/asked over the rows where it is not null, - if none."""
+    rate = lambda c: F.when(F.count(c) > 0, F.concat_ws("/", F.count_if(F.col(c)), F.count(c))).otherwise("-").alias(c)
+    out = scored.rollup("type").agg(F.count(F.lit(1)).alias("n"), *map(rate, names))
+    return out.withColumn("type", F.coalesce("type", F.lit("all")))
+
+
+def benchmark_means(pages: DataFrame) -> DataFrame:
+    """One row of a benchmark's pages (text: similarity; right, pairs: order; teds: of its tables, an array; figures, hit):
+    mean similarity, order accuracy over all pairs, mean over all tables, and recall over all figures."""
+    tables = pages.agg(F.sum(F.aggregate("teds", F.lit(0.0), lambda s, x: s + x)).alias("t"), F.sum(F.size("teds")).alias("n"))
+    means = pages.agg(
+        F.round(F.avg("text"), 6).alias("text"), F.round(F.try_divide(F.sum("right"), F.sum("pairs")), 6).alias("order"), F.round(F.try_divide(F.sum("hit"), F.sum("figures")), 6).alias("figure_recall"),
+    )
+    return means.crossJoin(F.broadcast(tables.select(F.round(F.try_divide("t", "n"), 6).alias("teds"), F.col("n").alias("tables"))))
+
+
+def stage_counts(stages: DataFrame) -> DataFrame:
+    """(stage, n) of failed questions (qid, stage), most first."""
+    return stages.filter("stage is not null").groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+def report(title: str, tables: dict[str, DataFrame], most: int = 200) -> tuple[dict, str]:
+    """(a dictionary for JSON, Markdown) of small result tables, each at most ``most`` rows; a report is for reading."""
+    told, lines = {}, [f"# {title}"]
+    for name, df in tables.items():
+        rows = [r.asDict(recursive=True) for r in df.limit(most).collect()]
+        told[name] = rows
+        lines += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+        lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in df.columns) + " |" for r in rows]
+    return told, "\n".join(lines)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
-from pagewright.operators.search import small
 
 #: The patterns of the routes.
 NUMERAL_AFTER_CUE = r"(?i)\b(?:label(?:l?ed)?|numeral|reference|component|element|part|item|number)\s+(?:as\s+|number\s+)?(\d{1,4}[a-z]?)\b"
@@ -68,15 +67,22 @@ def patent_match(asked: Column, aliases: Column) -> Column:
 
 def resolve(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """(qid, doc, doc_boost): the document that a patent number pins, if it pins exactly one, and the documents whose
-    product names occur, tables aside. questions: qid, identifiers."""
-    asked = questions.select("qid", F.array_distinct(F.transform("identifiers", T.norm)).alias("ids"))
-    pairs = asked.crossJoin(small(aliases))
-    patents = F.filter("ids", lambda i: i.rlike(PATENT_ID))
-    pairs = pairs.withColumn("hard", F.exists(patents, lambda p: patent_match(p, F.col("aliases")))).withColumn(
-        "soft", F.arrays_overlap("ids", "aliases") & ~F.lower("doc").rlike(r"\.(csv|xlsx)$")
-    )
-    by = pairs.groupBy("qid").agg(F.count_if("hard").alias("n"), F.min(F.when(F.col("hard"), F.col("doc"))).alias("d"), F.array_sort(F.collect_list(F.when(F.col("soft") & ~F.col("hard"), F.col("doc")))).alias("doc_boost"))
-    return by.select("qid", F.when(F.col("n") == 1, F.col("d")).alias("doc"), "doc_boost")
+    product names occur, tables aside. questions: qid, identifiers.
+
+    Identifiers and aliases meet by equality: as they stand, and patent numbers by their digits.
+    """
+    asked = questions.select("qid", F.explode(F.array_distinct(F.transform("identifiers", T.norm))).alias("i"))
+    named = aliases.select("doc", F.explode("aliases").alias("a"))
+    soft = asked.join(named, asked.i == named.a).select("qid", "doc", F.col("i").rlike(PATENT_ID).alias("hard"))
+    patents = asked.filter(F.col("i").rlike(PATENT_ID)).select("qid", _digits(F.col("i")).alias("d"))
+    numbers = named.filter(F.col("a").startswith("us")).select("doc", _digits(F.col("a")).alias("d")).filter("d <> ''").distinct()
+    hard = patents.join(numbers, "d").select("qid", "doc", F.lit(True).alias("hard"))
+    met = soft.unionByName(hard).groupBy("qid", "doc").agg(F.bool_or("hard").alias("hard"))
+    boosted = ~F.col("hard") & ~F.lower("doc").rlike(r"\.(csv|xlsx)$")
+    by = met.groupBy("qid").agg(F.count_if("hard").alias("n"), F.min(F.when(F.col("hard"), F.col("doc"))).alias("d"), F.array_sort(F.collect_list(F.when(boosted, F.col("doc")))).alias("doc_boost"))
+    found = by.select("qid", F.when(F.col("n") == 1, F.col("d")).alias("doc"), "doc_boost")
+    none = F.array().cast("array<string>")
+    return questions.select("qid").distinct().join(found, "qid", "left").select("qid", "doc", F.coalesce("doc_boost", none).alias("doc_boost"))
 
 
 def asked_numerals(question: Column, known: Column) -> Column:
@@ -85,6 +91,15 @@ def asked_numerals(question: Column, known: Column) -> Column:
     return F.filter(found, lambda n: F.array_contains(known, n) | n.rlike("[a-z]$"))
 
 
+def known_in(questions: DataFrame, numerals: DataFrame) -> DataFrame:
+    """questions with known: those of the numerals (numeral) that stand in them, by a join on the numbers they hold; the
+    table may be of any size."""
+    held = questions.select("qid", F.explode(F.array_distinct(T.all_matches(F.coalesce("question", F.lit("")), T.NUMERAL, 1))).alias("numeral"))
+    met = held.join(numerals.select("numeral").distinct(), "numeral").groupBy("qid").agg(F.array_sort(F.collect_set("numeral")).alias("known"))
+    none = F.array().cast("array<string>")
+    return questions.join(met, "qid", "left").withColumn("known", F.coalesce("known", none))
+
+
 def parse(questions: DataFrame, known: Column) -> DataFrame:
     """questions (qid, question) with identifiers, fig_id, numerals, route (numeral, sql or hybrid) and visual."""
     q = F.col("question")

@@ -76,3 +76,28 @@ def document_summary(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     counts = blocks.groupBy("doc").agg(F.count_if(F.col("kind") == "table").alias("tables"), F.count_if(F.col("kind") == "figure").alias("figures"))
     per = pages.groupBy("doc").agg(F.count(F.lit(1)).alias("pages"), F.count_if("is_scanned").alias("ocr_pages"))
     return per.join(counts, "doc", "left").fillna(0).select("doc", "pages", "tables", "figures", "ocr_pages")
+
+
+def corpus(prose: DataFrame, rows: DataFrame) -> DataFrame:
+    """One index of prose chunks and chunks of structured rows, in the order of doc, page and place, with ord counting from
+    0 by document: ord is the document's first number plus the place within it. Columns one side lacks are null there."""
+    both = prose.unionByName(rows, allowMissingColumns=True)
+    sizes = both.groupBy("doc").agg(F.count(F.lit(1)).alias("pw_n"))
+    first = F.coalesce(F.sum("pw_n").over(Window.orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("page", "place", "id")) - 1
+    return both.withColumn("pw_k", place).join(sizes.select("doc", first.alias("pw_first")), "doc").withColumn("ord", (F.col("pw_first") + F.col("pw_k")).cast("bigint")).drop("pw_k", "pw_first")
+
+
+def models(embeddings: DataFrame) -> DataFrame:
+    """(model): of which there are vectors; without any, search is by keywords alone."""
+    return embeddings.select("model").distinct()
+
+
+#: What an embedding model wants: prefixes of queries and passages, longest input.
+SPECS = {"ibm-granite/granite-embedding-english-r2": ("", "", 1024)}
+DEFAULT_SPEC = ("", "", 512)
+
+
+def model_input(text, model: str, is_query: bool = False):
+    """A text as the model wants it, with its prefix."""
+    return F.concat(F.lit(SPECS.get(model, DEFAULT_SPEC)[0 if is_query else 1]), text)

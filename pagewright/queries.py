@@ -263,20 +263,6 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.page_chunks(search.line_chunks(read(spark, sf_dir, "documents")), "src3", 3).select("ord", "text")
 
 
-@query(f"WITH {CHUNKS_SQL} SELECT row_number() OVER () - 1 AS place, 1 AS one FROM range(3) WHERE (SELECT count(*) FROM chunks) > 0")
-def chunks_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = search.line_chunks(read(spark, sf_dir, "documents"))
-    first = c.orderBy("ord").limit(3).select("id")
-    ids = first.select((F.row_number().over(_by("id")) - 1).cast("bigint").alias("place"), "id").unionByName(values(spark, [(9, "missing")], "place bigint, id string"))
-    return store.by_ids(c, ids).select("place", F.lit(1).alias("one"))
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
 @query(
     """SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 3) UNION ALL SELECT vec_id, max(label + 100) FROM embeddings WHERE label = 3 GROUP BY vec_id"""
 )
@@ -458,14 +444,6 @@ def detect_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.header_row(rows).withColumn("header", F.col("header").cast("int"))
 
 
-@query("SELECT line AS n, CASE line WHEN 0 THEN 'TABLE \"supplier\"  -- source file: supplier.csv, ' || (SELECT count(*) FROM supplier) || ' rows; column _row = 1-based source row number' END AS text FROM range(1) t(line)")
-def describe_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _as_text(read(spark, sf_dir, "supplier"))
-    p = tables.profile(s).withColumns({"tbl": F.lit("supplier"), "doc": F.lit("supplier.csv")})
-    text = tables.describe(p, {"supplier": s.count()}).splitlines()
-    return values(spark, [(0, text[0])], "n bigint, text string")
-
-
 def _sql(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
     """A guarded statement over the tables, with all the rows it returns."""
     for t in ("lineitem", "part", "supplier", "orders"):
@@ -837,12 +815,10 @@ def block_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("text", layout.role(F.col("text"), F.col("size"), F.col("bold"), layout.box("x0", "y0", "x1", "y1"), F.lit(10.0), F.lit(800.0)).alias("role"))
 
 
-@query(
-    "SELECT l_orderkey AS page, quantile_disc(l_quantity, 0.5) >= 0 AS sound FROM lineitem GROUP BY 1"
-)
+@query("SELECT l_orderkey AS page, quantile_cont(l_quantity, 0.5) AS body FROM lineitem, range(0, greatest(1, l_linenumber * 30 // 40)) GROUP BY 1")
 def body_font(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "lineitem").select(F.lit("d").alias("doc"), F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("size"), F.repeat(F.lit("x"), (F.col("l_linenumber") * 30).cast("int")).alias("text"))
-    return layout.body_size(t).select("page", (F.col("body") >= 0).alias("sound"))
+    return layout.body_size(t).select("page", "body")
 
 
 # --- metrics

@@ -47,11 +47,18 @@ def give_package(spark: SparkSession) -> None:
     _given.add(context.applicationId)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names. Where it names none there is one of our own, but only in
+    local mode: on a cluster other executors could not see it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{root or os.path.join(tempfile.gettempdir(), 'pagewright-scratch')}/pagewright-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the folder that spark.checkpoint.dir names, and read again: what uses it more than
-    once does not compute it again, and executors may be lost. Without such a folder (tests), one of our own."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "pagewright-scratch")
-    path = f"{root}/pagewright-{name}-{uuid.uuid4().hex}"
+    """``df`` written as a table in the shared folder, and read again: what uses it more than once does not compute it
+    again, and executors may be lost."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

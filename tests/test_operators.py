@@ -181,10 +181,17 @@ def test_metrics():
     assert metrics.teds_of(a, a) == 1 and metrics.teds_of(a, "<table></table>") == pytest.approx(1 / 3)
 
 
-def test_layout_lines_and_definitions():
+def test_layout_lines_and_definitions(spark):
     assert layout.by_line([(30, 0, 10, "b"), (0, 1, 11, "a"), (0, 20, 30, "c")]) == ["a", "b", "c"]
-    assert numerals.definitions("valves 74 and 76") == [("74", "valves"), ("76", "valves")]
-    assert numerals.definitions("10 Hz and claim 12 in 2019") == []
+    texts = {
+        "valves 74 and 76": [("74", "valves"), ("76", "valves")],
+        "10 Hz and claim 12 in 2019": [],
+        "a first gear 12, 14, and 16a drives the lower-arm unit 9": [("12", "gear"), ("14", "gear"), ("16a", "gear"), ("9", "lower-arm unit")],
+        "the motor 2001 and the motor 31-bit and a shaft 7 mm": [],
+        "": [],
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", numerals.definitions(F.col("t")).alias("d")).orderBy("i").collect()
+    assert [[tuple(x) for x in r["d"]] for r in rows] == list(texts.values())
 
 
 def test_upsert_keeps_one_row_a_key(spark):
@@ -213,3 +220,54 @@ def test_entry_imports_without_the_training_data_operators(tmp_path):
     shutil.copy(top / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_search_pages' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_ask_by_all_routes(spark):
+    """A numeral with its figure, a statement over a table, a pinned document, a table over two pages; any number of numerals."""
+    from pagewright.plans import engine
+
+    chunks = spark.createDataFrame(
+        [
+            (1, "a1", "US8485576B2.pdf", 1, "p", "The control unit 160 drives the wings of the gripper.", ["ref160"], "text", None, None),
+            (2, "a2", "US8485576B2.pdf", 2, "p", "Discharge current of the pack is 320 A at most.", ["320a"], "text", None, None),
+            (3, "b1", "manual.pdf", 1, "p", "Discharge current of the charger is 12 A.", ["12a"], "text", None, None),
+            (4, "t1", "bom.pdf", 1, "p", "Table: spares | name: flange gasket", [], "table_row", "t", None),
+            (5, "t2", "bom.pdf", 2, "p", "Table: spares | name: washers", [], "table_row", "t", None),
+        ],
+        "ord long, id string, doc string, page int, prefix string, text string, identifiers array<string>, kind string, table_id string, caption_page int",
+    )
+    entries = spark.createDataFrame([("US8485576B2.pdf", "160", "control unit", ["unit"], [1, 2])], "doc string, numeral string, name string, variants array<string>, pages array<int>")
+    many = spark.range(20_000).select(F.lit("other.pdf").alias("doc"), F.concat(F.lit("n"), "id").alias("numeral"), F.lit("x").alias("name"), F.array().cast("array<string>").alias("variants"), F.array(F.lit(1)).alias("pages"))
+    figures = spark.createDataFrame([("US8485576B2.pdf", "FIG. 2", 2, "block diagram")], "doc string, fig_id string, page int, title string")
+    labels = spark.createDataFrame([("US8485576B2.pdf", 9, "FIG. 2", ["14"])], "doc string, ord long, fig_id string, labels array<string>")
+    spark.createDataFrame([(1, "pass"), (2, "fail"), (3, "fail")], "n int, outcome string").createOrReplaceTempView("test_log")
+    corpus = engine.Corpus(chunks, entries.unionByName(many), figures, labels, tables=["test_log"])
+    questions = spark.createDataFrame(
+        [(1, "What is component 160 in FIG. 2?"), (2, "How many test runs failed?"), (3, "What is the discharge current of US 8,485,576 B2?"), (4, "Which flange gasket?"), (5, "zebra quagga okapi")], "qid int, question string",
+    )
+    write = lambda question, schema, error: "SELECT count(*) AS n FROM test_log WHERE outcome = 'fail'" if error else "SELECT nothing"
+    got = {r["qid"]: r for r in engine.ask(questions, corpus, write=write).collect()}
+    assert got[1]["route"] == "numeral" and "control unit (also written: unit)" in got[1]["answer"]
+    assert "FIG. 2 is described as: block diagram (page 2)" in got[1]["answer"] and "was not read on the FIG. 2 image" in got[1]["answer"]
+    assert got[2]["route"] == "sql" and got[2]["answer"].endswith("n\n2") and got[2]["citations"][0]["doc"] == "test_log"
+    assert "320 A" in got[3]["answer"] and got[3]["citations"][0]["doc"] == "US8485576B2.pdf"
+    assert [(c["doc"], c["page"]) for c in got[4]["citations"]] == [("bom.pdf", 1), ("bom.pdf", 2)]
+    assert got[5]["not_found"] and got[5]["answer"] == "not found"
+
+
+def test_dense_search_keeps_to_a_document(spark):
+    from pagewright.operators import search
+
+    v = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [0.9, 0.1]), (3, "b", [0.0, 1.0])], "ord long, doc string, vec array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0], None), (2, [1.0, 0.0], "b")], "qid int, vec array<double>, only string")
+    got = [(r["qid"], r["ord"]) for r in search.dense_search(v, q, 2, doc="only").orderBy("qid", "rank").collect()]
+    assert got == [(1, 1), (1, 2), (2, 2), (2, 3)]
+
+
+def test_numeral_index_comes_back_as_saved(spark, tmp_path):
+    entries = spark.createDataFrame([("a", "1", "gear", ["cog"], [1], 2)], "doc string, numeral string, name string, variants array<string>, pages array<int>, count long")
+    figures = spark.createDataFrame([("a", "FIG. 1", 1, "view")], "doc string, fig_id string, page int, title string")
+    numerals.save(entries, figures, str(tmp_path))
+    back = numerals.load(spark, str(tmp_path))
+    assert [back[0].collect(), back[1].collect()] == [entries.collect(), figures.collect()]
+    assert [x.count() for x in numerals.load(spark, str(tmp_path / "none"))] == [0, 0]

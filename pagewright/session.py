@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 _given: set[str] = set()
 
 
+#: Limits of Arrow batches, where the session has the usual ones: batches of long texts take several times their size.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine; a cluster brings its own."""
     spark = (
@@ -32,6 +36,9 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g"
 def give_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once an application: they need not have it on their path."""
     context = spark.sparkContext
+    for key, (usual, smaller) in BATCHES.items():
+        if spark.conf.get(key, None) == usual:
+            spark.conf.set(key, smaller)
     if context.applicationId in _given:
         return
     top = os.path.dirname(os.path.abspath(__file__))

@@ -1,8 +1,10 @@
-"""Links between texts whose sets of word shingles overlap by 0.8 or more, exact: prefix filtering, then the sets compared.
+"""Links between texts whose sets of word shingles overlap by 0.8 or more: bands of min-hashes name pairs, whose sets are
+compared.
 
-Two sets with Jaccard similarity of at least 0.8 share one of the first fifth of their members, whatever the order, as long
-as it is one for all. Members are ordered by how often their cell of a sketch was hit, rare ones first, so that common
-passages seldom name an entry.
+Two sets of similarity J agree on a min-hash with chance J, so on all ROWS of one of BANDS bands with chance
+1 - (1 - J**ROWS)**BANDS: 0.999997 at J = 0.8 and more beyond, but 0.01 at J = 0.15, as of texts that share a passage. An exact
+filter, by the rarest fifth of each set, was tried instead: it files some 100 keys a text, and pairs off all texts that
+share a passage.
 """
 
 from __future__ import annotations
@@ -22,8 +24,11 @@ from .subwords import slices
 WORDS = 5
 #: Similarity from which on texts are near-duplicates, as a fraction.
 OVER, UNDER = 4, 5
-CELLS = 1 << 20
-PARTS = 16
+BANDS, ROWS = 24, 4
+#: Odd multipliers and summands of the min-hashes.
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles that all min-hashes are worked out of at once.
+STRIP = 2048
 #: Bits of a set's bitmap, in words of 64.
 BITMAP = 1 << 10
 CHUNK = 1 << 16
@@ -78,55 +83,48 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def sketches(texts: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
-    """Of texts (doc_id, text, tid), in one reading: a row each of (doc_id, tid, sid: a digest of the set of shingles, n: its
-    size, fp: its SimHash, bits: its bitmap), and by cell the logarithm of how many texts have a shingle there.
+def bands(s: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingles: two sets have one in common if they agree on all min-hashes of a band."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(s), STRIP):
+        x = s[None, at : at + STRIP] * _FACTORS[0][:, None] + _FACTORS[1][:, None]
+        x ^= x >> np.uint64(32)
+        np.minimum(least, x.min(1), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = _mixed(key * BASE + row)
+    return key
 
-    Tasks count cells in tables of a fixed size, which are added up by part of the table.
-    """
-    size = CELLS // PARTS
+
+def sketches(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """A row each of texts (doc_id, text, tid): doc_id, tid, sid: a digest of the set of shingles, n: its size, fp: its
+    SimHash, bits: its bitmap, keys: its bands."""
     longs = BITMAP // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.uint32)
-        names = ["doc_id", "tid", "sid", "n", "fp", "bits", "part", "counts"]
         for b in batches:
             for first, part in slices(b.column(2), 1 << 18):
-                sid, n, fp, bits, sets = [], [], [], [], []
+                sid, n, fp, bits, keys = [], [], [], [], []
                 for t in part:
                     h = hashes(t, words)
                     s = np.unique(h)
-                    sets.append(s)
                     sid.append(xxhash.xxh64_intdigest(s.tobytes()))
                     n.append(len(s))
                     fp.append(majority(h))
                     bits.append(bitmap(s))
-                cells = (np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64)
-                total += np.bincount(cells, minlength=CELLS).astype(np.uint32)
+                    keys.append(bands(s))
                 signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                flat = pa.array(np.frombuffer(b"".join(bits), np.int64))
-                maps = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * longs), flat)
-                none = [pa.nulls(len(part), k) for k in (pa.int32(), pa.binary())]
-                yield pa.record_batch([b.column(0).slice(first, len(part)), b.column(1).slice(first, len(part)), signed(sid), pa.array(n, pa.int64()), signed(fp), maps, *none], names)
-        raw = [total[i * size : (i + 1) * size].tobytes() for i in range(PARTS)]
-        none = [pa.nulls(PARTS, k) for k in (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-        yield pa.record_batch([*none, pa.array(range(PARTS), pa.int32()), pa.array(raw, pa.binary())], names)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(v, np.uint32).astype(np.int64)
-        level = [np.log2(v + 1).astype(np.uint8).tobytes() for v in sums.values()]
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], ["part", "counts"])
+                lists = lambda flat, k: pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * k), pa.array(flat.view(np.int64)))
+                yield pa.record_batch(
+                    [
+                        b.column(0).slice(first, len(part)), b.column(1).slice(first, len(part)), signed(sid), pa.array(n, pa.int64()), signed(fp),
+                        lists(np.frombuffer(b"".join(bits), np.uint64), longs), lists(np.concatenate(keys), BANDS),
+                    ],
+                    ["doc_id", "tid", "sid", "n", "fp", "bits", "keys"],
+                )
 
-    kinds = "doc_id bigint, tid binary, sid bigint, n bigint, fp bigint, bits array<bigint>, part int, counts binary"
-    both = cut(texts.select("doc_id", "tid", "text").mapInArrow(run, kinds), "sketches")
-    level = np.zeros(CELLS, np.uint8)
-    counts = both.filter("part is not null").select("part", "counts")
-    for r in counts.repartition(PARTS, "part").mapInArrow(add, "part int, counts binary").collect():
-        level[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["counts"], np.uint8)
-    return both.filter("part is null").drop("part", "counts"), level
+    kinds = "doc_id bigint, tid binary, sid bigint, n bigint, fp bigint, bits array<bigint>, keys array<bigint>"
+    return cut(texts.select("doc_id", "tid", "text").mapInArrow(run, kinds), "sketches")
 
 
 def near(x: Column, y: Column) -> Column:
@@ -172,47 +170,18 @@ def compared(pairs: DataFrame, kinds: DataFrame, texts: DataFrame, words: int =
     return both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
 
 
-def filed(texts: DataFrame, level: np.ndarray, words: int = WORDS) -> DataFrame:
-    """(entry, sid, n: the set's size): each set under the first fifth of its members."""
-    levels = texts.sparkSession.sparkContext.broadcast(level)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = levels.value
-        for b in batches:
-            for _, part in slices(b.column(0), 1 << 18):
-                sid, n, size, keys = [], [], [], []
-                for t in part:
-                    s = shingles(t, words)
-                    size.append(len(s))
-                    order = np.argsort(of[(s & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")
-                    keys.append(s[order[: len(s) - -(-len(s) * OVER // UNDER) + 1]])
-                    sid.append(xxhash.xxh64_intdigest(s.tobytes()))
-                    n.append(len(keys[-1]))
-                owner, size = (np.repeat(np.array(x, k), n) for x, k in ((sid, np.uint64), (size, np.int32)))
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner.view(np.int64)), pa.array(size)], ["entry", "sid", "n"])
-
-    return texts.select("text").mapInArrow(run, "entry bigint, sid bigint, n int")
-
-
-def connected(first: DataFrame, rows: DataFrame, kinds: DataFrame, texts: DataFrame, level: np.ndarray, words: int = WORDS) -> DataFrame:
-    """(node, root) of sets that chains of overlaps of 0.8 or more connect. first: links (a, b) that are known.
+def connected(first: DataFrame, kinds: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, root) of sets (kinds: sid, n, bits, keys, tid) that chains of overlaps of 0.8 or more connect. first: links (a,
+    b) that are known.
 
-    Of the rows that have one set, one text is filed. Of entries with the same members, such as those of one passage, one
-    is looked at. An entry's members are first compared with its least one, unless
-    they are connected already. Then, of members that are still not connected, all pairs that their sizes and bitmaps
-    allow: so a large group of near copies, which the steps before connect, isn't paired off with itself.
+    A band's members are first compared with its least one, unless they are connected already. Then, of members that are
+    still not connected, all pairs that their sizes allow: so a large group of near copies, which the steps before
+    connect, isn't paired off with itself.
     """
-    many = cut(rows.join(kinds.filter("rows > 1").select("sid", F.col("tid").alias("first_tid")), "sid").select("tid", "first_tid").distinct(), "several")
-    one = maybe(texts, many).select("tid", "text").join(many.withColumnRenamed("tid", "own"), F.col("tid") == F.col("own"), "left")
-    one = one.filter("own is null or tid = first_tid").dropDuplicates(["tid"])
-    lone = maybe(texts, many, inside=False).select("text").unionByName(one.select("text"))
     window = Window.partitionBy("entry")
-    signed = lambda k: F.bit_xor(F.xxhash64("sid", F.lit(k))).over(window)
-    met = filed(lone, level, words).withColumn("m", F.count(F.lit(1)).over(window)).filter("m > 1")
-    met = met.withColumns({"least": F.min(F.struct("sid", "n")).over(window), "x": signed(1), "y": signed(2)})
-    met = cut(met.select("entry", "sid", "n", "m", "least", "x", "y"), "entries")
-    one_of_all = met.groupBy("m", "x", "y").agg(F.min("entry").alias("entry"))  # of entries with the same members
-    met = cut(met.join(one_of_all.select("entry"), "entry", "left_semi").select("entry", "sid", "n", "least"), "own-entries")
+    met = kinds.select(F.explode("keys").alias("entry"), "sid", F.col("n").cast("int").alias("n"))
+    met = met.withColumn("m", F.count(F.lit(1)).over(window)).filter("m > 1").withColumn("least", F.min(F.struct("sid", "n")).over(window))
+    met = cut(met.select("entry", "sid", "n", "least"), "bands")
 
     def rooted(df: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
@@ -234,4 +203,5 @@ def connected(first: DataFrame, rows: DataFrame, kinds: DataFrame, texts: DataFr
     apart = (F.col("sid") < F.col("sid_b")) & (F.col("root") != F.col("root_b")) & near(F.col("n"), F.col("n_b"))
     pairs = held.join(other, "entry").filter(apart).select(F.col("sid").alias("a"), F.col("sid_b").alias("b"))
     more = compared(pairs, kinds, texts, words)
-    return components(cut(first.unionByName(more), "near-links"))
+    more = cut(more, "more-links")
+    return components(first.unionByName(more)) if more.limit(1).count() else roots

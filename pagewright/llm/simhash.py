@@ -145,8 +145,8 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Near-duplicates: texts whose sets of ``words``-word shingles overlap by 0.8 or more, and what chains of these connect.
     Fingerprints at most 2 bits apart name the first pairs, which are compared as sets; so large groups of copies with few
-    edits are connected before anything else. Pairs at 0.8 lie some 10 bits apart, beyond small balls: for these
-    ``shingles.connected`` completes the links exactly.
+    edits are connected before anything else. Pairs at 0.8 lie some 10 bits apart, beyond small balls: these are found by
+    ``shingles.connected``. Every pair that is found is compared as sets.
 
     Rows are told apart by doc_id and text, so an id that different texts have loses only those that are copies; a null
     id comes after all others. Texts without words, null ones among them, are one group. Rows that repeat both are one.
@@ -154,8 +154,8 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("tid", F.unhex(F.md5("text")))
-    rows, level = sketches(texts, words)
-    kinds = rows.groupBy("sid").agg(F.count(F.lit(1)).alias("rows"), *(F.min(c).alias(c) for c in ("n", "tid", "fp")), F.first("bits").alias("bits"))
+    rows = sketches(texts, words)
+    kinds = rows.groupBy("sid").agg(*(F.min(c).alias(c) for c in ("n", "tid", "fp")), *(F.first(c).alias(c) for c in ("bits", "keys")))
     kinds = cut(kinds, "kinds")
     some = cut(kinds.groupBy("fp").agg(F.min("sid").alias("least"), F.count(F.lit(1)).alias("m")), "fingerprints")
     alike = kinds.join(some.filter("m > 1"), "fp").filter("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
@@ -164,7 +164,7 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
         close = close.join(some.select(F.col("fp").alias(c), F.col("least").alias(f"sid_{c}")), c)
     pairs = alike.unionByName(close.select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")))
     first = cut(compared(pairs, kinds, texts, words), "fingerprint-links")
-    roots = connected(first, rows, kinds, texts, level, words).withColumnRenamed("node", "sid")
+    roots = connected(first, kinds, texts, words).withColumnRenamed("node", "sid")
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid")
     rooted = rows.select("sid", "doc_id", "tid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rooted = cut(rooted.select("root", "doc_id", "tid"), "rooted")

@@ -146,12 +146,14 @@ def _measured(docs: DataFrame, *keep: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
     """Fit on labelled rows outside the held-out fold, at most ``rows`` of them, chosen by a hash of doc_id.
 
-    Rows with a null label or id are left out; a doc_id labelled twice counts twice.
+    Rows with a null label or id are left out; a doc_id with both labels counts for each, and of several texts with one
+    doc_id the least is taken.
     """
     known = labels.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id"), F.col("quality").cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "y").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # of texts that share an id one, so rows stay bounded
     got = sorted(_measured(found, "y").collect(), key=lambda r: (r["x"], r["y"]))  # so that a fit can be repeated
     return fit(np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["y"] for r in got]))
 

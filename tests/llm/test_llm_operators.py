@@ -116,6 +116,26 @@ def test_stripping_keeps_columns_and_characters(messy):
     assert not wrong
 
 
+def test_reported_text_is_what_stripping_leaves(spark, documents, messy):
+    for docs in (documents, messy):
+        got = sorted(((r["doc_id"], r["text"]) for r in suffixes.report(docs, 400, 51).collect()), key=str)
+        want = sorted(((r["doc_id"], r["text"] or "") for r in suffixes.stripped(docs, 400, 51).collect()), key=str)
+        assert got == want
+        plain = Counter(tuple(r) for r in suffixes.report(docs, 400).collect())
+        assert Counter(tuple(r)[:5] for r in suffixes.report(docs, 400, 51).collect()) == plain
+
+
+def test_repeats_in_texts_of_several_megabytes(spark):
+    """Longer than what is worked on at once: a passage said twice in one text, and again in another."""
+    rng = np.random.default_rng(5)
+    some = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    long, passage = some(3_000_000), some(1000)
+    texts = [long[:1_000_000] + passage + long[1_000_000:2_000_000] + passage + long[2_000_000:], some(500) + passage + some(700), some(5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffixes.report(docs, 400).collect()}
+    assert got == {0: (2000, 2), 1: (1000, 1), 2: (0, 0)}
+
+
 def test_passages_of_over_50_short_words_are_stripped(spark):
     import corpus_pipeline
 
@@ -454,6 +474,35 @@ def test_trees_on_odd_tables(spark, messy, empty):
     assert trees.score(empty, labels).count() == 0
 
 
+def test_trees_learn_from_a_bounded_number_of_rows(spark):
+    """However often an id repeats in documents."""
+    docs = spark.createDataFrame([(i % 5 + 1, f"text {i} of id {i % 5}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, quality int")
+    seen = []
+    fit = trees.fit
+    try:
+        trees.fit = lambda x, y: seen.append(len(x)) or fit(x, y)
+        trees.train(docs, labels)
+    finally:
+        trees.fit = fit
+    assert 0 < seen[0] <= 5
+
+
+def test_trees_are_like_a_plain_boosting(spark, documents):
+    """Scores of the query's forest, worked out row by row from its arrays."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    forest = trees.train(documents, labels)
+    got = {r["doc_id"]: r["score"] for r in trees.score(documents, labels).collect()}
+    for i, t in texts_of(documents):
+        x, total = trees.statistics(t), forest.base
+        for f, b, v in zip(forest.feature, forest.bound, forest.value, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + (x[f[node]] > b[node])
+            total += v[node - len(f)]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9)
+
+
 def test_forest_walks_like_its_fit():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((500, 3))

@@ -224,10 +224,21 @@ def trigram_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.trigram(c, q, F.col("identifiers"), 50).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query()
+@query(
+    rf"""WITH {PART_SQL}, j AS (SELECT ord, list_aggregate(ids, 'string_agg', ' ') AS s FROM pc),
+h AS (SELECT qid, t, ord, (length(s) - length(replace(s, t, '')))::DOUBLE / length(t) AS tf, length(s) - 2 AS l FROM j JOIN pq ON contains(s, t)),
+df AS (SELECT qid, t, count(*) AS df FROM h GROUP BY ALL), st AS (SELECT count(*) AS n, sum(length(s) - 2) AS al FROM j),
+b AS (SELECT qid, ord, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l * n / al))), 6) AS score FROM h JOIN df USING (qid, t), st GROUP BY ALL),
+x AS (SELECT qid, t, ord, len(ids) AS l FROM pc JOIN pq ON list_contains(ids, t)), xd AS (SELECT qid, t, count(*) AS df FROM x GROUP BY ALL), xs AS (SELECT count(*) AS n, avg(len(ids)) AS ml FROM pc),
+e AS (SELECT qid, ord, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * l / ml))), 6) AS score FROM x JOIN xd USING (qid, t), xs GROUP BY ALL),
+p AS (SELECT qid, ord, 0.2::DOUBLE * score / max(score) OVER (PARTITION BY qid) AS s FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS r FROM b) WHERE r <= 50
+ UNION ALL SELECT qid, ord, 0.6::DOUBLE * score / max(score) OVER (PARTITION BY qid) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS r FROM e) WHERE r <= 50),
+f AS (SELECT qid, ord, round(sum(s), 6) AS score FROM p GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS rank FROM f) WHERE rank <= 50"""
+)
 def keyword_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = _parts(spark, sf_dir)
-    return search.keyword_search(c, q.withColumn("question", F.array_join("identifiers", " ")), 50)
+    found = search.keyword_search(c, q.withColumn("question", F.array_join("identifiers", " ")), 50)
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from pagewright import queries_more  # noqa: F401  (adds its queries)
 from pagewright.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -271,3 +271,31 @@ def failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.queries import attribute_failure
 
     return metrics.stage_counts(attribute_failure(spark, sf_dir))
+
+
+# --- streams
+
+
+@query(
+    """WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
+SELECT * FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 HOUR <= (SELECT mark FROM m)"""
+)
+def windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a stream of files in order of time, and last one of events long past: these are too late, and windows that the
+    watermark has not passed are not given out yet."""
+    from pagewright.session import scratch
+    from pagewright.streaming import ingest
+
+    e = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    first, last = e.agg(F.min(F.col("ts").cast("double")), F.max(F.col("ts").cast("double"))).first()
+    path, at = scratch(spark, "events"), F.col("ts").cast("double")
+    step = (last - first) / 4
+    for k in range(4):
+        part = e.filter((at >= first + k * step) & ((at < first + (k + 1) * step) if k < 3 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    e.filter(at < first + 7200).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    started = ingest.windowed_counts(stream).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", scratch(spark, "ck"))
+    started.trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

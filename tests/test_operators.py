@@ -220,6 +220,20 @@ def test_entry_imports_without_the_training_data_operators(tmp_path):
     shutil.copy(top / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_search_pages' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+    (tmp_path / "pagewright" / "llm").mkdir()  # a subpackage that cannot be imported does not take the others with it
+    (tmp_path / "pagewright" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "pagewright" / "llm" / "queries.py").write_text("import a_library_that_is_not_here")
+    shutil.copy(top / "corpus_pipeline.py", tmp_path) if (top / "corpus_pipeline.py").exists() else None
+    run = """
+import __spark_entry__ as e
+from pagewright.session import local_session
+spark = local_session(2, 2)
+q = e.queries()
+assert not [n for n in q if n.startswith("op") or n == "pipeline"]
+for n in ("norm_forms", "sql_join", "page_scores"):
+    assert q[n](spark, "/root/testdata/sf0.001").count() > 0, n
+"""
+    subprocess.run([sys.executable, "-c", run], cwd=tmp_path, check=True, env={**__import__("os").environ, "PYTHONPATH": str(tmp_path)}, timeout=300)
 
 
 def test_ask_by_all_routes(spark):

@@ -285,3 +285,30 @@ def test_numeral_index_comes_back_as_saved(spark, tmp_path):
     back = numerals.load(spark, str(tmp_path))
     assert [back[0].collect(), back[1].collect()] == [entries.collect(), figures.collect()]
     assert [x.count() for x in numerals.load(spark, str(tmp_path / "none"))] == [0, 0]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    import zipfile
+
+    from pagewright import cli
+
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    src, index = tmp_path / "corpus", str(tmp_path / "index")
+    src.mkdir()
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f'<w:p><w:r><w:t>{t}</w:t></w:r></w:p>' for t in ("The gripper has a control unit 160 and a motor 9b.", "FIG. 1 is a view of the gripper."))
+    with zipfile.ZipFile(src / "gripper.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    (src / "parts.csv").write_text("part,price\nflange gasket,12\nwasher,3\n")
+    assert cli.main(["ingest", str(src), index]) == 0
+    ords = [r["ord"] for r in spark.read.parquet(f"{index}/chunks").orderBy("ord").collect()]
+    assert ords == list(range(len(ords))) and len(ords) >= 3
+    assert cli.main(["search", index, "flange gaskets"]) == 0 and "gasket" in capsys.readouterr().out
+    assert cli.main(["ask", index, "What is component 9b?"]) == 0 and "motor" in capsys.readouterr().out
+    assert cli.main(["show", index, "gripper.docx", "1"]) == 0 and "control unit" in capsys.readouterr().out
+    assert cli.main(["models", index]) == 0 and "keywords alone" in capsys.readouterr().out
+    questions = tmp_path / "q.json"
+    questions.write_text('{"qid": 1, "type": "fact", "question": "What is component 9b?", "doc": "gripper.docx", "page": 1}\n{"qid": 2, "type": "none", "question": "zebra quagga"}\n')
+    assert cli.main(["eval", index, str(questions), str(tmp_path / "r")]) == 0
+    assert "1/1" in (tmp_path / "r.md").read_text() and (tmp_path / "r.json").exists()
+    assert cli.main(["sql", f"{index}/chunks", "DROP TABLE t"]) == 1

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 #: Rows below which a lookup table may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Bits of the filter that spares most rows a shuffle: 2**24 bits are 2 MB, whatever the input.
@@ -81,6 +85,27 @@ def lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", ro
     return df.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
 
 
+def give_back() -> None:
+    """Return freed memory of this worker process to the system: workers stay for later tasks, and what they have freed
+    but kept counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(run: Batches) -> Batches:
+    """``run``, a function of Arrow batches, that gives back memory at its end."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for use in ``body``, where repeating it would evaluate it again."""
     return F.element_at(F.transform(F.array(value), body), 1)

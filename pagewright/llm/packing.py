@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, trimmed
 from .subwords import encode_ended, slices
 
 LENGTH = 2048
@@ -110,7 +110,7 @@ def tokenized(docs: DataFrame, path: str, kind: str = "byte", end: int = END) ->
                 )
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id bigint, key bigint, n bigint, ids binary")
+    return docs.mapInArrow(trimmed(run), "doc_id bigint, key bigint, n bigint, ids binary")
 
 
 def pieces(tokens: DataFrame, width: int, length: int = LENGTH, digest: bool = False) -> DataFrame:
@@ -163,7 +163,7 @@ def pieces(tokens: DataFrame, width: int, length: int = LENGTH, digest: bool = F
 
     ranged = tokens.repartitionByRange(int(parts), "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
     kinds = ", ".join(f"{c} bigint" for c in names[:-1]) + (", ids_crc32 bigint" if digest else ", ids binary")
-    return ranged.select("doc_id", "n", "ids").mapInArrow(run, kinds)
+    return ranged.select("doc_id", "n", "ids").mapInArrow(trimmed(run), kinds)
 
 
 def pack(docs: DataFrame, path: str, kind: str = "byte", length: int = LENGTH, digest: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, maybe
+from .common import cut, maybe, trimmed
 from .components import components
 from .subwords import slices
 
@@ -124,7 +124,7 @@ def sketches(texts: DataFrame, words: int = WORDS) -> DataFrame:
                 )
 
     kinds = "doc_id bigint, tid binary, sid bigint, n bigint, fp bigint, bits array<bigint>, keys array<bigint>"
-    return cut(texts.select("doc_id", "tid", "text").mapInArrow(run, kinds), "sketches")
+    return cut(texts.select("doc_id", "tid", "text").mapInArrow(trimmed(run), kinds), "sketches")
 
 
 def near(x: Column, y: Column) -> Column:
@@ -165,9 +165,9 @@ def compared(pairs: DataFrame, kinds: DataFrame, texts: DataFrame, words: int =
     named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = cut(kinds.select("sid", "tid").join(named, "sid"), "sets-wanted")
     found = maybe(texts, wanted).select("tid", "text").join(wanted, "tid").dropDuplicates(["sid"])
-    held = cut(found.select("sid", "text").mapInArrow(sets, "sid bigint, s binary"), "sets")
+    held = cut(found.select("sid", "text").mapInArrow(trimmed(sets), "sid bigint, s binary"), "sets")
     both = pairs.join(held.toDF("b", "y"), "b").join(held.toDF("a", "x"), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
+    return both.select("a", "b", "x", "y").mapInArrow(trimmed(alike), "a bigint, b bigint")
 
 
 def connected(first: DataFrame, kinds: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:

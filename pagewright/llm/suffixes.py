@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe
+from .common import cut, maybe, trimmed
 
 MIN_BYTES = 400
 #: Bytes worked on at once; a longer text is worked on alone.
@@ -182,7 +182,7 @@ def scan(texts: DataFrame, length: int) -> DataFrame:
                 yield pa.record_batch([b.column(0).slice(i, j - i), marks, spans], ["tid", "marks", "own"])
 
     return texts.select("tid", "text").mapInArrow(
-        run, "tid binary, marks array<struct<h: bigint, a: int, near: int, far: int>>, own array<struct<s: bigint, e: bigint>>"
+        trimmed(run), "tid binary, marks array<struct<h: bigint, a: int, near: int, far: int>>, own array<struct<s: bigint, e: bigint>>"
     )
 
 
@@ -202,7 +202,7 @@ def contexts(texts: DataFrame, length: int) -> DataFrame:
                 if cols:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*cols, strict=True), kinds, strict=True)], names)
 
-    return texts.select("tid", "text", "marks").mapInArrow(run, "tid binary, a int, near int, far int, ahead binary, behind binary")
+    return texts.select("tid", "text", "marks").mapInArrow(trimmed(run), "tid binary, a int, near int, far int, ahead binary, behind binary")
 
 
 def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -356,7 +356,7 @@ def recurring(suffixes: DataFrame, length: int, rows: int) -> DataFrame:
 
     parts = max(8, -(-rows // BUCKET))
     dealt = suffixes.repartitionByRange(int(parts), "ahead", "behind", "tid", "a")
-    found = cut(dealt.mapInArrow(run, FOUND), "recurring")
+    found = cut(dealt.mapInArrow(trimmed(run), FOUND), "recurring")
     here = found.filter("s is not null").select("tid", "s", "e")
     across = found.filter("s is null").groupBy("o", "h1", "h2").agg(
         F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") == 1, F.struct("tid", "a"))).alias("who")
@@ -441,11 +441,11 @@ def short_passages(texts: DataFrame, words: int, length: int) -> DataFrame:
                 keys = [xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(s.tolist(), e.tolist(), strict=True)]
                 yield pa.record_batch([pa.array([tid] * len(s), pa.binary()), pa.array(s), pa.array(e), pa.array(keys, pa.binary())], ["tid", "s", "e", "key"])
 
-    marked = cut(texts.select("tid", "text").mapInArrow(scan_words, "tid binary, h bigint"), "word-anchors")
+    marked = cut(texts.select("tid", "text").mapInArrow(trimmed(scan_words), "tid binary, h bigint"), "word-anchors")
     twice = marked.groupBy("h").count().filter("count > 1").select("h")
     near = cut(marked.join(twice, "h").groupBy("tid").agg(F.collect_set("h").alias("marks")), "word-candidates")
     found = maybe(texts, near).join(near, "tid").select("tid", "text", "marks")
-    found = cut(found.mapInArrow(windows, "tid binary, s bigint, e bigint, key binary"), "word-windows")
+    found = cut(found.mapInArrow(trimmed(windows), "tid binary, s bigint, e bigint, key binary"), "word-windows")
     again = found.groupBy("key").count().filter("count > 1").select("key")
     return found.join(again, "key").select("tid", "s", "e")
 
@@ -480,7 +480,7 @@ def _left(texts: DataFrame, covered: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(kept, pa.binary()), pa.array(runs, pa.int64())], ["tid", "kept", "n_spans"])
 
     joined = maybe(texts, covered.select("tid").distinct()).join(by_text, "tid")
-    return joined.select("tid", "text", "spans").mapInArrow(run, "tid binary, kept binary, n_spans bigint")
+    return joined.select("tid", "text", "spans").mapInArrow(trimmed(run), "tid binary, kept binary, n_spans bigint")
 
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -494,7 +494,7 @@ def _decoded(left: DataFrame) -> DataFrame:
             texts = pa.array([x.decode(errors="ignore") for x in b.column(1).to_pylist()], pa.string())
             yield pa.record_batch([b.column(0), texts], ["pw_tid", "pw_left"])
 
-    return left.select("tid", "kept").mapInArrow(run, "pw_tid binary, pw_left string")
+    return left.select("tid", "kept").mapInArrow(trimmed(run), "pw_tid binary, pw_left string")
 
 
 def _word_count() -> Column:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lookup
+from .common import cut, lookup, trimmed
 from .subwords import encode_ended, slices
 
 MAGIC = b"PWEF0001"
@@ -177,7 +177,7 @@ def blocks(docs: DataFrame, path: str, kind: str = "word", end: int = END) -> Da
 
     key = F.xxhash64("text")
     ranged = docs.repartitionByRange(int(parts), F.col("doc_id"), key).sortWithinPartitions(F.col("doc_id"), key)
-    return ranged.mapInArrow(run, "part bigint, block bigint, first bigint, n_ids bigint, image binary")
+    return ranged.mapInArrow(trimmed(run), "part bigint, block bigint, first bigint, n_ids bigint, image binary")
 
 
 def read_back(files: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def read_back(files: DataFrame) -> DataFrame:
                     )
 
     based = lookup(files, bases, ["part"], "inner")
-    return based.select("base", "first", "image").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return based.select("base", "first", "image").mapInArrow(trimmed(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def store(docs: DataFrame, path: str, kind: str = "word", end: int = END) -> DataFrame:

@@ -413,41 +413,62 @@ def word_windows(data: np.ndarray, words: int, length: int) -> tuple[np.ndarray,
     return s[short], e[short], h[at][short], at[short]
 
 
-def short_passages(texts: DataFrame, words: int, length: int) -> DataFrame:
-    """(tid, s, e): bytes covered by strings of ``words`` words that recur and have fewer than ``length`` bytes.
+def _within(s: np.ndarray, e: np.ndarray, spans: list[dict] | None) -> np.ndarray:
+    """Which of s..e lie in one run of the spans, overlapping and touching ones merged."""
+    if not spans:
+        return np.zeros(len(s), bool)
+    at = np.array(sorted((x["s"], x["e"]) for x in spans), np.int64)
+    ends = np.maximum.accumulate(at[:, 1])
+    new = np.flatnonzero(np.concatenate([[True], at[1:, 0] > ends[:-1]]))
+    first, last = at[new, 0], ends[np.append(new[1:], len(at)) - 1]
+    k = np.searchsorted(first, s, "right") - 1
+    return (k >= 0) & (e <= last[np.maximum(k, 0)])
+
+
+def short_passages(texts: DataFrame, words: int, length: int, covered: DataFrame) -> DataFrame:
+    """(tid, s, e): bytes covered by strings of ``words`` words that recur and have fewer than ``length`` bytes, besides those
+    that are ``covered`` (tid, s, e) already.
 
     texts: tid, text, one row a distinct text. Strings run from a word's first byte to a word's last and are compared as
-    bytes (by 128-bit hash); only those whose anchor recurs are.
+    bytes (by 128-bit hash); only those whose anchor recurs are. Of strings within covered bytes only the hash is passed
+    on, for others to meet.
     """
 
     def scan_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            owner, marks = [], []
+            owner, marks, times = [], [], []
             for row, text in enumerate(b.column(1).to_pylist()):
                 _, _, h, at = word_windows(np.frombuffer(text.encode(), np.uint8), words, length)
-                one = h[np.unique(at, return_index=True)[1]]
+                one, n = np.unique(h[np.unique(at, return_index=True)[1]], return_counts=True)
                 marks.append(one)
+                times.append(n)
                 owner += [row] * len(one)
             h = np.concatenate(marks) if marks else np.zeros(0, np.uint64)
-            yield pa.record_batch([b.column(0).take(pa.array(owner, pa.int64())), pa.array(h.view(np.int64))], ["tid", "h"])
+            n = np.concatenate(times) if times else np.zeros(0, np.int64)
+            yield pa.record_batch([b.column(0).take(pa.array(owner, pa.int64())), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["tid", "h", "n"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for tid, text, marks in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for tid, text, marks, spans in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode()
                 s, e, h, _ = word_windows(np.frombuffer(raw, np.uint8), words, length)
                 hit = np.isin(h.view(np.int64), np.array(marks, np.int64))
                 s, e = s[hit], e[hit]
-                keys = [xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(s.tolist(), e.tolist(), strict=True)]
-                yield pa.record_batch([pa.array([tid] * len(s), pa.binary()), pa.array(s), pa.array(e), pa.array(keys, pa.binary())], ["tid", "s", "e", "key"])
-
-    marked = cut(texts.select("tid", "text").mapInArrow(trimmed(scan_words), "tid binary, h bigint"), "word-anchors")
-    twice = marked.groupBy("h").count().filter("count > 1").select("h")
-    near = cut(marked.join(twice, "h").groupBy("tid").agg(F.collect_set("h").alias("marks")), "word-candidates")
-    found = maybe(texts, near).join(near, "tid").select("tid", "text", "marks")
-    found = cut(found.mapInArrow(trimmed(windows), "tid binary, s bigint, e bigint, key binary"), "word-windows")
-    again = found.groupBy("key").count().filter("count > 1").select("key")
-    return found.join(again, "key").select("tid", "s", "e")
+                digest = xxhash.xxh3_128_digest
+                k = np.frombuffer(b"".join([digest(raw[i:j]) for i, j in zip(s.tolist(), e.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                inside = _within(s, e, spans)
+                owner = pa.array([tid] * len(s), pa.binary(), mask=inside) if len(s) else pa.nulls(0, pa.binary())
+                place = [pa.array(x, mask=inside) for x in (s, e)]
+                yield pa.record_batch([owner, *place, pa.array(k[:, 0]), pa.array(k[:, 1])], ["tid", "s", "e", "k1", "k2"])
+
+    marked = cut(texts.select("tid", "text").mapInArrow(trimmed(scan_words), "tid binary, h bigint, n bigint"), "word-anchors")
+    twice = marked.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    near = cut(marked.select("tid", "h").join(twice, "h").groupBy("tid").agg(F.collect_list("h").alias("marks")), "word-candidates")
+    held = covered.groupBy("tid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    found = maybe(texts, near).join(near, "tid").join(held, "tid", "left").select("tid", "text", "marks", "spans")
+    found = cut(found.mapInArrow(trimmed(windows), "tid binary, s bigint, e bigint, k1 bigint, k2 bigint"), "word-windows")
+    again = found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.count("tid").alias("open")).filter("n > 1 and open > 0")
+    return found.filter("tid is not null").join(again.select("k1", "k2"), ["k1", "k2"]).select("tid", "s", "e")
 
 
 def _strip(raw: bytes, covered: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -531,7 +552,7 @@ def report(docs: DataFrame, length: int = MIN_BYTES, words: int | None = None) -
     columns = ["doc_id", "tid", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("whole")]
     if words is None:
         return plain.select(*columns).join(known, "tid", "left").select(*digest)
-    wide = cut(covered.select("tid", "s", "e").unionByName(short_passages(texts, words, length)), "covered-words")
+    wide = cut(covered.select("tid", "s", "e").unionByName(short_passages(texts, words, length, covered)), "covered-words")
     new = _decoded(_left(texts, single(wide))).withColumnRenamed("pw_tid", "tid")
     known = cut(known.join(new, "tid", "full"), "left")
     changed, same = (maybe(plain, known, inside) for inside in (True, False))
@@ -552,7 +573,7 @@ def stripped(docs: DataFrame, length: int = MIN_BYTES, words: int | None = None)
     tid = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     copied, texts, covered = spans(_with_digest(docs), length)
     if words is not None:
-        covered = cut(covered.select("tid", "s", "e").unionByName(short_passages(texts, words, length)), "covered-words")
+        covered = cut(covered.select("tid", "s", "e").unionByName(short_passages(texts, words, length, covered)), "covered-words")
     left = _left(texts, covered.join(copied.select("tid"), "tid", "left_anti"))
 
     new = _decoded(left).withColumn("pw_part", F.lit(True))

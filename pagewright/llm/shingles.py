@@ -170,38 +170,30 @@ def compared(pairs: DataFrame, kinds: DataFrame, texts: DataFrame, words: int =
     return both.select("a", "b", "x", "y").mapInArrow(trimmed(alike), "a bigint, b bigint")
 
 
-def connected(first: DataFrame, kinds: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, root) of sets (kinds: sid, n, bits, keys, tid) that chains of overlaps of 0.8 or more connect. first: links (a,
-    b) that are known.
+def connected(named: DataFrame, kinds: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, root) of sets (kinds: sid, n, bits, keys, tid) that chains of overlaps of 0.8 or more connect. named: pairs (a,
+    b) to compare besides those of the bands.
 
-    A band's members are first compared with its least one, unless they are connected already. Then, of members that are
-    still not connected, all pairs that their sizes allow: so a large group of near copies, which the steps before
-    connect, isn't paired off with itself.
+    A band's members are first compared with its least one. Then, of members that are not connected by that, the pairs that
+    their sizes and bitmaps allow: so a large group of near copies, which the first step connects, isn't paired off with
+    itself, and texts that only have a part in common are not passed on as pairs.
     """
     window = Window.partitionBy("entry")
     met = kinds.select(F.explode("keys").alias("entry"), "sid", F.col("n").cast("int").alias("n"))
     met = met.withColumn("m", F.count(F.lit(1)).over(window)).filter("m > 1").withColumn("least", F.min(F.struct("sid", "n")).over(window))
     met = cut(met.select("entry", "sid", "n", "least"), "bands")
-
-    def rooted(df: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
-        for c in columns:
-            df = df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-            df = df.withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
-        return df
-
-    roots = components(first)
     star = met.filter("sid <> least.sid").filter(near(F.col("n"), F.col("least.n")))
-    star = star.select(F.col("least.sid").alias("a"), F.col("sid").alias("b")).distinct()
-    star = rooted(star, roots, "a", "b").filter("root_a <> root_b").select("a", "b")
-    first = cut(first.unionByName(compared(star, kinds, texts, words)), "star-links")
+    star = named.unionByName(star.select(F.col("least.sid").alias("a"), F.col("sid").alias("b")))
+    first = cut(compared(star, kinds, texts, words), "star-links")
     roots = components(first)
-    held = rooted(met, roots, "sid")
-    mixed = held.groupBy("entry").agg(F.min("root_sid").alias("low"), F.max("root_sid").alias("high")).filter("low <> high").select("entry")
-    held = held.join(mixed, "entry", "left_semi").filter("sid <> least.sid")
-    held = cut(held.select("entry", "sid", F.col("root_sid").alias("root"), "n"), "unconnected")
-    other = held.select("entry", *(F.col(c).alias(f"{c}_b") for c in ("sid", "root", "n")))
+    held = met.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    mixed = held.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("entry")
+    held = held.join(mixed, "entry", "left_semi").filter("sid <> least.sid").select("entry", "sid", "root", "n")
+    held = cut(held.join(kinds.select("sid", "bits"), "sid"), "unconnected")
+    if not held.limit(1).count():
+        return roots
+    other = held.select("entry", *(F.col(c).alias(f"{c}_b") for c in ("sid", "root", "n", "bits")))
     apart = (F.col("sid") < F.col("sid_b")) & (F.col("root") != F.col("root_b")) & near(F.col("n"), F.col("n_b"))
-    pairs = held.join(other, "entry").filter(apart).select(F.col("sid").alias("a"), F.col("sid_b").alias("b"))
-    more = compared(pairs, kinds, texts, words)
-    more = cut(more, "more-links")
+    pairs = held.join(other, "entry").filter(apart & possible(F.col("n"), F.col("n_b"), F.col("bits"), F.col("bits_b")))
+    more = cut(compared(pairs.select(F.col("sid").alias("a"), F.col("sid_b").alias("b")), kinds, texts, words), "more-links")
     return components(first.unionByName(more)) if more.limit(1).count() else roots

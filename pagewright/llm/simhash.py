@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, maybe
 from .components import components
-from .shingles import compared, connected, majority, sketches
+from .shingles import connected, majority, sketches
 
 SEED = 42
 BITS = 64
@@ -144,9 +144,8 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """One row of each group of near-duplicate rows of ``docs``, that with the least doc_id; columns kept as they are.
 
     Near-duplicates: texts whose sets of ``words``-word shingles overlap by 0.8 or more, and what chains of these connect.
-    Fingerprints at most 2 bits apart name the first pairs, which are compared as sets; so large groups of copies with few
-    edits are connected before anything else. Pairs at 0.8 lie some 10 bits apart, beyond small balls: these are found by
-    ``shingles.connected``. Every pair that is found is compared as sets.
+    Fingerprints at most 2 bits apart name pairs. Pairs at 0.8 lie some 10 bits apart, beyond small balls: these are named
+    by the bands of ``shingles.connected``. Every pair that is named is compared as sets.
 
     Rows are told apart by doc_id and text, so an id that different texts have loses only those that are copies; a null
     id comes after all others. Texts without words, null ones among them, are one group. Rows that repeat both are one.
@@ -163,8 +162,7 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     for c in "ab":
         close = close.join(some.select(F.col("fp").alias(c), F.col("least").alias(f"sid_{c}")), c)
     pairs = alike.unionByName(close.select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")))
-    first = cut(compared(pairs, kinds, texts, words), "fingerprint-links")
-    roots = connected(first, kinds, texts, words).withColumnRenamed("node", "sid")
+    roots = connected(pairs, kinds, texts, words).withColumnRenamed("node", "sid")
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid")
     rooted = rows.select("sid", "doc_id", "tid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rooted = cut(rooted.select("root", "doc_id", "tid"), "rooted")

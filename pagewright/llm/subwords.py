@@ -120,7 +120,7 @@ class Encoder:
     and all of them if that frees less than half.
     """
 
-    def __init__(self, path: str, kind: str, entries: int = 500_000, chars: int = 10_000_000) -> None:
+    def __init__(self, path: str, kind: str, entries: int = 350_000, chars: int = 8_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -138,7 +138,7 @@ class Encoder:
     def _forget(self, kept: np.ndarray) -> None:
         """Keep the entries ``kept`` alone, numbered anew."""
         if len(kept):
-            n = self.counts[kept]
+            n = self.counts[kept].astype(np.int64)
             done = np.cumsum(n)
             flat = self.flat[np.repeat(self.starts[kept] - done + n, n) + np.arange(done[-1])]
             keys, second, size = self.keys[kept], self.second[kept], self.sizes[kept]
@@ -150,12 +150,12 @@ class Encoder:
             keys = second = np.zeros(0, np.uint64)
         #: index: entry by piece, of texts that are not plain; table: by key, of plain ones.
         self.index: dict[str, int] = index
-        self.n, self.held, self.used = len(n), int(size.sum()), len(flat)
+        self.n, self.held, self.used = len(n), int(size.sum(dtype=np.int64)), len(flat)
         self.flat = np.concatenate([flat, np.zeros(1 << 16, np.uint32)])
         more = lambda x: np.concatenate([x, np.zeros(1 << 12, x.dtype)])
-        self.counts, self.starts, self.sizes = more(n), more(np.cumsum(n) - n), more(size)
+        self.counts, self.starts, self.sizes = (more(x.astype(np.int32)) for x in (n, np.cumsum(n) - n, size))
         self.keys, self.second = more(keys), more(second)
-        self.met = np.zeros(len(self.counts), np.int64)
+        self.met = np.zeros(len(self.counts), np.int32)
         self.table = Table()
         if len(own := np.flatnonzero(keys)):
             self.table.put(keys[own], own.astype(np.int32))
@@ -311,7 +311,7 @@ class Encoder:
             both[own] = at
             both[~own] = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
             at = both
-        self.met[: self.n] += np.bincount(at, minlength=self.n)
+        self.met[: self.n] += np.bincount(at, minlength=self.n).astype(np.int32)
         counts = self.counts[at]
         done = np.concatenate([[0], np.cumsum(counts)])
         ids = self.flat[np.repeat(self.starts[at] - done[:-1], counts) + np.arange(done[-1])]

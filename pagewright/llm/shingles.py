@@ -162,7 +162,7 @@ def compared(pairs: DataFrame, kinds: DataFrame, texts: DataFrame, words: int =
         pairs = pairs.join(kinds.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
     may = near(F.col("n_a"), F.col("n_b")) & possible(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"))
     pairs = cut(pairs.filter(may).select("a", "b"), "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    named = pairs.select("a").distinct().union(pairs.select("b").distinct()).toDF("sid").distinct()
     wanted = cut(kinds.select("sid", "tid").join(named, "sid"), "sets-wanted")
     found = maybe(texts, wanted).select("tid", "text").join(wanted, "tid").dropDuplicates(["sid"])
     held = cut(found.select("sid", "text").mapInArrow(trimmed(sets), "sid bigint, s binary"), "sets")

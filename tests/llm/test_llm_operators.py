@@ -711,6 +711,16 @@ def test_pipeline_stages(spark, messy):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
 
 
+def test_pipeline_on_an_empty_table(spark, empty):
+    import corpus_pipeline
+
+    docs = empty
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0, name
+        docs = spark.createDataFrame([], docs.schema)
+
+
 def test_pipeline_run_matches_brute_force(spark):
     """run()'s rows from the stages' own brute force: kept by the SQL of the rules, one of each component, stripped."""
     import corpus_pipeline

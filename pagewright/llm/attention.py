@@ -4,9 +4,10 @@ The network is a block-local one: tokens are laid out in blocks, a token attends
 the whole block before, so windows of two blocks overlap by one and each token is scored once. A token's probability
 is that of its class, by the network, times its share of the class, by counts over all training documents.
 
-A word is either one that the training texts hold, by its share of their words, or spelt by the network, id by id: the
-chance of the latter is what Good and Turing give a word not met before, the share of words met once. Both parts sum to
-one over all words, and so does their mixture.
+Each word's chance is that which the network gives, after all ids before, to the class of the word's first id, times the
+word's share of that class. The share is either that by counts of the class's words in the training texts, or the network
+spells the rest of the word, id by id: the chance of the latter is what Good and Turing give a word of the class not met
+before, the share of its words met once. Both parts sum to one over a class's words, and the classes to one.
 """
 
 from __future__ import annotations
@@ -260,31 +261,54 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def subword_counts(counts: DataFrame, path: str, end: int) -> np.ndarray:
-    """Counts by id over the counted words: a word's ids do not depend on its neighbours.
+    """Three rows of counts by id over the counted words: of the id itself, of words that begin with it, and of words met
+    once that do. A word's ids do not depend on its neighbours; the empty word's is ``end``; some words have none.
 
-    Each task sends one vector of the vocabulary's size; they are added up in a few tasks before the driver has them.
+    Each task sends three vectors of the vocabulary's size; they are added up in a few tasks before the driver has them.
     """
+    shape = 3, end + 1
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(end + 1, np.int64)
+        total = np.zeros(shape, np.int64)
         for b in batches:
             words = [w.decode() for w in b.column(0).to_pylist()]
             for i in range(0, len(words), 20_000):
-                ids, bounds = encode_ended(path, "word", words[i : i + 20_000], end)
-                c = np.repeat(b.column(1).to_numpy()[i : i + 20_000], np.diff(bounds))
-                c[bounds[1:] - 1] = 0  # the end after each word
-                total += np.bincount(ids, c, end + 1).astype(np.int64)
+                part, own = words[i : i + 20_000], b.column(1).to_numpy()[i : i + 20_000]
+                ids, bounds = encode_ended(path, "word", part, end)
+                c = np.repeat(own, np.diff(bounds))
+                text_end = np.fromiter((not w for w in part), bool, len(part))
+                c[bounds[1:] - 1] = np.where(text_end, own, 0)  # that after another word is none
+                first, real = ids[bounds[:-1]], (np.diff(bounds) > 1) | text_end
+                for row, (at, n) in enumerate(((ids, c), (first, own * real), (first, real & (own == 1)))):
+                    total[row] += np.bincount(at, n, end + 1).astype(np.int64)
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["v"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(end + 1, np.int64)
+        total = np.zeros(shape, np.int64)
         for b in batches:
             for v in b.column(0).to_pylist():
-                total += np.frombuffer(v, np.int64)
+                total += np.frombuffer(v, np.int64).reshape(shape)
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["v"])
 
     some = counts.mapInArrow(trimmed(one), "v binary").repartition(8).mapInArrow(add, "v binary").collect()
-    return sum((np.frombuffer(r["v"], np.int64) for r in some), np.zeros(end + 1, np.int64))
+    return sum((np.frombuffer(r["v"], np.int64).reshape(shape) for r in some), np.zeros(shape, np.int64))
+
+
+@dataclass(frozen=True)
+class Shares:
+    """By class: log10 of a met word's share of its class for each time that it was met, and of the chance of a word of the
+    class not met before. The last entry is for words without ids, of all words."""
+
+    met: np.ndarray
+    new: np.ndarray
+
+
+def shares(of: np.ndarray, words: np.ndarray, once: np.ndarray, unmet: tuple[int, int, float]) -> Shares:
+    """words, once: by first id, how many words, and how many met once; unmet: as ``unmet`` gives it for all words."""
+    n, once = (np.bincount(of, x, OWN + SHARED) for x in (words, once))
+    q = np.where(n > 1, np.maximum(once, 1) / np.maximum(n, 1), 1.0)
+    n, q = np.append(n, unmet[0]), np.append(q, unmet[2])
+    return Shares(np.log10(np.maximum((1 - q) / np.maximum(n, 1), 1e-300)), np.log10(q))
 
 
 class Lexicon:
@@ -410,8 +434,9 @@ def score(docs: DataFrame, path: str, end: int = 49407, head: int = HEAD, every:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``.
 
     base_score adds log10((c + 1) / (N + V + 1)) over words and an end; c, N and V are of the rows not held out. score
-    adds log10((1 - q) c / N + q p): q is the chance of a word not met before (see ``unmet``), p the network's chance of
-    the word's subword ids. Counts of the ``head`` most frequent words are broadcast (a bound, not a cut: a word beyond is
+    adds log10(p ((1 - q) c / n + q r)): p is the network's chance of the class of the word's first id, r that of the id in
+    its class and of the word's other ids, n counts the class's words and q is the chance of one not met before. Words
+    without ids (of white space beyond ASCII alone) are a class of all words, which the network does not see. Counts of the ``head`` most frequent words are broadcast (a bound, not a cut: a word beyond is
     joined with the table of counts; as such words are rare, none of them is a hot key). Null text: empty, so the end
     alone. A null id reads as the empty text for held_out. Repeated rows each give a row; other columns are not looked at.
     With no rows to learn from, N and V are 0, and score is the initial network's; an empty table gives no rows.
@@ -421,16 +446,16 @@ def score(docs: DataFrame, path: str, end: int = 49407, head: int = HEAD, every:
     train_texts = texts.filter(~held_out(F.col("doc_id")))
     counts = cut(word_counts(train_texts), "words")
     n, v, new = unmet(counts)
+    by_id = subword_counts(counts, path, end)
     top = _head(counts, head)
     known = spark.sparkContext.broadcast({bytes(r["word"]): int(r["c"]) for r in top})
-    of = classes(subword_counts(counts, path, end))
+    of = classes(by_id[0])
     weights = train(train_texts, path, of, end, every, rounds)
-    model = spark.sparkContext.broadcast((weights, of))
-    space, log_new = float(n + v + 1), float(np.log10(new))
-    met = (1 - new) / max(1, n)
+    model = spark.sparkContext.broadcast((weights, of, shares(of.of, by_id[1], by_id[2], (n, v, new))))
+    space = float(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, of = model.value
+        w, of, share = model.value
         lexicon = Lexicon(path, end, known.value)
         row = TaskContext.get().partitionId() << 36
         for b in batches:
@@ -445,17 +470,22 @@ def score(docs: DataFrame, path: str, end: int = 49407, head: int = HEAD, every:
                 at = lexicon.places(words)
                 ends = np.cumsum(n_tokens)
                 until = np.cumsum(lexicon.n[at])
-                each = log_chances(w, of, lexicon.gather(at), np.concatenate([[0], until[ends - 1]]), end)
+                ids = lexicon.gather(at)
+                each = log_chances(w, of, ids, np.concatenate([[0], until[ends - 1]]), end)
                 done = np.concatenate([[0.0], np.cumsum(each)])
-                spelt = log_new + done[until] - done[until - lexicon.n[at]]
+                start, none = until - lexicon.n[at], lexicon.n[at] == 0
+                kind = np.where(none, len(share.met) - 1, of.of[ids[start]])
+                met = np.where(none, 0.0, each[start] - of.share[ids[start]]) + share.met[kind]
+                spelt = share.new[kind] + done[until] - done[start]
                 text_of, c = np.repeat(np.arange(len(part)), n_tokens), lexicon.c[at]
                 here = c >= 0
                 base = np.bincount(text_of, np.where(here, np.log10(np.maximum(c + 1, 1) / space), 0), len(part))
-                whole = np.log10(np.maximum(c, 0) * met + 10.0 ** np.maximum(spelt, -300), where=here, out=np.zeros(len(c)))
+                whole = np.log10(np.maximum(c, 0) * 10.0**met + 10.0 ** np.maximum(spelt, -300), where=here, out=np.zeros(len(c)))
                 lm = np.bincount(text_of, whole, len(part))
                 sure = np.bincount(text_of, here, len(part)).astype(np.int64)
                 away = np.flatnonzero(~here)  # words beyond the head
-                rest = pa.StructArray.from_arrays([pa.array([words[i] for i in away], pa.binary()), pa.array(spelt[away].astype(np.float32))], ["word", "spelt"])
+                told = [pa.array(x[away].astype(np.float32)) for x in (met, spelt)]
+                rest = pa.StructArray.from_arrays([pa.array([words[i] for i in away], pa.binary()), *told], ["word", "met", "spelt"])
                 held = np.concatenate([[0], np.cumsum(np.bincount(text_of[away], minlength=len(part)))]).astype(np.int32)
                 rest = pa.ListArray.from_arrays(pa.array(held), rest)
                 yield pa.record_batch(
@@ -465,11 +495,11 @@ def score(docs: DataFrame, path: str, end: int = 49407, head: int = HEAD, every:
                 row += len(part)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = cut(texts.mapInArrow(trimmed(run), f"row bigint, doc_id {kind}, n_tokens bigint, sure bigint, base double, rest array<struct<word: binary, spelt: float>>, lm double"), "scored")
-    tail = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.spelt")
+    scored = cut(texts.mapInArrow(trimmed(run), f"row bigint, doc_id {kind}, n_tokens bigint, sure bigint, base double, rest array<struct<word: binary, met: float, spelt: float>>, lm double"), "scored")
+    tail = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.met", "r.spelt")
     c = F.coalesce("c", F.lit(0))
     lone = F.col("spelt").cast("double")
-    whole = F.when(c > 0, F.log10(c * F.lit(met) + F.pow(F.lit(10.0), F.greatest(lone, F.lit(-300.0))))).otherwise(lone)
+    whole = F.when(c > 0, F.log10(c * F.pow(F.lit(10.0), F.col("met").cast("double")) + F.pow(F.lit(10.0), F.greatest(lone, F.lit(-300.0))))).otherwise(lone)
     tail = tail.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.log10((c + 1) / F.lit(space))).alias("more"), F.count_if(c > 0).alias("also"), F.sum(whole).alias("also_lm")
     )

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on tables of odd rows, and on empty ones."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -660,6 +661,44 @@ def test_chances_of_words_sum_to_one():
     assert sum((1 - new) * c / n for c in counts.values()) + new == pytest.approx(1)
 
 
+def test_the_network_weighs_words_met_before(spark):
+    """Held-out texts whose words are all known: what is before a word counts, so they score better than the same words dealt
+    out among them at random, and clearly better than by counts alone; base scores don't tell the two apart."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r["doc_id"], r["text"]) for r in docs]
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    met = {w for i, t in rows if not out(i) for w in t.encode().lower().split()}
+    held = {i: t.split() for i, t in rows if out(i) and met.issuperset(t.encode().lower().split())}
+    dealt = iter(np.random.default_rng(0).permutation([w for t in held.values() for w in t]).tolist())
+    mixed = dict(zip(filter(out, itertools.count(10**6)), [" ".join(itertools.islice(dealt, len(t))) for t in held.values()], strict=False))
+    got = {r["doc_id"]: r for r in attention.score(spark.createDataFrame(rows + list(mixed.items()), "doc_id long, text string").repartition(2), WORD).collect()}
+    total = lambda ids, column: sum(got[i][column] for i in ids)
+    n = total(held, "n_tokens")
+    assert len(held) > 5 and total(held, "n_known") == n and total(mixed, "base_score") == pytest.approx(total(held, "base_score"))
+    gains = [(total(held, "score") - x) / n for x in (total(mixed, "score"), total(held, "base_score"))]
+    assert gains[0] > 0.1 and gains[1] > 0.02, gains
+
+
+def test_shares_of_a_class_sum_to_one():
+    """Words met and the chance of others; a class without words, or with one, leaves all to spelling."""
+    of = np.array([0, 0, 1, 2, 3])
+    words, once = np.array([5, 4, 1, 0, 6]), np.array([1, 2, 1, 0, 0])
+    s = attention.shares(of, words, once, (16, 9, 0.25))
+    for k, n in enumerate([9, 1, 0, 6]):
+        assert n * 10 ** s.met[k] + 10 ** s.new[k] == pytest.approx(1), k
+    assert [10**x for x in s.new[:4]] == pytest.approx([3 / 9, 1, 1, 1 / 6])
+    assert 16 * 10 ** s.met[-1] == pytest.approx(0.75) and 10 ** s.new[-1] == pytest.approx(0.25)
+
+
+def test_words_without_ids_and_long_ones(spark):
+    """White space beyond ASCII is a word to the base and nothing to the network; also where all words are joined."""
+    texts = ["a \u3000 b", "\u3000", "x" * 3000, "a b", "", "\u3000 a", "q" * 5000 + " b"] * 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, two = ({r["doc_id"]: r["score"] for r in attention.score(docs, WORD, head=h).collect()} for h in (100_000, 0))
+    assert len(one) == len(texts) and all(math.isfinite(x) and x < 0 for x in one.values())
+    assert [two[k] for k in sorted(two)] == pytest.approx([one[k] for k in sorted(one)], rel=1e-4)
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     classes = attention.OWN + attention.SHARED

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, trimmed
+from .common import cut, keep_freed, trimmed
 from .subwords import encode_ended, encoder, slices
 
 FOLDS, HELD = 7, 2
@@ -118,21 +118,33 @@ def projected(w: Weights) -> np.ndarray:
     return w["e"] @ np.concatenate([w["q"] * np.float32(WIDTH**-0.5), w["k"], w["v"], w["h"]], 1)
 
 
-def _attend(w: Weights, rows: np.ndarray, begins: np.ndarray) -> dict[str, np.ndarray]:
-    """rows: ``projected`` vectors of the block before and of the blocks themselves."""
-    q, k, v, h = (rows[:, :, i * WIDTH : (i + 1) * WIDTH] for i in range(4))
+def _bound(x: np.ndarray) -> bool:
+    """Hold ``x`` within TOP; whether any of it was beyond."""
+    beyond = x.size > 0 and bool(x.max() > TOP or x.min() < -TOP)
+    if beyond:
+        np.clip(x, -TOP, TOP, out=x)
+    return beyond
+
+
+def _attend(w: Weights, q: np.ndarray, k: np.ndarray, v: np.ndarray, h: np.ndarray, begins: np.ndarray) -> dict[str, np.ndarray]:
+    """q, k, v, h: ``projected`` vectors, those of keys and values with the block before the blocks themselves."""
     keys, values = _pairs(k), _pairs(v)
-    a = np.ascontiguousarray(q[1:]) @ keys.transpose(0, 2, 1)
-    np.clip(a, -TOP, TOP, out=a)
+    a = q @ keys.transpose(0, 2, 1)
+    _bound(a)
     np.exp(a, out=a)
     a *= np.exp(np.minimum(w["bias"], TOP)) * _SEEN
     a[begins, :, :BLOCK] = 0
-    a_sum = a.sum(2, keepdims=True)
-    return {"q": q[1:], "keys": keys, "values": values, "a": a, "a_sum": a_sum, "z": (a @ values) / a_sum + h[1:]}
+    a *= 1 / (a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, a.dtype)).reshape(*a.shape[:2], 1)
+    seen = a @ values
+    return {"keys": keys, "values": values, "a": a, "seen": seen, "z": seen + h}
 
 
-def _logits(w: Weights, z: np.ndarray) -> np.ndarray:
-    return np.clip(np.maximum(z.reshape(-1, WIDTH), 0) @ w["u"] + w["b"], -TOP, TOP)
+def _hidden(z: np.ndarray) -> np.ndarray:
+    """What is above zero, and a one beside it, by which the output's summands are weighed."""
+    out = np.empty((z.size // WIDTH, WIDTH + 1), z.dtype)
+    np.maximum(z.reshape(-1, WIDTH), 0, out=out[:, :WIDTH])
+    out[:, WIDTH] = 1
+    return out
 
 
 def _before(cells: np.ndarray, i: int, j: int) -> np.ndarray:
@@ -143,11 +155,15 @@ def log_chances(w: Weights, c: Classes, ids: np.ndarray, bounds: np.ndarray, end
     """log10 probability of each id of the documents, ``end`` included, given those before it."""
     cells, target, begins, _ = layout(ids, bounds, end)
     out = np.empty(target.shape)
-    table = projected(w)
-    ones = np.ones(len(w["b"]), np.float32)
+    table = np.split(projected(w), 4, 1)
+    q, k, v, h = (np.ascontiguousarray(x) for x in table)
+    ones, output = np.ones(len(w["b"]), np.float32), np.concatenate([w["u"], w["b"][None]])
     for i in range(0, len(cells), CHUNK):
         j = min(len(cells), i + CHUNK)
-        logits = _logits(w, _attend(w, table.take(_before(cells, i, j), axis=0), begins[i:j])["z"])
+        here, own = _before(cells, i, j), cells[i:j]
+        z = _attend(w, q.take(own, axis=0), k.take(here, axis=0), v.take(here, axis=0), h.take(own, axis=0), begins[i:j])["z"]
+        logits = _hidden(z) @ output
+        _bound(logits)
         t = np.maximum(target[i:j].ravel(), 0)
         chosen = logits[np.arange(len(t)), c.of[t]]
         norm = np.log(np.exp(logits, out=logits) @ ones)
@@ -159,76 +175,79 @@ def gradients(w: Weights, cells: np.ndarray, wanted: np.ndarray, begins: np.ndar
     """Of the mean cross-entropy of the classes wanted (-1: none); cells have one block more, that before. For input
     vectors, those of the cells ``rows`` alone."""
     table = np.concatenate([w["q"] * np.float32(WIDTH**-0.5), w["k"], w["v"], w["h"]], 1)
-    x = w["e"][cells].reshape(-1, WIDTH)
-    f = _attend(w, (x @ table).reshape(*cells.shape, -1), begins)
-    a = f["a"] / f["a_sum"]
-    z = f["z"].reshape(-1, WIDTH)
-    hidden = np.maximum(z, 0)
-    p = hidden @ w["u"] + w["b"]
-    beyond = np.abs(p).max(initial=0) > TOP
-    held = np.abs(p) > TOP if beyond else None  # no gradient beyond the bounds that scores are held within
-    np.clip(p, -TOP, TOP, out=p)
-    np.exp(p, out=p)
-    p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
+    x = w["e"].take(cells.ravel(), axis=0)
+    parts = [(x @ table[:, i : i + WIDTH]).reshape(*cells.shape, WIDTH) for i in range(0, 4 * WIDTH, WIDTH)]
+    q = parts[0][1:]
+    f = _attend(w, q, parts[1], parts[2], parts[3][1:], begins)
+    a, z = f["a"], f["z"]
+    hidden = _hidden(z)
+    output = np.concatenate([w["u"], w["b"][None]])
+    p = hidden @ output
+    held = _bound(p) and np.abs(p) >= TOP  # no gradient beyond the bounds that scores are held within
     t = wanted.ravel()
     real = t >= 0
     rows = np.flatnonzero(real)
     n = max(1, len(rows))
     at = rows * p.shape[1] + t[rows]
     flat = p.ravel()
-    loss = -float(np.log(np.maximum(flat[at], 1e-30)).sum()) / n
-    flat[at] -= 1
-    if len(rows) < len(t):
-        p[~real] = 0
-    if beyond:
+    chosen = flat[at]
+    np.exp(p, out=p)
+    total = p @ np.ones(p.shape[1], p.dtype)
+    loss = float((np.log(total[rows]) - chosen).sum()) / n
+    p *= (real / (n * total)).astype(p.dtype)[:, None]
+    flat[at] -= p.dtype.type(1 / n)
+    if held is not False:
         p[held] = 0
-    p *= p.dtype.type(1 / n)
-    g: Weights = {"u": hidden.T @ p, "b": p.sum(0)}
-    dz = ((p @ w["u"].T) * (z > 0)).reshape(f["z"].shape)
-    dvalues = a.transpose(0, 2, 1) @ dz
+    both = hidden.T @ p
+    g: Weights = {"u": both[:WIDTH], "b": both[WIDTH]}
+    dz = (p @ w["u"].T).reshape(z.shape)
+    dz *= z > 0
     da = dz @ f["values"].transpose(0, 2, 1)
-    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+    da -= ((dz * f["seen"]) @ np.ones(WIDTH, dz.dtype))[:, :, None]
     ds = np.multiply(a, da, out=da)
     g["bias"] = ds.sum(0)
-    dq, dkeys = ds @ f["keys"], ds.transpose(0, 2, 1) @ f["q"]
-    d = np.zeros((*cells.shape, 4 * WIDTH), x.dtype)
-    d[1:, :, :WIDTH] = dq
-    d[1:, :, 3 * WIDTH :] = dz
-    for at, part in ((WIDTH, dkeys), (2 * WIDTH, dvalues)):
-        d[:-1, :, at : at + WIDTH] += part[:, :BLOCK]
-        d[1:, :, at : at + WIDTH] += part[:, BLOCK:]
-    d = d.reshape(-1, 4 * WIDTH)
-    every = x.T @ d
-    g |= {k: every[:, i * WIDTH : (i + 1) * WIDTH] for i, k in enumerate("qkvh")}
+    d = np.zeros((4, *cells.shape, WIDTH), x.dtype)
+    np.matmul(ds, f["keys"], out=d[0, 1:])
+    d[3, 1:] = dz
+    for own, weights, of in ((d[1], ds, q), (d[2], a, dz)):
+        np.matmul(weights[:, :, BLOCK:].transpose(0, 2, 1), of, out=own[1:])
+        own[:-1] += weights[:, :, :BLOCK].transpose(0, 2, 1) @ of
+    d = d.reshape(4, -1, WIDTH)
+    g |= dict(zip("qkvh", d.transpose(0, 2, 1) @ x, strict=True))
+    g = {k: v.T if k in "qkvh" else v for k, v in g.items()}
     g["q"] = g["q"] * np.float32(WIDTH**-0.5)
-    dx = d @ table.T
-    order = np.argsort(cells, axis=None, kind="stable")
+    dx = sum(own @ table[:, i * WIDTH : (i + 1) * WIDTH].T for i, own in enumerate(d))
+    order = np.argsort(cells.ravel().astype(np.uint16), kind="stable")
     own = cells.ravel()[order]
     new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    g["rows"], g["e"] = own[new], np.add.reduceat(dx[order], new, axis=0)
+    g["rows"], g["e"] = own[new], np.add.reduceat(dx.take(order, axis=0), new, axis=0)
     return g, loss
 
 
 class Adam:
+    """w: the weights; all but the input vectors are views of one vector, and so are their moments."""
+
     def __init__(self, w: Weights) -> None:
-        self.w = {k: v.copy() for k, v in w.items()}
-        self.m = {k: np.zeros_like(v) for k, v in w.items()}
-        self.v = {k: np.zeros_like(v) for k, v in w.items()}
+        self.names = [k for k in w if k != "e"]
+        self.flat = np.concatenate([w[k].ravel() for k in self.names])
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.e = np.zeros((3, *w["e"].shape), w["e"].dtype)
+        self.e[2] = w["e"]
+        cuts = np.cumsum([w[k].size for k in self.names])[:-1]
+        self.w = {k: x.reshape(w[k].shape) for k, x in zip(self.names, np.split(self.flat, cuts), strict=True)} | {"e": self.e[2]}
         self.t = 0
 
     def step(self, g: Weights) -> None:
         """Input vectors that a step has not met stay, and so do their moments."""
         self.t += 1
-        rate = RATE * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t)
-        rows = g.pop("rows")
-        for k, x in g.items():
-            at = rows if k == "e" else slice(None)
-            m, v = self.m[k][at], self.v[k][at]
+        rate = np.float32(RATE * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t))
+        rows = g["rows"]
+        met = self.e.take(rows, axis=1)
+        for m, v, w, x in ((self.m, self.v, self.flat, np.concatenate([g[k].ravel() for k in self.names])), (*met, g["e"])):
             m += 0.1 * (x - m)
             v += 0.001 * (x * x - v)
-            if k == "e":
-                self.m[k][at], self.v[k][at] = m, v
-            self.w[k][at] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+            w -= rate * m / (np.sqrt(v) + 1e-8)
+        self.e[:, rows] = met
 
 
 # --- over the corpus
@@ -380,6 +399,7 @@ def train(texts: DataFrame, path: str, c: Classes, end: int, every: int = EVERY,
         start = weights
 
         def learn(batches: Iterator[pa.RecordBatch], start: Weights = start) -> Iterator[pa.RecordBatch]:
+            keep_freed()
             adam, seen = Adam(start), 0
             rng = np.random.default_rng(TaskContext.get().partitionId())
             for b in batches:
@@ -455,6 +475,7 @@ def score(docs: DataFrame, path: str, end: int = 49407, head: int = HEAD, every:
     space = float(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         w, of, share = model.value
         lexicon = Lexicon(path, end, known.value)
         row = TaskContext.get().partitionId() << 36

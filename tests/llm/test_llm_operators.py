@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache, partial
@@ -699,6 +700,20 @@ def test_words_without_ids_and_long_ones(spark):
     assert [two[k] for k in sorted(two)] == pytest.approx([one[k] for k in sorted(one)], rel=1e-4)
 
 
+def test_a_step_of_learning_takes_few_arrays():
+    """Learning is most of the query's time, and passes over arrays are much of that: a step needs at most 3.6 MB at once."""
+    rng = np.random.default_rng(0)
+    c = attention.classes(rng.integers(1, 50, 49408).astype(float))
+    w = attention.initial(c.log_mass)
+    cells = rng.integers(0, attention.CELLS, (attention.STEP + 1, attention.BLOCK))
+    wanted = rng.integers(0, len(c.log_mass), (attention.STEP, attention.BLOCK))
+    tracemalloc.start()
+    attention.gradients(w, cells, wanted, np.zeros(attention.STEP, bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.6e6, peak
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     classes = attention.OWN + attention.SHARED

@@ -27,6 +27,8 @@ OVER, UNDER = 4, 5
 BANDS, ROWS = 24, 4
 #: Odd multipliers and summands of the min-hashes.
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Further pivots of a band whose members its first one leaves unconnected.
+PIVOTS = 4
 #: Shingles that all min-hashes are worked out of at once.
 STRIP = 2048
 #: Bits of a set's bitmap, in words of 64.
@@ -174,26 +176,49 @@ def connected(named: DataFrame, kinds: DataFrame, texts: DataFrame, words: int =
     """(node, root) of sets (kinds: sid, n, bits, keys, tid) that chains of overlaps of 0.8 or more connect. named: pairs (a,
     b) to compare besides those of the bands.
 
-    A band's members are first compared with its least one. Then, of members that are not connected by that, the pairs that
-    their sizes and bitmaps allow: so a large group of near copies, which the first step connects, isn't paired off with
-    itself, and texts that only have a part in common are not passed on as pairs.
+    A band's members are first compared with one of them, its pivot, which a hash of band and set draws: a group that has
+    many bands in common has as many pivots, and who lies apart from one meets others. (The least one was the same in most
+    bands; where it lay apart from half of a group, that half was paired off.) Where members stay unconnected, they are
+    compared with PIVOTS more, and then with each other as pairs that their sizes and bitmaps allow: so a large group of
+    near copies, which the pivots connect, isn't paired off with itself, and texts that only have a part in common are not
+    passed on as pairs. No pair of a band is left out but those that are connected already.
     """
+
+    def mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members, with their roots, of the bands that have more than one."""
+        rooted = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        bands = rooted.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+        return rooted.join(bands.select("entry"), "entry", "left_semi")
+
+    def apart(members: DataFrame, others: DataFrame, once: Column) -> DataFrame:
+        """Pairs of a band that are unconnected and may be alike."""
+        others = others.select("entry", *(F.col(c).alias(f"{c}_b") for c in own))
+        may = possible(F.col("n"), F.col("n_b"), F.col("bits"), F.col("bits_b"))
+        pairs = members.join(others, "entry").filter(once & (F.col("root") != F.col("root_b")) & near(F.col("n"), F.col("n_b")) & may)
+        return pairs.select(F.least("sid", "sid_b").alias("a"), F.greatest("sid", "sid_b").alias("b"))
+
+    def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+        return components(roots.toDF("a", "b").unionByName(links)) if links.limit(1).count() else roots
+
+    own = "sid", "root", "n", "bits"
     window = Window.partitionBy("entry")
     met = kinds.select(F.explode("keys").alias("entry"), "sid", F.col("n").cast("int").alias("n"))
-    met = met.withColumn("m", F.count(F.lit(1)).over(window)).filter("m > 1").withColumn("least", F.min(F.struct("sid", "n")).over(window))
-    met = cut(met.select("entry", "sid", "n", "least"), "bands")
-    star = met.filter("sid <> least.sid").filter(near(F.col("n"), F.col("least.n")))
-    star = named.unionByName(star.select(F.col("least.sid").alias("a"), F.col("sid").alias("b")))
-    first = cut(compared(star, kinds, texts, words), "star-links")
-    roots = components(first)
-    held = met.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = held.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("entry")
-    held = held.join(mixed, "entry", "left_semi").filter("sid <> least.sid").select("entry", "sid", "root", "n")
+    met = met.withColumn("m", F.count(F.lit(1)).over(window)).filter("m > 1")
+    met = met.withColumn("pivot", F.min(F.struct(F.xxhash64("entry", "sid").alias("drawn"), "sid", "n")).over(window))
+    met = cut(met.select("entry", "sid", "n", "pivot"), "bands")
+    star = met.filter("sid <> pivot.sid").filter(near(F.col("n"), F.col("pivot.n")))
+    star = named.unionByName(star.select(F.least("pivot.sid", "sid").alias("a"), F.greatest("pivot.sid", "sid").alias("b")))
+    roots = components(cut(compared(star, kinds, texts, words), "star-links"))
+    held = mixed(met, roots).filter("sid <> pivot.sid").select("entry", "sid", "root", "n")
     held = cut(held.join(kinds.select("sid", "bits"), "sid"), "unconnected")
     if not held.limit(1).count():
         return roots
-    other = held.select("entry", *(F.col(c).alias(f"{c}_b") for c in ("sid", "root", "n", "bits")))
-    apart = (F.col("sid") < F.col("sid_b")) & (F.col("root") != F.col("root_b")) & near(F.col("n"), F.col("n_b"))
-    pairs = held.join(other, "entry").filter(apart & possible(F.col("n"), F.col("n_b"), F.col("bits"), F.col("bits_b")))
-    more = cut(compared(pairs.select(F.col("sid").alias("a"), F.col("sid_b").alias("b")), kinds, texts, words), "more-links")
-    return components(first.unionByName(more)) if more.limit(1).count() else roots
+    drawn = (F.min(F.struct(F.xxhash64("entry", "sid", F.lit(i)).alias("drawn"), *own)) for i in range(PIVOTS))
+    pivots = held.groupBy("entry").agg(F.array(*drawn).alias("p")).select("entry", F.explode("p").alias("p"))
+    pivots = cut(pivots.select("entry", *(F.col(f"p.{c}") for c in own)).distinct(), "pivots")
+    links = cut(compared(apart(held, pivots, F.lit(True)), kinds, texts, words), "pivot-links")
+    roots = merged(roots, links)
+    held = held.join(pivots.select("entry", "sid"), ["entry", "sid"], "left_anti").drop("root")
+    held = cut(mixed(held, roots), "apart")
+    links = cut(compared(apart(held, held, F.col("sid") < F.col("sid_b")), kinds, texts, words), "more-links")
+    return merged(roots, links)

@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pagewright.llm import attention, components, media, mixing, packing, queries, rules, simhash, suffixes, tokenfile, trees, urls
+from pagewright.llm import attention, components, media, mixing, packing, queries, rules, shingles, simhash, suffixes, tokenfile, trees, urls
 from pagewright.llm.subwords import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -266,6 +266,29 @@ def test_one_of_each_finds_edited_copies(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == want
 
 
+def test_one_of_each_does_not_pair_off_a_group(spark, monkeypatch):
+    """Copies edited once are near all others, those edited twice near these alone: which of them is least does not count."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{x}" for x in rng.integers(0, 3000, 150)], []
+    for k in range(400):
+        words = list(base)
+        for at in rng.choice(len(words), 1 if k % 10 == 0 else 2, replace=False):
+            words[at] = f"v{k}x{at}"
+        rows.append((k, " ".join(words)))
+    assert set(brute_near(rows)) == {0}
+    named = []
+    compared = shingles.compared
+
+    def counted(pairs, *rest):
+        named.append(pairs.distinct().count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(shingles, "compared", counted)
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r["doc_id"] for r in out.collect()] == [0]
+    assert sum(named[1:]) < 2 * len(rows), named
+
+
 def test_one_of_each_goes_by_row(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "clean words of another text"), (None, "same words of no id here"), (None, "same words of no id here")]
     out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))

@@ -12,13 +12,13 @@ before, the share of its words met once. Both parts sum to one over a class's wo
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +33,10 @@ CELLS = 4096  # rows of the table of input vectors, by id modulo CELLS
 OWN, SHARED = 48, 16  # classes of one frequent id each, and of many ids
 #: Words whose counts every worker holds; the rest are joined.
 HEAD = 100_000
-#: Distinct words a task counts before it passes them on.
-FLUSH = 400_000
+#: Bytes of texts whose words are counted at once.
+COUNTED = 32 << 20
+#: Ids of texts that are worked on at once.
+IDS = 96_000
 #: The network's weights are learned from one of so many training documents, by a hash of the text; 1: from all.
 EVERY = 1
 ROUNDS = 2
@@ -110,7 +112,12 @@ def layout(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, n
 def _pairs(x: np.ndarray) -> np.ndarray:
     """Each block with the one before it, as a view: (blocks + 1) x BLOCK x WIDTH to blocks x 2 BLOCK x WIDTH."""
     x = np.ascontiguousarray(x)
-    return np.lib.stride_tricks.as_strided(x, (len(x) - 1, 2 * BLOCK, WIDTH), x.strides, writeable=False)
+    return np.ndarray((len(x) - 1, 2 * BLOCK, WIDTH), x.dtype, x, 0, x.strides)
+
+
+def _dealt(x: np.ndarray) -> np.ndarray:
+    """The rows of ``x``, a multiple of BLOCK, in BLOCK parts: BLAS has a quicker way for products of small matrices."""
+    return x.reshape(BLOCK, -1, x.shape[-1])
 
 
 def projected(w: Weights) -> np.ndarray:
@@ -198,7 +205,7 @@ def gradients(w: Weights, cells: np.ndarray, wanted: np.ndarray, begins: np.ndar
     flat[at] -= p.dtype.type(1 / n)
     if held is not False:
         p[held] = 0
-    both = hidden.T @ p
+    both = (_dealt(hidden).transpose(0, 2, 1) @ _dealt(p)).sum(0)
     g: Weights = {"u": both[:WIDTH], "b": both[WIDTH]}
     dz = (p @ w["u"].T).reshape(z.shape)
     dz *= z > 0
@@ -216,7 +223,7 @@ def gradients(w: Weights, cells: np.ndarray, wanted: np.ndarray, begins: np.ndar
     g |= dict(zip("qkvh", d.transpose(0, 2, 1) @ x, strict=True))
     g = {k: v.T if k in "qkvh" else v for k, v in g.items()}
     g["q"] = g["q"] * np.float32(WIDTH**-0.5)
-    dx = sum(own @ table[:, i * WIDTH : (i + 1) * WIDTH].T for i, own in enumerate(d))
+    dx = (d @ table.reshape(WIDTH, 4, WIDTH).transpose(1, 2, 0)).sum(0)
     order = np.argsort(cells.ravel().astype(np.uint16), kind="stable")
     own = cells.ravel()[order]
     new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -261,20 +268,18 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over all ``texts``: A-Z lower-cased, split at white space, and the empty word once a text, its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-
         for b in batches:
-            for text in b.column(0).to_pylist():
-                counts.update(text.encode().lower().split())
-                counts[b""] += 1
-                if len(counts) > FLUSH:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
+            size = pc.cumulative_sum(pc.binary_length(b.column(0)).cast(pa.int64())).to_numpy()
+            cuts = np.flatnonzero(np.diff(size // COUNTED, prepend=0, append=-1))
+            for i, j in zip([0, *cuts[:-1]], cuts, strict=True):
+                if i == j:
+                    continue
+                # white space at a text's ends leaves empty words there; only its end is to count as one
+                words = pc.ascii_split_whitespace(pc.ascii_lower(b.column(0).slice(i, j - i))).flatten().value_counts()
+                word, c = words.field(0).cast(pa.binary()), words.field(1)
+                some = pc.greater(pc.binary_length(word), 0)
+                word, c = (pa.concat_arrays([x.filter(some), pa.array([own], x.type)]) for x, own in ((word, b""), (c, j - i)))
+                yield pa.record_batch([word, c], ["word", "c"])
 
     return texts.select("text").mapInArrow(trimmed(run), "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -290,7 +295,7 @@ def subword_counts(counts: DataFrame, path: str, end: int) -> np.ndarray:
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape, np.int64)
         for b in batches:
-            words = [w.decode() for w in b.column(0).to_pylist()]
+            words = b.column(0).to_pylist()
             for i in range(0, len(words), 20_000):
                 part, own = words[i : i + 20_000], b.column(1).to_numpy()[i : i + 20_000]
                 ids, bounds = encode_ended(path, "word", part, end)
@@ -330,48 +335,59 @@ def shares(of: np.ndarray, words: np.ndarray, once: np.ndarray, unmet: tuple[int
     return Shares(np.log10(np.maximum((1 - q) / np.maximum(n, 1), 1e-300)), np.log10(q))
 
 
-class Lexicon:
-    """Subword ids and counts of words, each worked out once: ``known`` has the counts of the head's words.
+def _words(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """(words of all ``texts``, each text's followed by the empty one, its end; how many by text)."""
+    words: list[bytes] = []
+    n = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        own = text.encode().lower().split()
+        words += own
+        words.append(b"")
+        n[i] = len(own) + 1
+    return words, n
 
-    The empty word stands for a text's end. Bounded by ``entries``: emptied when full.
-    """
 
-    def __init__(self, path: str, end: int, known: dict[bytes, int], entries: int = 600_000) -> None:
-        self.path, self.end, self.known, self.entries = path, end, known, entries
-        self._empty()
-
-    def _empty(self) -> None:
-        self.index: dict[bytes, int] = {b"": 0}
-        self.ids, self.used = np.full(1 << 16, self.end, np.uint32), 1
-        self.n, self.starts = np.ones(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.c = np.full(1 << 12, self.known.get(b"", -1))
-
-    def _learn(self, words: list[bytes]) -> None:
-        ids, bounds = encoder(self.path, "word").encode([w.decode() for w in words])
-        first, last = len(self.index), len(self.index) + len(words)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, self.ids])
-        while last > len(self.n):
-            self.n, self.starts, self.c = (np.concatenate([x, x]) for x in (self.n, self.starts, self.c))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.n[first:last], self.starts[first:last] = np.diff(bounds), self.used + bounds[:-1]
-        self.c[first:last] = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        self.index.update(zip(words, range(first, last), strict=True))
-        self.used += len(ids)
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        if len(self.index) > self.entries:
-            self._empty()
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        if len(new := np.flatnonzero(at < 0)):
-            self._learn(list(dict.fromkeys([words[i] for i in new])))
-            at[new] = [self.index[words[i]] for i in new]
-        return at
-
-    def gather(self, at: np.ndarray) -> np.ndarray:
-        n = self.n[at]
-        done = np.cumsum(n)
-        return self.ids[np.repeat(self.starts[at] - done + n, n) + np.arange(done[-1] if len(done) else 0)]
+def _packed(flat: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A binary value a text: ``n`` by text of the numbers in ``flat``."""
+    ends = np.concatenate([[0], np.cumsum(n)]) * flat.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def encoded(texts: DataFrame, path: str, end: int) -> DataFrame:
+    """``texts`` with their ids and, by word, how many ids, both as bytes: every text is encoded once, here, for all that
+    learn from it and score it. A word's ids do not depend on its neighbours; ``end`` is that of the empty word, a text's end."""
+    kind = _id_type(end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, part in slices(b.column(1), 1 << 18):
+                words, n = _words(part)
+                ids, bounds = encoder(path, "word").encode(words)
+                sizes, ends = np.diff(bounds), np.cumsum(n)
+                sizes[ends - 1] = 1
+                own = np.diff(np.cumsum(sizes)[ends - 1], prepend=0)
+                flat = np.full(len(ids) + len(part), end, kind)
+                flat[np.arange(len(ids)) + np.repeat(np.arange(len(part)), own - 1)] = ids
+                given = [b.column(i).slice(first, len(part)) for i in (0, 1)]
+                yield pa.record_batch([*given, _packed(flat, own), _packed(sizes.astype("<u4"), n)], ["doc_id", "text", "ids", "sizes"])
+
+    of = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {of}, text string, ids binary, sizes binary")
+
+
+def _id_type(end: int) -> str:
+    return "<u2" if end < 1 << 16 else "<u4"
+
+
+def _ids(column: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids, bounds by row) of a column of ids, by pieces of about IDS."""
+    kind = np.dtype(_id_type(end))
+    ends = np.cumsum(pc.binary_length(column).to_numpy() // kind.itemsize, dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // IDS, prepend=0, append=-1))
+    for i, j in zip([0, *cuts[:-1]], cuts, strict=True):
+        if i < j:
+            bounds = np.concatenate([[ends[i - 1] if i else 0], ends[i:j]])
+            yield i, np.frombuffer(b"".join(column.slice(i, j - i).to_pylist()), kind), bounds - bounds[0]
 
 
 def _flat(w: Weights) -> bytes:
@@ -387,13 +403,16 @@ def _unflat(raw: np.ndarray, like: Weights) -> Weights:
 
 
 def train(texts: DataFrame, path: str, c: Classes, end: int, every: int = EVERY, rounds: int = ROUNDS) -> Weights:
-    """Learn the network's weights from all texts, or from one of ``every`` by a hash of the text.
+    """Learn the network's weights from all texts, or from one of ``every`` by a hash of the text. Texts that are not yet
+    ``encoded`` are so first.
 
     In a round each partition starts from the common weights, takes a step of Adam for each STEP blocks of its texts,
     and the weights are averaged by the number of blocks, in a few tasks first. No texts: the initial weights.
     """
     weights = initial(c.log_mass)
     chosen = texts if every == 1 else texts.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(every)) == 0)
+    if "ids" not in texts.columns:
+        chosen = cut(encoded(chosen, path, end), "encoded")
 
     for _ in range(rounds):
         start = weights
@@ -403,8 +422,7 @@ def train(texts: DataFrame, path: str, c: Classes, end: int, every: int = EVERY,
             adam, seen = Adam(start), 0
             rng = np.random.default_rng(TaskContext.get().partitionId())
             for b in batches:
-                for _, part in slices(b.column(0), 1 << 18):
-                    ids, bounds = encode_ended(path, "word", part, end)
+                for _, ids, bounds in _ids(b.column(0), end):
                     cells, target, begins, _ = layout(ids, bounds, end)
                     wanted = np.where(target >= 0, c.of[np.maximum(target, 0)], -1)
                     steps = np.arange(0, len(cells), STEP)
@@ -424,7 +442,7 @@ def train(texts: DataFrame, path: str, c: Classes, end: int, every: int = EVERY,
             if n:
                 yield pa.record_batch([pa.array([(total / n).astype("<f4").tobytes()], pa.binary()), pa.array([n])], ["w", "n"])
 
-        learned = chosen.select("text").mapInArrow(trimmed(learn), "w binary, n bigint").repartition(8).mapInArrow(mean, "w binary, n bigint").collect()
+        learned = chosen.select("ids").mapInArrow(trimmed(learn), "w binary, n bigint").repartition(8).mapInArrow(mean, "w binary, n bigint").collect()
         if learned:
             n = sum(r["n"] for r in learned)
             weights = _unflat(sum(np.frombuffer(r["w"], "<f4").astype(np.float64) * (r["n"] / n) for r in learned), start)
@@ -463,42 +481,37 @@ def score(docs: DataFrame, path: str, end: int = 49407, head: int = HEAD, every:
     """
     spark = docs.sparkSession
     texts = _texts(docs)
-    train_texts = texts.filter(~held_out(F.col("doc_id")))
-    counts = cut(word_counts(train_texts), "words")
+    learned = ~held_out(F.col("doc_id"))
+    counts = cut(word_counts(texts.filter(learned)), "words")
     n, v, new = unmet(counts)
     by_id = subword_counts(counts, path, end)
     top = _head(counts, head)
     known = spark.sparkContext.broadcast({bytes(r["word"]): int(r["c"]) for r in top})
     of = classes(by_id[0])
-    weights = train(train_texts, path, of, end, every, rounds)
+    texts = cut(encoded(texts, path, end), "encoded")
+    weights = train(texts.filter(learned), path, of, end, every, rounds)
     model = spark.sparkContext.broadcast((weights, of, shares(of.of, by_id[1], by_id[2], (n, v, new))))
     space = float(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed()
         w, of, share = model.value
-        lexicon = Lexicon(path, end, known.value)
         row = TaskContext.get().partitionId() << 36
         for b in batches:
-            for first, part in slices(b.column(1), 1 << 18):
-                words: list[bytes] = []
-                n_tokens = np.zeros(len(part), np.int64)
-                for i, text in enumerate(part):
-                    own = text.encode().lower().split()
-                    words += own
-                    words.append(b"")
-                    n_tokens[i] = len(own) + 1
-                at = lexicon.places(words)
-                ends = np.cumsum(n_tokens)
-                until = np.cumsum(lexicon.n[at])
-                ids = lexicon.gather(at)
-                each = log_chances(w, of, ids, np.concatenate([[0], until[ends - 1]]), end)
+            for first, ids, bounds in _ids(b.column(2), end):
+                part = b.column(1).slice(first, len(bounds) - 1).to_pylist()
+                words, n_tokens = _words(part)
+                sizes = np.frombuffer(b"".join(b.column(3).slice(first, len(part)).to_pylist()), "<u4").astype(np.int64)
+                until = np.cumsum(sizes)
+                ids = ids.astype(np.int64)
+                each = log_chances(w, of, ids, bounds, end)
                 done = np.concatenate([[0.0], np.cumsum(each)])
-                start, none = until - lexicon.n[at], lexicon.n[at] == 0
+                start, none = until - sizes, sizes == 0
                 kind = np.where(none, len(share.met) - 1, of.of[ids[start]])
                 met = np.where(none, 0.0, each[start] - of.share[ids[start]]) + share.met[kind]
                 spelt = share.new[kind] + done[until] - done[start]
-                text_of, c = np.repeat(np.arange(len(part)), n_tokens), lexicon.c[at]
+                text_of = np.repeat(np.arange(len(part)), n_tokens)
+                c = np.fromiter(map(known.value.get, words, repeat(-1)), np.int64, len(words))
                 here = c >= 0
                 base = np.bincount(text_of, np.where(here, np.log10(np.maximum(c + 1, 1) / space), 0), len(part))
                 whole = np.log10(np.maximum(c, 0) * 10.0**met + 10.0 ** np.maximum(spelt, -300), where=here, out=np.zeros(len(c)))

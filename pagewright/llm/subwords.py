@@ -270,13 +270,13 @@ class Encoder:
         found[long[~sure]] = -1
         return found
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids uint32 of all texts, one after the other; bounds int64, one more than texts)."""
+    def encode(self, texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids uint32 of all texts, one after the other; bounds int64, one more than texts). Texts may be UTF-8 already."""
         if self.n > self.entries or self.held > self.chars:
             kept = np.flatnonzero(self.met[: self.n] > 1)
             few = len(kept) < self.entries // 2 and self.held < 2 * self.chars
             self._forget(kept if few else np.zeros(0, np.int64))
-        raw = [t.encode() for t in texts]
+        raw = [t if isinstance(t, bytes) else t.encode() for t in texts]
         bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         data = np.frombuffer(b"".join(raw) + bytes(8), np.uint8)
         plain, at, n = np.ones(len(texts), bool), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
@@ -300,7 +300,7 @@ class Encoder:
         if len(hard := np.flatnonzero(~plain)):
             names: list[str] = []
             for i in hard.tolist():
-                t = texts[i]
+                t = raw[i].decode()
                 found = [t] if self.kind == "byte" and OTHER_SPACE.search(t) else CUTS[self.kind].findall(t)
                 names += found
                 n[i] = len(found)
@@ -336,7 +336,7 @@ def encoder(path: str, kind: str) -> Encoder:
     return _ENCODERS[path, kind]
 
 
-def encode_ended(path: str, kind: str, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_ended(path: str, kind: str, texts: list[str] | list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
     """As ``Encoder.encode``, with the id ``end`` after each text."""
     ids, bounds = encoder(path, kind).encode(texts)
     out = np.full(len(ids) + len(texts), end, np.uint32)

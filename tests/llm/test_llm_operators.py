@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pagewright.llm import attention, components, media, mixing, packing, queries, rules, shingles, simhash, suffixes, tokenfile, trees, urls
+from pagewright.llm import attention, components, media, mixing, packing, queries, rules, shingles, simhash, subwords, suffixes, tokenfile, trees, urls
 from pagewright.llm.subwords import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -737,6 +737,23 @@ def test_a_step_of_learning_takes_few_arrays():
     assert peak < 3.6e6, peak
 
 
+def test_texts_are_encoded_once(spark):
+    """Encoding is a good part of the query's time: rounds of learning read stored ids and need no vocabulary."""
+    texts = ["a b", " Two\twords\x0bhere\n", "", "\u3000 a \u3000", "x" * 300, "Caf\u00e9 \u01c5 it's <|endoftext|> 12,5", "\u0391\u03a3 e\u0301"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    stored = attention.encoded(docs, WORD, 49407)
+    for r in stored.collect():
+        ids, sizes = np.frombuffer(r["ids"], "<u2"), np.frombuffer(r["sizes"], "<u4")
+        assert (r["text"], ids.tolist()) == (texts[r["doc_id"]], subwords.encode_ended(WORD, "word", [r["text"]], 49407)[0].tolist())
+        parts = np.split(ids, np.cumsum(sizes))[:-1]
+        words = [*r["text"].encode().lower().split(), b""]
+        assert [p.tolist() for p in parts] == [subwords.encoder(WORD, "word").encode([w.decode()])[0].tolist() if w else [49407] for w in words]
+    c = attention.classes(np.ones(49408))
+    learned = attention.train(stored, "no such file", c, 49407)
+    assert any((learned[k] != x).any() for k, x in attention.initial(c.log_mass).items())
+    assert {bytes(r["word"]): r["c"] for r in attention.word_counts(docs).collect()} == Counter(w for t in texts for w in [*t.encode().lower().split(), b""])
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     classes = attention.OWN + attention.SHARED

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_freed, trimmed
+from .common import cut, keep_freed, recorded, release, trimmed
 from .subwords import encode_ended, encoder, slices
 
 FOLDS, HELD = 7, 2
@@ -169,7 +169,7 @@ def log_chances(w: Weights, c: Classes, ids: np.ndarray, bounds: np.ndarray, end
         j = min(len(cells), i + CHUNK)
         here, own = _before(cells, i, j), cells[i:j]
         z = _attend(w, q.take(own, axis=0), k.take(here, axis=0), v.take(here, axis=0), h.take(own, axis=0), begins[i:j])["z"]
-        logits = _hidden(z) @ output
+        logits = (_dealt(_hidden(z)) @ output).reshape(-1, output.shape[1])
         _bound(logits)
         t = np.maximum(target[i:j].ravel(), 0)
         chosen = logits[np.arange(len(t)), c.of[t]]
@@ -189,7 +189,7 @@ def gradients(w: Weights, cells: np.ndarray, wanted: np.ndarray, begins: np.ndar
     a, z = f["a"], f["z"]
     hidden = _hidden(z)
     output = np.concatenate([w["u"], w["b"][None]])
-    p = hidden @ output
+    p = (_dealt(hidden) @ output).reshape(-1, output.shape[1])
     held = _bound(p) and np.abs(p) >= TOP  # no gradient beyond the bounds that scores are held within
     t = wanted.ravel()
     real = t >= 0
@@ -207,7 +207,7 @@ def gradients(w: Weights, cells: np.ndarray, wanted: np.ndarray, begins: np.ndar
         p[held] = 0
     both = (_dealt(hidden).transpose(0, 2, 1) @ _dealt(p)).sum(0)
     g: Weights = {"u": both[:WIDTH], "b": both[WIDTH]}
-    dz = (p @ w["u"].T).reshape(z.shape)
+    dz = (_dealt(p) @ w["u"].T).reshape(z.shape)
     dz *= z > 0
     da = dz @ f["values"].transpose(0, 2, 1)
     da -= ((dz * f["seen"]) @ np.ones(WIDTH, dz.dtype))[:, :, None]
@@ -488,7 +488,8 @@ def score(docs: DataFrame, path: str, end: int = 49407, head: int = HEAD, every:
     top = _head(counts, head)
     known = spark.sparkContext.broadcast({bytes(r["word"]): int(r["c"]) for r in top})
     of = classes(by_id[0])
-    texts = cut(encoded(texts, path, end), "encoded")
+    with recorded() as made:
+        texts = cut(encoded(texts, path, end), "encoded")
     weights = train(texts.filter(learned), path, of, end, every, rounds)
     model = spark.sparkContext.broadcast((weights, of, shares(of.of, by_id[1], by_id[2], (n, v, new))))
     space = float(n + v + 1)
@@ -530,6 +531,7 @@ def score(docs: DataFrame, path: str, end: int = 49407, head: int = HEAD, every:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = cut(texts.mapInArrow(trimmed(run), f"row bigint, doc_id {kind}, n_tokens bigint, sure bigint, base double, rest array<struct<word: binary, met: float, spelt: float>>, lm double"), "scored")
+    release(spark, made)  # nothing reads the ids again
     tail = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.met", "r.spelt")
     c = F.coalesce("c", F.lit(0))
     lone = F.col("spelt").cast("double")

@@ -276,8 +276,9 @@ class Encoder:
             kept = np.flatnonzero(self.met[: self.n] > 1)
             few = len(kept) < self.entries // 2 and self.held < 2 * self.chars
             self._forget(kept if few else np.zeros(0, np.int64))
-        raw = [t if isinstance(t, bytes) else t.encode() for t in texts]
-        bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        raw = texts if texts and isinstance(texts[0], bytes) else [t.encode() for t in texts]
+        bounds = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)), out=bounds[1:])
         data = np.frombuffer(b"".join(raw) + bytes(8), np.uint8)
         plain, at, n = np.ones(len(texts), bool), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         if bounds[-1]:

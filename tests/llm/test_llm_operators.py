@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import re
 import tracemalloc
 import zlib
@@ -16,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pagewright.llm import attention, components, media, mixing, packing, queries, rules, shingles, simhash, subwords, suffixes, tokenfile, trees, urls
+from pagewright.llm import attention, common, components, media, mixing, packing, queries, rules, shingles, simhash, subwords, suffixes, tokenfile, trees, urls
 from pagewright.llm.subwords import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -748,6 +749,9 @@ def test_texts_are_encoded_once(spark):
         parts = np.split(ids, np.cumsum(sizes))[:-1]
         words = [*r["text"].encode().lower().split(), b""]
         assert [p.tolist() for p in parts] == [subwords.encoder(WORD, "word").encode([w.decode()])[0].tolist() if w else [49407] for w in words]
+    with common.recorded() as made:
+        got = attention.score(docs, WORD)
+    assert [os.path.exists(t) for t in made] == ["-encoded-" not in t for t in made] and got.count() == len(texts)
     c = attention.classes(np.ones(49408))
     learned = attention.train(stored, "no such file", c, 49407)
     assert any((learned[k] != x).any() for k, x in attention.initial(c.log_mass).items())

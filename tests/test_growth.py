@@ -1,6 +1,7 @@
 """What operators hand from step to step grows no faster than their input, and their results are those of the definition."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,23 @@ def test_trigram_makes_no_row_for_each_query_and_chunk(spark):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def tables_made(spark, make):
+    """Rows of the tables that ``make`` writes to the shared folder, by name."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    make()
+    return {n.split("-")[1]: spark.read.parquet(f"{root}/{n}").count() for n in set(os.listdir(root)) - before if n.startswith("pagewright-")}
+
+
+def test_keyword_search_makes_no_row_for_each_word_and_chunk(spark):
+    words = ["alpha", "beta", "gamma", "delta", "don't"]
+    rows = [(o, "d", "p", " ".join(words[(o + k) % 5] for k in range(4)), [f"id-{o % 3}"]) for o in range(300)]
+    c = spark.createDataFrame(rows, "ord bigint, doc string, prefix string, text string, identifiers array<string>")
+    q = spark.createDataFrame([(k, " ".join(words), [f"id-{k}"]) for k in range(3)], "qid int, question string, identifiers array<string>")
+    made = tables_made(spark, lambda: search.keyword_search(c, q, 5).collect())
+    assert max(made.values()) <= len(rows)
+
+
 @pytest.mark.parametrize("restricted", [False, True])
 def test_scan_and_index_give_the_same_scores(spark, restricted):
     """Phrases, repeated terms, restricted documents, empty and null texts: a look through all chunks and an index agree."""

@@ -50,7 +50,8 @@ def _chunk_items(ranked: DataFrame, corpus: Corpus) -> DataFrame:
         c = c if name in c.columns else c.withColumn(name, F.lit(None).cast(kind))
     c = c.select("ord", "doc", F.col("page").cast("int").alias("page"), F.coalesce("kind", F.lit("text")).alias("kind"), "text", "table_id", "caption_page")
     spread = answers.split_tables(c).withColumnRenamed("pages", "pw_pages")
-    items = search.evidence(ranked, corpus.chunks).join(c, "ord").join(spread, "table_id", "left")
+    chosen = written(search.evidence(ranked, corpus.chunks), "chosen")
+    items = c.join(search.small(chosen), "ord").join(spread, "table_id", "left")
     none = F.array().cast("array<int>")
     figure = F.when((F.col("kind") == "figure") & (F.col("caption_page") != F.col("page")), F.array("caption_page"))
     table = F.when(F.col("kind").isin("table", "table_row"), F.filter("pw_pages", lambda p: p != F.col("page")))

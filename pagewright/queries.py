@@ -15,6 +15,7 @@ from pagewright.functions import stem as S
 from pagewright.functions import text as T
 from pagewright.operators import answers, chunks, layout, metrics, numerals, routing, search, store, tables
 from pagewright.plans import guard
+from pagewright.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,11 +36,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Bytes a core up to which a table is dealt out anew.
+SMALL_FILE = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out anew if it has fewer files than there are cores: a small file is one task, however much work
-    its rows make."""
+    """``df``, dealt out anew if it has fewer files than there are cores, and these are small: a small file is one task,
+    however much work its rows make. Large files are read in parts."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if len(df.inputFiles()) < n else df
+    held = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(n) if len(df.inputFiles()) < n and held < n * SMALL_FILE else df
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -118,8 +124,8 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     c, k = _keyword(spark, sf_dir)
-    d = _dense(spark, sf_dir)
-    return c, k, d, search.rrf([k, d])
+    d = written(_dense(spark, sf_dir), "dense")
+    return c, k, d, written(search.rrf([k, d]), "fused")
 
 
 @query(f"{ALL_SQL} SELECT qid, doc, page, page_rank, score FROM tops")
@@ -158,7 +164,7 @@ SELECT qid, doc, page, page_rank, kept::INTEGER AS kept, least(greatest(greatest
 )
 def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, _, _, fused = _fused(spark, sf_dir)
-    ranked = search.top_pages(search.page_scores(fused, c))
+    ranked = written(search.top_pages(search.page_scores(fused, c)), "ranked")
     return search.evidence_budget(ranked, c).withColumn("page_rank", F.col("page_rank").cast("bigint"))
 
 
@@ -178,10 +184,10 @@ GOLD_SQL = "gold AS (SELECT item_id AS qid, 'passage' || (item_id % 3) AS type,
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that hold a passage: each document is looked through for the few passages where it lies."""
-    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    hit = d.join(search.small(b), F.contains("text", "passage"))
-    return hit.select(F.col("item_id").alias("qid"), F.concat(F.lit("passage"), F.col("item_id") % 3).alias("type"), F.col("source").alias("doc"), F.col("doc_id").alias("page"))
+    """Pages that hold a passage: each document is looked through once for all the passages where it lies."""
+    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    hit = search.holding(d.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text"), b)
+    return hit.select("qid", F.concat(F.lit("passage"), F.col("qid") % 3).alias("type"), "doc", "page")
 
 
 @query(

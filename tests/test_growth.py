@@ -64,3 +64,27 @@ def test_scan_and_index_give_the_same_scores(spark, restricted):
     rows = lambda x: sorted(map(tuple, search.bm25(x, q, T.content_terms(F.col("question")), {"text": 1.0}, 4, doc).collect()))
     got = rows(c)
     assert got == rows(search.index(c, {"text": 1.0})) and len(got) >= 12
+
+
+def test_passages_are_found_in_texts_as_contains_finds_them(spark):
+    texts = ["the quick brown fox", "a quick brown fox jumps", None, "", "xthe quick brown foxthe quick", "ünï quick brown fox", "the quick brown", "quick brown fo"] * 3
+    t = spark.createDataFrame([(f"d{i}", i, x) for i, x in enumerate(texts)], "doc string, page bigint, text string").repartition(2)
+    asked = ["the quick brown fox", "quick brown fox", "", "fox", "quick brown fo", "ï quick brown", "nowhere to be found", None]
+    p = spark.createDataFrame(list(enumerate(asked)), "qid bigint, passage string")
+    got = sorted((r["qid"], r["page"]) for r in search.holding(t, p).collect())
+    assert got == sorted((q, i) for q, a in enumerate(asked) for i, x in enumerate(texts) if a is not None and x is not None and a in x)
+    assert "NestedLoop" not in search.holding(t, p)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_few_hits_need_of_the_chunks_is_not_shuffled(spark):
+    """A few fused hits meet all chunks by a broadcast, however small the session's limit for broadcasts is."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c = spark.range(2000).select(F.col("id").alias("ord"), F.lit("d").alias("doc"), (F.col("id") % 70).alias("page"))
+        fused = spark.createDataFrame([(1, 5, 0.2), (1, 75, 0.1)], "qid int, ord bigint, score double")
+        for f in (search.page_scores, search.page_order):
+            got = f(fused, c)
+            assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+            assert [r["page"] for r in got.collect()] == [5]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -3,24 +3,35 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from types import SimpleNamespace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pagewright.functions import text as T
 from pagewright.operators.numerals import reconciled
+from pagewright.operators.search import small
+from pagewright.session import written
 
 #: Fixed values of chunking.
 TARGET, MOST, LEAST, BIG_TABLE = 300, 450, 60, 400
 TITLE = (3, 120)
 RUNNING_PAGES, RUNNING_CHARS = 3, 80
+#: Pages that are Python objects at once.
+TAKEN = 100
 CLAIM = r"^\s*(\d{1,3})\.\s+(?:The|A|An|In|Apparatus|Method|System)\b"
 
 
 def tokens(text: str) -> int:
-    return int(len(text.split()) * T.TOKENS_PER_WORD) + 1
+    return estimated(len(text.split()))
+
+
+def estimated(words: int) -> int:
+    return int(words * T.TOKENS_PER_WORD) + 1
 
 
 def split_long(text: str, target: int = TARGET, most: int = MOST) -> list[str]:
@@ -44,19 +55,23 @@ def split_long(text: str, target: int = TARGET, most: int = MOST) -> list[str]:
 
 
 def pack(texts: list[str], target: int = TARGET, most: int = MOST) -> list[list[str]]:
-    """Consecutive texts in groups: a group is closed once it has ``target`` tokens or would pass ``most``."""
+    """Consecutive texts in groups: a group is closed once it has ``target`` tokens or would pass ``most``. Words of what is
+    held are counted as it grows; a text set right behind it, as the limit counts it, may carry on its last word."""
     groups: list[list[str]] = []
     held: list[str] = []
+    n, inside = 0, False
     for text in texts:
-        now = "\n".join(held)
-        if held and (tokens(now) >= target or tokens(now + text) > most):
+        own = len(text.split())
+        if held and (estimated(n) >= target or estimated(n + own - (inside and not text[:1].isspace() and text != "")) > most):
             groups.append(held)
-            held = []
-        for piece in split_long(text, target, most):
-            if held and tokens("\n".join(held) + piece) > most:
+            held, n, inside = [], 0, False
+        for piece in [text] if estimated(own) <= most else split_long(text, target, most):
+            k = own if piece is text else len(piece.split())
+            if held and estimated(n + k - (inside and not piece[:1].isspace() and piece != "")) > most:
                 groups.append(held)
-                held = []
+                held, n = [], 0
             held.append(piece)
+            n, inside = n + k, piece != "" and not piece[-1].isspace()
     return [*groups, held] if held else groups
 
 
@@ -74,8 +89,8 @@ def titles(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc").agg(F.min_by(F.when(fit, F.col("text")), F.when(fit, F.col("ord"))).alias("h")).select("doc", F.coalesce("h", stem).alias("title"))
 
 
-def _page(pdf: pd.DataFrame, section: str | None) -> Iterator[dict]:
-    """Chunks of one page's blocks in order, under the heading that the pages before leave open: headings open
+def _page(blocks: list[SimpleNamespace], section: str | None) -> Iterator[dict]:
+    """Chunks of one page's blocks, which are in order, under the heading that the pages before leave open: headings open
     sections, claims stand alone, texts are packed, and a table or figure closes what is held."""
     counts: dict[tuple, int] = {}
     held, page = [], None
@@ -90,7 +105,7 @@ def _page(pdf: pd.DataFrame, section: str | None) -> Iterator[dict]:
             yield emit("text", "\n".join(group), page)
         held.clear()
 
-    for b in pdf.sort_values("ord").itertuples():
+    for b in blocks:
         page = int(b.page)
         if b.kind == "text":
             if b.role in ("header", "footer") or b.running:
@@ -146,24 +161,22 @@ def chunk_documents(blocks: DataFrame) -> DataFrame:
     is open when it begins is carried to it by a window over the document's pages, of a row each.
     """
     keyed = blocks.withColumn("key", F.when(F.col("kind") == "text", T.running_key(F.col("text"))))
-    drop = running_lines(blocks).select("doc", "key").withColumn("running", F.lit(True))
-    marked = keyed.join(drop, ["doc", "key"], "left").fillna({"running": False})
-    marked = marked.join(open_headings(marked), ["doc", "page"], "left")
-    cols = ["doc", "page", "ord", "kind", "role", "text", "cells", "title", "caption", "figure_id", "running", "open"]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.astype(object).where(pdf.notna(), None)
-        rows = merged(list(_page(pdf, pdf["open"].iloc[0] if len(pdf) else None)))
-        out = pd.DataFrame(rows, columns=["page", "kind", "n", "text", "section"])
-        out.insert(0, "doc", pdf["doc"].iloc[0] if len(pdf) else None)
-        out["at"] = range(len(out))
-        return out
-
-    made = marked.select(*cols).groupBy("doc", "page").applyInPandas(one, "doc string, page int, kind string, n int, text string, section string, at int")
+    drop = written(running_lines(blocks).select("doc", "key").withColumn("running", F.lit(True)), "running")
+    marked = keyed.join(small(drop), ["doc", "key"], "left").fillna({"running": False})
+    cols = ["ord", "page", "kind", "role", "text", "cells", "title", "caption", "figure_id", "running"]
+    pages = marked.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("blocks"))
+    pages = pages.join(open_headings(marked), ["doc", "page"], "left")
+
+    def of_page(doc: str, page: int, held: list[dict], section: str | None) -> Iterator[tuple]:
+        for at, c in enumerate(merged(list(_page([SimpleNamespace(**b) for b in held], section)))):
+            yield doc, c["page"], c["kind"], c["n"], c["text"], c["section"], at
+
+    made = written(by_row(pages.select("doc", "page", "blocks", "open"), of_page, "doc string, page int, kind string, n int, text string, section string, at int"), "chunks")
     sizes = made.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("size"))
     before = F.sum("size").over(Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("doc", "page", F.coalesce(before, F.lit(0)).alias("before"))
-    made = made.join(sizes, ["doc", "page"]).withColumn("place", (F.col("before") + F.col("at")).cast("int")).join(titles(blocks), "doc")
+    made = made.join(sizes, ["doc", "page"]).withColumn("place", (F.col("before") + F.col("at")).cast("int"))
+    made = made.join(small(written(titles(blocks), "titles")), "doc")
     page = F.concat(F.lit("p."), F.col("page"))
     return made.select(
         F.concat(F.col("doc"), F.lit("#p"), F.col("page"), F.lit("#"), F.col("kind"), F.col("n")).alias("id"),
@@ -178,12 +191,28 @@ def packed_lines(chunks: DataFrame) -> DataFrame:
     """(doc, page, n, text, n_tokens): lines of a page packed into chunks, in order (chunks: doc, page, ord, text)."""
     lists = chunks.groupBy("doc", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("texts"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, p, i, "\n".join(g)) for d, p, ts in zip(f["doc"], f["page"], f["texts"], strict=True) for i, g in enumerate(pack(list(ts)), 1)]
-            yield pd.DataFrame(rows, columns=["doc", "page", "n", "text"])
+    def of_page(doc: str, page: int, texts: list[str]) -> Iterator[tuple]:
+        for i, g in enumerate(pack(texts), 1):
+            yield doc, page, i, "\n".join(g)
+
+    return by_row(lists, of_page, "doc string, page bigint, n int, text string").withColumn("n_tokens", T.n_tokens(F.col("text")))
+
+
+def by_row(rows: DataFrame, each: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+    """What ``each`` makes of each row's values, as rows of ``schema``. Rows become Python's some at a time, and go out as they
+    come: a worker holds a batch of Arrow's and little else."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, TAKEN):
+                values = (c.to_pylist() for c in b.slice(a, TAKEN).columns)
+                made = [r for row in zip(*values, strict=True) for r in each(*row)]
+                columns = zip(*made, strict=True) if made else ((),) * len(kind)
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], kind.names)
+        pa.default_memory_pool().release_unused()
 
-    return lists.mapInPandas(run, "doc string, page bigint, n int, text string").withColumn("n_tokens", T.n_tokens(F.col("text")))
+    return rows.mapInArrow(run, schema)
 
 
 def open_headings(blocks: DataFrame) -> DataFrame:

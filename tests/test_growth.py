@@ -3,11 +3,12 @@
 import math
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
-from pagewright.operators import search
+from pagewright.operators import chunks, search
 
 
 def by_trigram(chunks, queries, limit):
@@ -26,11 +27,11 @@ def by_trigram(chunks, queries, limit):
 
 
 def test_trigram_makes_no_row_for_each_query_and_chunk(spark):
-    chunks = [(o, [f"brand{o % 7}{o % 3}", "x" * (o % 5)]) for o in range(40)] + [(90, []), (91, ["ab"]), (92, ["brand11 brand11"]), (93, ["äöü-5"])]
+    rows_ = [(o, [f"brand{o % 7}{o % 3}", "x" * (o % 5)]) for o in range(40)] + [(90, []), (91, ["ab"]), (92, ["brand11 brand11"]), (93, ["äöü-5"])]
     queries = [(q, sorted({f"brand{q % 7}{q % 3}", f"rand{q % 7}", "and", "ab", "öü-", "xxx"})) for q in range(20)] + [(77, ["brand11", "brand11"]), (78, [])]
-    c, q = spark.createDataFrame(chunks, "ord bigint, identifiers array<string>"), spark.createDataFrame(queries, "qid int, identifiers array<string>")
+    c, q = spark.createDataFrame(rows_, "ord bigint, identifiers array<string>"), spark.createDataFrame(queries, "qid int, identifiers array<string>")
     got = search.trigram(c, q, F.col("identifiers"), 6)
-    rows, want = sorted((r["qid"], r["ord"], r["score"]) for r in got.collect()), by_trigram(chunks, queries, 6)
+    rows, want = sorted((r["qid"], r["ord"], r["score"]) for r in got.collect()), by_trigram(rows_, queries, 6)
     assert [r[:2] for r in rows] == [r[:2] for r in want]
     assert [r[2] for r in rows] == pytest.approx([r[2] for r in want], abs=2e-6)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
@@ -88,3 +89,25 @@ def test_what_few_hits_need_of_the_chunks_is_not_shuffled(spark):
             assert [r["page"] for r in got.collect()] == [5]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pages_are_packed_without_a_call_of_pandas_for_each(spark):
+    rows = [(f"d{k % 3}", k // 3, o, "text", "heading" if o == 0 else "body", f"{'q' * k} words of line {'r' * o}", None, None, None, None) for k in range(60) for o in range(4)]
+    rows += [("d0", 0, 9, "table", "body", None, [["a", None], ["1", "2"]], "T", None, None), ("d1", 0, 9, "figure", "body", None, None, None, "cap", "FIG. 1")]
+    b = spark.createDataFrame(rows, "doc string, page int, ord bigint, kind string, role string, text string, cells array<array<string>>, title string, caption string, figure_id string")
+    got = chunks.chunk_documents(b)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+    by_doc = {d: sorted(r["place"] for r in got.collect() if r["doc"] == d) for d in ("d0", "d1", "d2")}
+    assert all(p == list(range(len(p))) for p in by_doc.values()) and [len(by_doc[d]) for d in by_doc] == [22, 21, 20]
+
+
+def test_rows_become_python_some_at_a_time(spark):
+    """However many rows a batch of Arrow's has, few are Python objects at once, and results go out as they come."""
+    most = chunks.TAKEN
+    t = spark.range(1000).coalesce(1)
+    got = chunks.by_row(t, lambda i: [(i, k) for k in range(i % 3)], "i bigint, k int")
+    assert sorted(map(tuple, got.collect())) == [(i, k) for i in range(1000) for k in range(i % 3)]
+    sizes = got.mapInArrow(lambda bs: (pa.record_batch([[b.num_rows]], ["n"]) for b in bs), "n bigint").collect()
+    assert 0 < max(r["n"] for r in sizes) <= 2 * most
+    c = spark.createDataFrame([("d", 1, 0, "a"), ("d", 1, 1, "b")], "doc string, page bigint, ord bigint, text string")
+    assert "MapInPandas" not in chunks.packed_lines(c)._jdf.queryExecution().optimizedPlan().toString()

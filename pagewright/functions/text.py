@@ -277,7 +277,8 @@ DESCRIBED = (12, 40)
 
 def description_text(reply: Column) -> Column:
     """A figure's description from a model's reply, a JSON object: summary, labelled parts, counts, connections and
-    visible text, as far as they are there, with a bar between; null if the reply holds no object."""
+    visible text, as far as they are there, with a bar between; null if the reply holds no object. The reply is parsed
+    once for all its parts."""
 
     def body(v: Column) -> Column:
         rows = lambda name, kind: F.coalesce(F.try_variant_get(v, f"$.{name}", kind), F.array().cast(kind))
@@ -293,7 +294,7 @@ def description_text(reply: Column) -> Column:
         ]
         return F.when(v.isNotNull(), F.concat_ws(" | ", *parts))
 
-    return body(first_json(reply))
+    return F.element_at(F.transform(F.array(first_json(reply)), body), 1)
 
 
 def graded(reply: Column, word: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.operators import chunks, layout, metrics, numerals, placement, search, store, tables
-from pagewright.queries import BOX_SQL, CHUNKS_SQL, SCORED_SQL, _as_text, _boxes, _questions, _scored, literal, query, read, values
+from pagewright.queries import BOX_SQL, CHUNKS_SQL, SCORED_SQL, _as_text, _boxes, _questions, _scored, literal, query, read, spread, values
 
 # --- placement
 
@@ -156,7 +156,7 @@ def figure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT -p_partkey, NULL FROM part WHERE p_size > 0"""
 )
 def description_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part").filter("p_size > 0")
+    p = spread(read(spark, sf_dir, "part")).filter("p_size > 0")
     many = lambda mark: F.transform(F.sequence(F.lit(0), F.col("p_size") - 1), lambda x: F.concat(F.lit(mark), x.cast("string")))
     reply = F.to_json(
         F.struct(

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
-from pagewright.operators import chunks, search
+from pagewright.operators import chunks, metrics, search
 
 
 def by_trigram(chunks, queries, limit):
@@ -111,3 +111,27 @@ def test_rows_become_python_some_at_a_time(spark):
     assert 0 < max(r["n"] for r in sizes) <= 2 * most
     c = spark.createDataFrame([("d", 1, 0, "a"), ("d", 1, 1, "b")], "doc string, page bigint, ord bigint, text string")
     assert "MapInPandas" not in chunks.packed_lines(c)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_figures_are_matched_by_page(spark):
+    """As the definition says, null pages, ids and captions included; tasks hold no sorted pairs of figures."""
+    gold = [("d", k % 5 if k % 7 else None, k, f"FIG. {k % 4}" if k % 3 else None, ["", "a", "Pump", None][k % 4]) for k in range(40)]
+    found = [("d", k % 6 if k % 9 else None, k, f"FIG. {k % 5}" if k % 4 else None, ["A", "pump x", None][k % 3]) for k in range(30) if k % 6 != 3]
+    g = spark.createDataFrame(gold, "doc string, page int, gid int, figure_id string, caption string")
+    f = spark.createDataFrame(found, "doc string, page int, ord int, figure_id string, caption string")
+    want = {}
+    for _, page, gid, fid, cap in gold:
+        here = sorted((0 if (c or "").lower().startswith((cap or "").lower()) or (i is not None and i == fid) else 1, o) for _, p, o, i, c in found if p == page and page is not None)
+        want[gid] = here[0][1] if here else None
+    got = metrics.match_figures(g, f)
+    assert {r["gid"]: r["ord"] for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert metrics.parts(spark.range(50_000_000)) > metrics.parts(spark.range(100))
+
+
+def test_a_reply_is_parsed_once(spark):
+    replies = ['x {"summary": "s", "counts": [{"count": 2, "item": "b"}]} y', "none", None, "{", '{"visible_text": ["a", "b"], "connections": ["c"]}']
+    t = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, r string").select("i", T.description_text(F.col("r")).alias("text"))
+    assert [r["text"] for r in t.orderBy("i").collect()] == ["s | Counts: 2 b", None, None, None, "Connections: c | Visible text: a b"]
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1
